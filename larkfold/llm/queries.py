@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkfold.llm import decontamination, mixing, sharding, url_filter, warc
+from larkfold.llm import decontamination, language_id, mixing, setsketch, sharding, url_filter, warc
 from larkfold.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_setsketch_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     queue = mixing.fair_queue(table(spark, sf_dir, "documents"))
     return queue.select("doc_id", "size", "source_size", "target", (F.size("finish") * F.col("size")).cast("long").alias("taken"))
@@ -32,15 +36,21 @@ def op6_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_digest(spark, pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
 def op10_aho_corasick_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_reputation": op1_url_reputation,
+    "op3_setsketch_near_dups": op3_setsketch_near_dups,
     "op4_weighted_fair_mix": op4_weighted_fair_mix,
     "op5_hash_tree_shards": op5_hash_tree_shards,
     "op6_content_addressed_warc": op6_content_addressed_warc,
+    "op8_string_kernel_language": op8_string_kernel_language,
     "op10_aho_corasick_decontamination": op10_aho_corasick_decontamination,
 }
 
