@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkfold.llm import decontamination, language_id, mixing, setsketch, sharding, url_filter, warc
+from larkfold.llm import decontamination, language_id, mixing, setsketch, sharding, suffix_dedup, url_filter, warc
 from larkfold.llm.common import table
 
 
@@ -36,6 +36,11 @@ def op6_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_digest(spark, pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_merge_sorted_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_weighted_fair_mix": op4_weighted_fair_mix,
     "op5_hash_tree_shards": op5_hash_tree_shards,
     "op6_content_addressed_warc": op6_content_addressed_warc,
+    "op7_merge_sorted_suffixes": op7_merge_sorted_suffixes,
     "op8_string_kernel_language": op8_string_kernel_language,
     "op10_aho_corasick_decontamination": op10_aho_corasick_decontamination,
 }
