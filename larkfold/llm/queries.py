@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkfold.llm import decontamination, language_id, mixing, setsketch, sharding, suffix_dedup, url_filter, warc
+from larkfold.llm import decontamination, language_id, lm_scoring, mixing, setsketch, sharding, suffix_dedup, url_filter, warc
 from larkfold.llm.common import table
 
 
@@ -45,6 +45,12 @@ def op8_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
+def op9_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is what is labelled as good and not toxic."""
+    good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
 def op10_aho_corasick_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -57,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_content_addressed_warc": op6_content_addressed_warc,
     "op7_merge_sorted_suffixes": op7_merge_sorted_suffixes,
     "op8_string_kernel_language": op8_string_kernel_language,
+    "op9_cross_entropy_difference": op9_cross_entropy_difference,
     "op10_aho_corasick_decontamination": op10_aho_corasick_decontamination,
 }
 
