@@ -6,7 +6,9 @@ minimum, written to the shared folder. Nothing but the count of changed labels r
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkfold.llm.common import cut
@@ -30,3 +32,49 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         if after.where("component != old").isEmpty():
             return after.select("id", "component")
         labels = after.select("id", "component")
+
+
+def link_buckets(
+    members: DataFrame,
+    details: Callable[[DataFrame], DataFrame],
+    verify: Callable[[DataFrame, DataFrame], DataFrame],
+    compatible: Callable[[str, str], Column] | None = None,
+    rounds: int = 3,
+    name: str = "links",
+) -> DataFrame:
+    """Components of all links between ids that share a bucket: (id, component) of the linked ids.
+
+    members: (bucket, id, n). ``details(ids)`` gives what ``verify(pairs, details)`` needs to tell which of the pairs
+    (a, b) are links; it is made once, for the ids that share a bucket. ``compatible`` says from two sizes if a link is possible.
+
+    A bucket's ids are compared with one leader, which is linear in the bucket, and links are contracted; a bucket that
+    still spans several components gets another leader; after ``rounds`` leaders all its pairs across components
+    are compared. So a bucket of copies costs its size, and no pair that shares a bucket stays open.
+    """
+    shared = members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("bucket")
+    members = cut(members.join(shared, "bucket", "left_semi"), f"{name}-members")
+    known = cut(details(members.select("id").distinct()), f"{name}-details")
+    fits = compatible or (lambda n, m: F.lit(True))
+    links = None
+    left = members.withColumn("component", F.col("id"))
+    for step in range(rounds + 1):
+        if step < rounds:
+            order = F.xxhash64(F.lit(step), "id")
+            leaders = left.groupBy("bucket").agg(F.min_by(F.struct("id", "n", "component"), order).alias("l"))
+            pairs = left.join(leaders, "bucket").where((F.col("component") != F.col("l.component")) & fits("n", "l.n"))
+            pairs = pairs.select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b"))
+        else:
+            other = left.select("bucket", F.col("id").alias("d"), F.col("n").alias("m"), F.col("component").alias("c"))
+            pairs = left.join(other, "bucket").where((F.col("id") < F.col("d")) & (F.col("component") != F.col("c")) & fits("n", "m"))
+            pairs = pairs.select(F.col("id").alias("a"), F.col("d").alias("b"))
+        found = cut(verify(pairs.distinct(), known), f"{name}-found")
+        links = found if links is None else links.union(found)
+        labels = components(links, name)
+        if step == rounds:
+            break
+        named = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        spans = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
+        left = cut(named.join(spans.select("bucket"), "bucket", "left_semi"), f"{name}-open")
+        if left.isEmpty():
+            break
+    return labels

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkfold.llm import decontamination, language_id, lm_scoring, mixing, setsketch, sharding, suffix_dedup, url_filter, warc
+from larkfold.llm import decontamination, image_copies, language_id, lm_scoring, mixing, setsketch, sharding, suffix_dedup, url_filter, warc
 from larkfold.llm.common import table
 
 
@@ -18,6 +18,12 @@ def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_image_descriptor_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The media column is the byteplot of each page's html."""
+    images = table(spark, sf_dir, "pages").select("page_id", image_copies.byteplot(F.col("html")).alias("image"))
+    return image_copies.image_copies(images, key="page_id")
+
+
 def op3_setsketch_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -57,6 +63,7 @@ def op10_aho_corasick_decontamination(spark: SparkSession, sf_dir: str) -> DataF
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_reputation": op1_url_reputation,
+    "op2_image_descriptor_copies": op2_image_descriptor_copies,
     "op3_setsketch_near_dups": op3_setsketch_near_dups,
     "op4_weighted_fair_mix": op4_weighted_fair_mix,
     "op5_hash_tree_shards": op5_hash_tree_shards,
