@@ -124,13 +124,14 @@ def scan_documents(
         .orderBy("item_id")
         .toLocalIterator()
     )
-    out = docs.select(F.col(key).alias("key"), F.col(text).alias("scanned"), *[F.col(c) for c in keep])
+    wanted = [key, *(c for c in keep if c != key)]
+    out = docs.select(*wanted, *([] if text in wanted else [text]))
     for i, block in enumerate(blocks(items, max_windows, window)):
-        out = _pass(cut(out, "decontamination") if i else out, spark.sparkContext.broadcast(block))
-    return out.drop("scanned").withColumnRenamed("key", key)
+        out = _pass(cut(out, "decontamination") if i else out, text, spark.sparkContext.broadcast(block))
+    return out.select(*wanted, "n_words", "word_spans", "char_spans", "item_ids")
 
 
-def _pass(df: DataFrame, block) -> DataFrame:
+def _pass(df: DataFrame, text: str, block) -> DataFrame:
     """Scans every text for one block of windows and merges what it finds with what earlier passes found."""
     names = [c for c in df.columns if c not in ("n_words", "word_spans", "char_spans", "item_ids")]
     again = len(names) < len(df.columns)
@@ -138,7 +139,7 @@ def _pass(df: DataFrame, block) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(block.value)
         for batch in batches:
-            texts = batch.column("scanned").cast(pa.binary()).to_pylist()
+            texts = batch.column(text).cast(pa.binary()).to_pylist()
             n_words, spans, chars, ids = [], [], [], []
             for i, t in enumerate(texts):
                 n, runs, found = scanner.scan(t or b"")

@@ -175,17 +175,18 @@ def identify(docs: DataFrame, model: NystromModel | None, text: str = "text", ke
     """(*keep, lang_pred, score) of every row."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # landmarks times grams bytes: 12 KB for each landmark
     kinds = dict(docs.dtypes)
+    read = text if text in keep else "_text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
+            texts = batch.column(read).to_pylist()
             names, scores = m.predict(texts) if m else (["und"] * len(texts), [0.0] * len(texts))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"]
             )
 
-    source = docs.select(*[F.col(c) for c in keep], F.col(text).alias("_text"))
+    source = docs.select(*[F.col(c) for c in keep], *([] if text in keep else [F.col(text).alias(read)]))
     return source.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double")
 
 
