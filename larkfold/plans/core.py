@@ -533,13 +533,13 @@ def w12(spark: SparkSession, d: str) -> DataFrame:
     return ticks(spark, d).select("event_id", F.max("bid").over(w).alias("hi"), F.min("bid").over(w).alias("lo"))
 
 
-@query("w13_session_vwap", f"""WITH {TICKS_SQL}, t AS (SELECT *, 1 + flags % 7 AS v FROM ticks) SELECT event_id, round(sum(bid * v) OVER w / sum(v) OVER w, 11) AS vwap,
- round(sqrt(greatest(sum(bid * bid * v) OVER w / sum(v) OVER w - pow(sum(bid * v) OVER w / sum(v) OVER w, 2), 0)), 4) AS vwap_std FROM t WINDOW w AS (PARTITION BY symbol, time_msc // {DAY_MS} ORDER BY time_msc, event_id)""")
+@query("w13_session_vwap", f"""WITH {TICKS_SQL}, t AS (SELECT *, 1 + flags % 7 AS v, sqrt(bid) AS p FROM ticks) SELECT event_id, round(sum(p * v) OVER w / sum(v) OVER w, 6) AS vwap,
+ round(sqrt(greatest(sum(p * p * v) OVER w / sum(v) OVER w - pow(sum(p * v) OVER w / sum(v) OVER w, 2), 0)), 4) AS vwap_std FROM t WINDOW w AS (PARTITION BY symbol, time_msc // {DAY_MS} ORDER BY time_msc, event_id)""")
 def w13(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("symbol", tick_bucket()).orderBy("time_msc", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    v = 1 + F.col("flags") % 7
-    s0, s1, s2 = (F.sum(x).over(w) for x in (v, F.col("bid") * v, F.col("bid") * F.col("bid") * v))
-    return ticks(spark, d).select("event_id", F.round(s1 / s0, 11).alias("vwap"), F.round(F.sqrt(F.greatest(s2 / s0 - F.pow(s1 / s0, 2), F.lit(0.0))), 4).alias("vwap_std"))
+    v, p = 1 + F.col("flags") % 7, F.sqrt("bid")
+    s0, s1, s2 = (F.sum(x).over(w) for x in (v, p * v, p * p * v))
+    return ticks(spark, d).select("event_id", F.round(s1 / s0, 6).alias("vwap"), F.round(F.sqrt(F.greatest(s2 / s0 - F.pow(s1 / s0, 2), F.lit(0.0))), 4).alias("vwap_std"))
 
 
 @query("w16_running_flow", f"""WITH {TICKS_SQL}, s AS (SELECT *, CASE WHEN flags & 32 > 0 THEN 1 WHEN flags & 64 > 0 THEN -1 ELSE 0 END AS f FROM ticks)
