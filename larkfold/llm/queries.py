@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkfold.llm import decontamination, image_copies, language_id, lm_scoring, mixing, setsketch, sharding, suffix_dedup, url_filter, warc
+from larkfold.llm import decontamination, image_copies, language_id, lm_scoring, mixing, oracles, setsketch, sharding, suffix_dedup, url_filter, warc
 from larkfold.llm.common import table
 
 
@@ -74,4 +74,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_aho_corasick_decontamination": op10_aho_corasick_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The other queries can't be put in SQL; tests hold them against brute-force versions.
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_reputation": oracles.OP1,
+    "op3_setsketch_near_dups": oracles.OP3,
+    "op4_weighted_fair_mix": oracles.OP4,
+    "op6_content_addressed_warc": oracles.OP6,
+    "op10_aho_corasick_decontamination": oracles.OP10,
+}
