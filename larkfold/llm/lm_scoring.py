@@ -29,12 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkfold.llm.common import word_count
+from larkfold.llm.packing import pack, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted
 from larkfold.llm.setsketch import mix, word_hashes
 
 MIN_COUNT = 2
 VOCABULARY, ADD, MU = float(1 << 20), 0.1, 20.0
 #: Bytes of text in a group, and of all text for a hash range.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -42,17 +43,22 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 class Counts:
     """Words, bigrams and distinct n-grams of one group of documents."""
 
-    def __init__(self, docs: pa.Table):
-        kind = docs.column("kind").to_numpy()
-        ids = docs.column("doc_id")
-        target = {i for i, k in zip(ids.to_pylist(), kind, strict=True) if k == 1}
-        self.rows = np.flatnonzero(kind == 0)
-        texts = docs.column("text").cast(pa.large_binary()).take(pa.array(self.rows)).to_pylist()
-        self.ids = ids.take(pa.array(self.rows))
-        hashes = [word_hashes(t or b"") for t in texts]
+    def __init__(self, blocks: pa.Table):
+        ids: list[int | None] = []
+        hashes: list[np.ndarray] = []
+        target: set[int] = set()
+        for raw in blocks.column("block").to_pylist():  # one block's texts at a time
+            for batch in pa.ipc.open_stream(raw):
+                if batch.num_columns == 1:
+                    target.update(batch.column(0).to_pylist())
+                else:
+                    ids += batch.column(0).to_pylist()
+                    hashes += [word_hashes(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        self.ids = ids
         self.n = np.array([len(h) for h in hashes], np.int64)
-        self.target = np.array([i is not None and i in target for i in self.ids.to_pylist()], bool)
+        self.target = np.array([i is not None and i in target for i in ids], bool)
         words = np.concatenate([*hashes, np.empty(0, np.uint64)])
+        del hashes
         self.doc = np.repeat(np.arange(len(self.n)), self.n)
         self.on = self.target[self.doc]
         follows = self.doc[1:] == self.doc[:-1]
@@ -93,7 +99,8 @@ def _part(keys: np.ndarray, parts: int) -> np.ndarray:
 def _count(parts: int):
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table) -> pa.Table:
         c = Counts(docs)
-        rows = [(p, key[0].as_py(), c.keys[a:b].tobytes(), c.bg[a:b].astype(np.uint32).tobytes(), c.tg[a:b].astype(np.uint32).tobytes()) for p, a, b in c.ranges(parts)]
+        counts = lambda x: squeeze(x.astype(np.uint32).tobytes())
+        rows = [(p, key[0].as_py(), squeeze_sorted(c.keys[a:b]), counts(c.bg[a:b]), counts(c.tg[a:b])) for p, a, b in c.ranges(parts)]
         cols = list(zip(*rows, strict=True)) or [()] * 5
         kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         return pa.table([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=["part", "g", "keys", "bg", "tg"])
@@ -102,8 +109,8 @@ def _count(parts: int):
 
 
 def _totals(key: tuple[pa.Scalar, ...], blocks: pa.Table) -> pa.Table:
-    keys = [np.frombuffer(b, np.uint64) for b in blocks.column("keys").to_pylist()]
-    own = [np.concatenate([np.frombuffer(b, np.uint32) for b in blocks.column(c).to_pylist()]).astype(np.int64) for c in ("bg", "tg")]
+    keys = [unsqueeze_sorted(b) for b in blocks.column("keys").to_pylist()]
+    own = [np.concatenate([np.frombuffer(unsqueeze(b), np.uint32) for b in blocks.column(c).to_pylist()]).astype(np.int64) for c in ("bg", "tg")]
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
     all_ = [np.bincount(at, x, len(distinct)).astype(np.int64)[at] for x in own]
     changed = (all_[0] != own[0]) | (all_[1] != own[1])
@@ -111,7 +118,7 @@ def _totals(key: tuple[pa.Scalar, ...], blocks: pa.Table) -> pa.Table:
     out = []
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         m = changed[a:b]
-        out.append((np.packbits(m).tobytes(), all_[0][a:b][m].astype(np.uint32).tobytes(), all_[1][a:b][m].astype(np.uint32).tobytes()))
+        out.append([squeeze(x.tobytes()) for x in (np.packbits(m), all_[0][a:b][m].astype(np.uint32), all_[1][a:b][m].astype(np.uint32))])
     cols = [pa.array(x, pa.binary()) for x in zip(*out, strict=True)]
     return pa.table([blocks.column("g"), pa.array([key[0].as_py()] * len(out), pa.int32()), *cols], names=["g", "part", "mask", "bg", "tg"])
 
@@ -125,12 +132,12 @@ def _score(parts: int, n_bg: int, n_tg: int):
         at = {p: (a, b) for p, a, b in c.ranges(parts)}
         for p, mask, bg, tg in zip(*(answers.column(x).to_pylist() for x in ("part", "mask", "bg", "tg")), strict=True):
             a, b = at[p]
-            m = a + np.flatnonzero(np.unpackbits(np.frombuffer(mask, np.uint8))[: b - a])
-            c.bg[m], c.tg[m] = np.frombuffer(bg, np.uint32), np.frombuffer(tg, np.uint32)
+            m = a + np.flatnonzero(np.unpackbits(np.frombuffer(unsqueeze(mask), np.uint8))[: b - a])
+            c.bg[m], c.tg[m] = np.frombuffer(unsqueeze(bg), np.uint32), np.frombuffer(unsqueeze(tg), np.uint32)
         target, background = c.losses(n_bg, n_tg)
         none = c.n == 0
         cols = [pa.array(x, mask=none) for x in (target, background, target - background)]
-        return pa.table([c.ids.cast(pa.int64()), pa.array(c.n), *cols], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+        return pa.table([pa.array(c.ids, pa.int64()), pa.array(c.n), *cols], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
     return run
 
@@ -143,8 +150,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, key: str =
     marked = sizes.join(ids.withColumn("on", F.lit(1)), "doc_id", "left")
     total = marked.agg(F.sum("b").alias("b"), F.sum("n").alias("n"), F.sum(F.when(F.col("on") == 1, F.col("n"))).alias("t")).first()
     groups = max(8, -(-(total["b"] or 0) // GROUP_BYTES))
-    g = F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("g")
-    dealt = rows.select(g, "doc_id", "text", F.lit(0).alias("kind")).unionByName(ids.select(g, "doc_id", F.lit(None).cast("string").alias("text"), F.lit(1).alias("kind")))
+    dealt = pack(rows, groups).unionByName(pack(ids, groups))
     counted = dealt.groupBy("g").applyInArrow(_count(groups), "part int, g int, keys binary, bg binary, tg binary")
     answers = counted.groupBy("part").applyInArrow(_totals, "g int, part int, mask binary, bg binary, tg binary")
     scored = dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_score(groups, total["n"] or 0, total["t"] or 0), SCHEMA)
