@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from larkfold.operators.series import frame, rolling
 
-O, H, L, C, V = (F.col(c) for c in ("open", "high", "low", "close", "tick_count"))
 EPS = 1e-12
 
 Maker = Callable[[WindowSpec, int], Column]
@@ -30,6 +29,7 @@ def ratio(a: Column, b: Column, empty: float = 0.0) -> Column:
 
 
 def true_range(w: WindowSpec) -> Column:
+    H, L = F.col("high"), F.col("low")
     p = F.lag("close").over(w)
     return F.greatest(H - L, F.abs(H - p), F.abs(L - p))
 
@@ -46,33 +46,39 @@ def _span(w: WindowSpec, n: int) -> tuple[Column, Column]:
 
 @indicator("sma", 20)
 def sma(w, n):
+    C = F.col("close")
     return ratio(C - F.avg(C).over(frame(w, n)), _tr(w, 14))
 
 
 @indicator("momentum", 10)
 def momentum(w, n):
+    C = F.col("close")
     return F.coalesce(C / F.lag(C, n).over(w) - 1, F.lit(0.0))
 
 
 @indicator("acceleration", 5)
 def acceleration(w, n):
+    C = F.col("close")
     return F.coalesce((C / F.lag(C, n).over(w) - 1) - (F.lag(C, n).over(w) / F.lag(C, 2 * n).over(w) - 1), F.lit(0.0))
 
 
 @indicator("linear_slope", 20)
 def linear_slope(w, n):
+    C = F.col("close")
     f = frame(w, n)
     return ratio(F.coalesce(F.regr_slope(C, F.col("_rn")).over(f), F.lit(0.0)), F.avg(C).over(f))
 
 
 @indicator("stochastic_k", 14)
 def stochastic_k(w, n):
+    C = F.col("close")
     hi, lo = _span(w, n)
     return ratio(C - lo, hi - lo, 0.5)
 
 
 @indicator("williams_r", 14)
 def williams_r(w, n):
+    C = F.col("close")
     hi, lo = _span(w, n)
     return ratio(C - hi, hi - lo, -0.5)
 
@@ -100,50 +106,59 @@ def expansion_ratio(w, n):
 
 @indicator("range_body_ratio", 1)
 def range_body_ratio(w, n):
+    C, O, H, L = F.col("close"), F.col("open"), F.col("high"), F.col("low")
     return ratio(H - L, F.abs(C - O), 10.0)
 
 
 @indicator("high_low_range", 14)
 def high_low_range(w, n):
+    H, L = F.col("high"), F.col("low")
     return ratio(H - L, _tr(w, n))
 
 
 @indicator("garman_klass_vol", 20)
 def garman_klass_vol(w, n):
+    C, O, H, L = F.col("close"), F.col("open"), F.col("high"), F.col("low")
     term = 0.5 * F.pow(F.log(H / L), 2) - (2 * math.log(2) - 1) * F.pow(F.log(C / O), 2)
     return F.sqrt(F.greatest(F.avg(term).over(frame(w, n)), F.lit(0.0)))
 
 
 @indicator("parkinson_vol", 20)
 def parkinson_vol(w, n):
+    H, L = F.col("high"), F.col("low")
     return F.sqrt(F.avg(F.pow(F.log(H / L), 2)).over(frame(w, n)) / (4 * math.log(2)))
 
 
 @indicator("dist_rolling_high", 20)
 def dist_rolling_high(w, n):
+    C = F.col("close")
     hi, lo = _span(w, n)
     return ratio(C - hi, hi - lo)
 
 
 @indicator("dist_rolling_low", 20)
 def dist_rolling_low(w, n):
+    C = F.col("close")
     hi, lo = _span(w, n)
     return ratio(C - lo, hi - lo)
 
 
 @indicator("breakout_proximity", 20)
 def breakout_proximity(w, n):
+    C = F.col("close")
     hi, lo = _span(w, n)
     return F.when(hi - lo > EPS, 1 - F.least(hi - C, C - lo) / (hi - lo)).otherwise(0.0)
 
 
 @indicator("mean_distance", 20)
 def mean_distance(w, n):
+    C = F.col("close")
     return ratio(C - F.avg(C).over(frame(w, n)), _tr(w, 14))
 
 
 @indicator("overlap_ratio", 1)
 def overlap_ratio(w, n):
+    H, L = F.col("high"), F.col("low")
     ph, pl = F.lag(H).over(w), F.lag(L).over(w)
     both = F.least(H, ph) - F.greatest(L, pl)
     return F.coalesce(ratio(F.greatest(both, F.lit(0.0)), F.greatest(H, ph) - F.least(L, pl)), F.lit(0.0))
@@ -151,17 +166,20 @@ def overlap_ratio(w, n):
 
 @indicator("bar_position", 1)
 def bar_position(w, n):
+    C, H, L = F.col("close"), F.col("high"), F.col("low")
     return ratio(C - L, H - L, 0.5)
 
 
 @indicator("midline_distance", 20)
 def midline_distance(w, n):
+    C = F.col("close")
     hi, lo = _span(w, n)
     return ratio(C - (hi + lo) / 2, _tr(w, 14))
 
 
 @indicator("pivot_distance", 20)
 def pivot_distance(w, n):
+    C, H, L = F.col("close"), F.col("high"), F.col("low")
     return ratio(C - F.lag((H + L + C) / 3).over(w), _tr(w, 14))
 
 
@@ -173,45 +191,53 @@ def abnormal_range(w, n):
 @indicator("volume_rank", 20)
 def volume_rank(w, n):
     """Share of the frame's bars with no more ticks than this one."""
+    V = F.col("tick_count")
     return F.size(F.filter(F.collect_list(V).over(frame(w, n)), lambda v: v <= V)) / F.count(V).over(frame(w, n))
 
 
 @indicator("inside_bar", 1)
 def inside_bar(w, n):
+    H, L = F.col("high"), F.col("low")
     return F.coalesce(((H <= F.lag(H).over(w)) & (L >= F.lag(L).over(w))).cast("double"), F.lit(0.0))
 
 
 @indicator("outside_bar", 1)
 def outside_bar(w, n):
+    H, L = F.col("high"), F.col("low")
     return F.coalesce(((H > F.lag(H).over(w)) & (L < F.lag(L).over(w))).cast("double"), F.lit(0.0))
 
 
 @indicator("pin_bar_bullish", 1)
 def pin_bar_bullish(w, n):
+    C, O, H, L = F.col("close"), F.col("open"), F.col("high"), F.col("low")
     body, low = F.abs(C - O), F.least(O, C) - L
     return ((low > 2 * body) & (H - F.greatest(O, C) < body)).cast("double")
 
 
 @indicator("pin_bar_bearish", 1)
 def pin_bar_bearish(w, n):
+    C, O, H, L = F.col("close"), F.col("open"), F.col("high"), F.col("low")
     body, up = F.abs(C - O), H - F.greatest(O, C)
     return ((up > 2 * body) & (F.least(O, C) - L < body)).cast("double")
 
 
 @indicator("doji", 1)
 def doji(w, n):
+    C, O, H, L = F.col("close"), F.col("open"), F.col("high"), F.col("low")
     return ((H - L > EPS) & (F.abs(C - O) < 0.1 * (H - L))).cast("double")
 
 
 @indicator("squeeze", 20)
 def squeeze(w, n):
     """1 where the Bollinger band is inside the Keltner band."""
+    C = F.col("close")
     f = frame(w, n)
     return F.coalesce((2 * F.stddev_pop(C).over(f) < 1.5 * _tr(w, n)).cast("double"), F.lit(0.0))
 
 
 def compute(bars: DataFrame, keys: list[str], order: list[str], bucket: Column, names: dict[str, int | None]) -> DataFrame:
     """Adds indicators (name: period, None for its default) over shared frames, in one window pass."""
+    C = F.col("close")
     periods = {k: p or INDICATORS[k][1] for k, p in names.items()}
     reach = 2 * max([14, *periods.values()]) + 1
 

@@ -33,8 +33,11 @@ class Feature:
 
 
 def _z(n: int) -> Callable[[WindowSpec], Column]:
-    c = F.col("close")
-    return lambda w: F.try_divide(c - full(F.avg, c, w, n), full(F.stddev_samp, c, w, n))
+    def make(w: WindowSpec) -> Column:
+        c = F.col("close")
+        return F.try_divide(c - full(F.avg, c, w, n), full(F.stddev_samp, c, w, n))
+
+    return make
 
 
 FEATURES = [

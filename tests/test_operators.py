@@ -1,3 +1,4 @@
+import math
 import random
 from bisect import bisect_right
 
@@ -5,12 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkfold.operators import bars as B
-from larkfold.operators import clean, joins, merge
+from larkfold.operators import clean, joins, merge, statistics
 from larkfold.operators import indicators as I
 from larkfold.operators.search import top_k
 from larkfold.operators.series import ema, frame, ordinal, rolling, running
 from larkfold.plans import dataset as D
 from larkfold.plans.core import hourly, tick_bucket
+from larkfold.plans.families import hawkes
 from larkfold.sources import store
 from larkfold.sources.adapters import DAY_MS, daily_bars, ticks, trades
 from larkfold.streaming import engine
@@ -188,6 +190,45 @@ def test_stream_bars_equal_batch(spark, sf, tmp_path):
     assert sorted((r["event_type"], r["start"], r["n"], r["high"]) for r in stream.collect()) == sorted(map(tuple, batch.collect()))
 
 
+def test_hawkes_is_the_sum_it_stands_for(spark, sf):
+    rows = ticks(spark, sf).where("symbol = 'purchase'").select("symbol", "time_msc", "event_id")
+    got = {r["event_id"]: r["intensity"] for r in hawkes(rows, 0.5, 1.0).collect()}
+    all_ = sorted((r["time_msc"], r["event_id"]) for r in rows.collect())
+    for i, (t, e) in enumerate(all_[:60]):
+        past = [u for u, _ in all_[:i] if u // DAY_MS == t // DAY_MS]
+        assert got[e] == pytest.approx(0.1 + sum(0.5 * math.exp(-(t - u) / 3_600_000) for u in past))
+
+
+def test_kalman_granger_and_isotonic(spark):
+    rows = [("k", i, float(i % 7), 0) for i in range(40)]
+    level = None
+    k = statistics.kalman_level(spark.createDataFrame(rows, "k string, t long, v double, day long"), ["k"], "t", "v", 1.0, 4.0, "day")
+    p = 4.0
+    for r in sorted(k.collect(), key=lambda r: r["t"]):
+        if level is None:
+            level = r["v"]
+        else:
+            p += 1.0
+            g = p / (p + 4.0)
+            level, p = level + g * (r["v"] - level), (1 - g) * p
+        assert r["level"] == pytest.approx(level) and r["variance"] == pytest.approx(p)
+    r = random.Random(3)
+    xs = [r.random() for _ in range(200)]
+    ys = [0.0] + [0.8 * xs[i - 1] + 0.1 * r.random() for i in range(1, 200)]
+    lagged = [("k", ys[i], ys[i - 1], xs[i - 1]) for i in range(1, 200)]
+    assert statistics.granger(spark.createDataFrame(lagged, "k string, y double, y_lag1 double, x_lag1 double"), ["k"], "x", "y", 1).first()["f"] > 100
+    points = spark.createDataFrame([("k", 0.05, True), ("k", 0.15, False), ("k", 0.25, False), ("k", 0.95, True)], "k string, s double, y boolean")
+    got = [x["calibrated"] for x in statistics.isotonic(points, ["k"], "s", "y", 10).orderBy("bin").collect()]
+    assert got == pytest.approx([1 / 3, 1 / 3, 1 / 3, 1.0])
+
+
+def test_bootstrap_reruns_agree(spark):
+    rows = [("a", i, 0.01 * (-1) ** i) for i in range(50)]
+    df = spark.createDataFrame(rows, "symbol string, day long, r double")
+    one, two = (sorted(map(tuple, statistics.bootstrap_paths(df, "symbol", "r", 25, chunk=10).collect())) for _ in range(2))
+    assert one == two and len(one) == 25
+
+
 def test_gaps_close_over_the_weekend(spark):
     friday = 1_704_484_800_000  # 2024-01-05 20:00 UTC
     df = spark.createDataFrame([("s", friday), ("s", friday + 52 * 3_600_000)], "symbol string, bar long")
