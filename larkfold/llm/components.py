@@ -39,42 +39,51 @@ def link_buckets(
     details: Callable[[DataFrame], DataFrame],
     verify: Callable[[DataFrame, DataFrame], DataFrame],
     compatible: Callable[[str, str], Column] | None = None,
+    most: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+    possible: Callable[[str, str, str, str], Column] | None = None,
     rounds: int = 3,
     name: str = "links",
 ) -> DataFrame:
     """Components of all links between ids that share a bucket: (id, component) of the linked ids.
 
     members: (bucket, id, n). ``details(ids)`` gives what ``verify(pairs, details)`` needs to tell which of the pairs
-    (a, b) are links; it is made once, for the ids that share a bucket. ``compatible`` says from two sizes if a link is possible.
+    (a, b) are links; it is made once, for the ids that share a bucket. ``compatible(n, m)`` says from two sizes if a link is possible.
 
-    A bucket's ids are compared with one leader, which is linear in the bucket, and links are contracted; a bucket that
-    still spans several components gets another leader; after ``rounds`` leaders all its pairs across components
-    are compared. So a bucket of copies costs its size, and no pair that shares a bucket stays open.
+    A bucket's ids are compared with one leader, which is linear in the bucket, and links are contracted. The first leader is the id
+    with the largest buckets altogether: the original of a family of copies shares more with each of them than they do with each other. Buckets that
+    still span several components get ``rounds`` - 1 more leaders, by hash, and in the end all their pairs across components
+    are compared, so no pair that shares a bucket stays open. After the first leader, ``most(ids, details)``
+    gives for (id, component) how much of an id other components can hold at all, (id, most), without the ids for which that is too little;
+    ``possible(n, most_n, m, most_m)`` drops the pairs that it rules out. As components only grow, the bound stays true.
     """
-    shared = members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("bucket")
-    members = cut(members.join(shared, "bucket", "left_semi"), f"{name}-members")
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("in_bucket")).where("in_bucket > 1")  # a count alone: the leanest row to shuffle
+    members = cut(members.join(sizes, "bucket"), f"{name}-members")
     known = cut(details(members.select("id").distinct()), f"{name}-details")
     fits = compatible or (lambda n, m: F.lit(True))
     links = None
-    left = members.withColumn("component", F.col("id"))
+    left = members.join(members.groupBy("id").agg(F.sum("in_bucket").alias("crowd")), "id").withColumns({"component": F.col("id"), "most": F.col("n")})
     for step in range(rounds + 1):
+        can = possible if possible and step else (lambda n, most_n, m, most_m: F.lit(True))
         if step < rounds:
-            order = F.xxhash64(F.lit(step), "id")
-            leaders = left.groupBy("bucket").agg(F.min_by(F.struct("id", "n", "component"), order).alias("l"))
-            pairs = left.join(leaders, "bucket").where((F.col("component") != F.col("l.component")) & fits("n", "l.n"))
+            order = F.struct(-F.col("crowd"), "id") if not step else F.xxhash64(F.lit(step), "id")
+            leaders = left.groupBy("bucket").agg(F.min_by(F.struct("id", "n", "most", "component"), order).alias("l"))
+            pairs = left.join(leaders, "bucket").where((F.col("component") != F.col("l.component")) & fits("n", "l.n") & can("n", "most", "l.n", "l.most"))
             pairs = pairs.select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b"))
         else:
-            other = left.select("bucket", F.col("id").alias("d"), F.col("n").alias("m"), F.col("component").alias("c"))
-            pairs = left.join(other, "bucket").where((F.col("id") < F.col("d")) & (F.col("component") != F.col("c")) & fits("n", "m"))
+            other = left.select("bucket", F.col("id").alias("d"), F.col("n").alias("m"), F.col("component").alias("c"), F.col("most").alias("most_m"))
+            pairs = left.join(other, "bucket").where((F.col("id") < F.col("d")) & (F.col("component") != F.col("c")) & fits("n", "m") & can("n", "most", "m", "most_m"))
             pairs = pairs.select(F.col("id").alias("a"), F.col("d").alias("b"))
         found = cut(verify(pairs.distinct(), known), f"{name}-found")
         links = found if links is None else links.union(found)
         labels = components(links, name)
         if step == rounds:
             break
-        named = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        named = left.drop("component").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         spans = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
         left = cut(named.join(spans.select("bucket"), "bucket", "left_semi"), f"{name}-open")
+        if most and not step:
+            bound = most(left.select("id", "component").distinct(), known)
+            left = cut(left.drop("most").join(bound, "id"), f"{name}-possible")
         if left.isEmpty():
             break
     return labels

@@ -9,8 +9,9 @@ smaller and equal, given both set sizes; what the likelihood can't exclude is ve
 
 Equal sets are one class from the start. Within a band bucket the classes are compared with
 one leader, which is linear in the bucket; verified links are contracted to components; a bucket that
-still spans several components gets another leader, and after ``LEADER_ROUNDS`` all its pairs
-across components are compared. So a bucket of copies costs its size, and no pair that shares a
+still spans several components gets another leader, and after ``LEADER_ROUNDS`` its pairs
+across components are compared. Pairs that can't be links, by how many shingles either
+shares with other components at all, drop out after the first leader. So a bucket of copies costs its size, and no pair that shares a
 band stays open. A pair at the threshold misses all bands with probability
 (1 - 0.75 ** 4) ** 32, 5 in a million.
 
@@ -26,11 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkfold.llm.common import cut
-from larkfold.llm.components import components
+from larkfold.llm.components import link_buckets
 
 SHINGLE = 5
 THRESHOLD = 0.75
@@ -38,7 +39,7 @@ BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
 #: SetSketch parameters: base, rate, and the largest register value.
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
 #: A candidate goes to verification unless its likelihood at the threshold is e**-this of the best (about six sigmas).
 SLACK = 18.0
 
@@ -188,7 +189,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         regs = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(n, REGISTERS)
         cid, size = (np.repeat(batch.column(i).to_numpy(), BANDS) for i in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(band_keys(regs).ravel()), pa.array(cid), pa.array(size)], names=["band", "cid", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(band_keys(regs).ravel()), pa.array(cid), pa.array(size)], names=["bucket", "id", "n"])
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,29 +216,37 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingle_set(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([set_name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cid", "set"]
+            [pa.array([set_name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set"]
         )
 
 
-def _check(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links: by size, by likelihood, then on the full sets."""
-    side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely, "a long, b long")
-    full = lambda x: sets.select(F.col("cid").alias(x), F.col("set").alias(f"s{x}"))
-    return likely.join(full("a"), "a").join(full("b"), "b").mapInArrow(_verified, "a long, b long")
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(s, np.int64) for s in batch.column("set").to_pylist()]
+        n = [len(s) for s in sets]
+        cols = [pa.array(np.concatenate([*sets, np.empty(0, np.int64)])), *(pa.array(np.repeat(batch.column(c).to_numpy(), n)) for c in ("id", "component"))]
+        yield pa.RecordBatch.from_arrays(cols, names=["shingle", "id", "component"])
+
+
+def _shared_with_others(ids: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, most): how many of an id's shingles occur in any other component. An id needs the threshold's share of its own
+    size for any link, as |a & b| >= t / (1 + t) * (|a| + |b|) and |b| >= t * |a|; without it, it is left out."""
+    rows = sets.join(ids, "id").mapInArrow(_shingles, "shingle long, id long, component long")
+    common = rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
+    most = rows.join(common.select("shingle"), "shingle", "left_semi").groupBy("id").agg(F.count("*").alias("most"))
+    size = sets.select("id", (F.octet_length("set") / 8).alias("of"))
+    return most.join(size, "id").where(F.col("most") * 100 >= F.col("of") * round(100 * THRESHOLD)).select("id", "most").distinct()
 
 
-def _fits(n: str, m: str):
+def _fits(n: str, m: str) -> Column:
     """Sizes that allow the threshold."""
-    small, large = F.least(n, m), F.greatest(n, m)
-    return small * 100 >= large * round(100 * THRESHOLD)
+    return F.least(n, m) * 100 >= F.greatest(n, m) * round(100 * THRESHOLD)
 
 
-def _crossing(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members with their components, of the buckets that span more than one."""
-    named = members.join(labels.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    open_ = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
-    return named.join(open_.select("band"), "band", "left_semi")
+def _can_share(n: str, most_n: str, m: str, most_m: str) -> Column:
+    """Whether two sets can share what the threshold takes: t / (1 + t) of both sizes together."""
+    t = round(100 * THRESHOLD)
+    return F.least(most_n, most_m) * (100 + t) >= (F.col(n) + F.col(m)) * t
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -246,32 +255,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     classes = cut(
         sketched.where("n > 0").groupBy("cid").agg(F.min("key").alias("first"), F.first("n").alias("n"), F.first("regs").alias("regs")), "setsketch-classes"
     )
-    rows = classes.select("cid", "n", "regs").mapInArrow(_bands, "band long, cid long, n long")
-    shared = rows.groupBy("band").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo != hi").select("band")
-    members = cut(rows.join(shared, "band", "left_semi"), "setsketch-members")
-    wanted = members.select("cid").distinct().join(classes.select("cid", F.col("first").alias("key")), "cid").select("key")
-    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(wanted, "key", "left_semi").select("text")
-    sets = cut(texts.mapInArrow(_sets, "cid long, set binary"), "setsketch-sets")
-
-    links = labels = None
-    left = members.withColumn("component", F.col("cid"))
-    for step in range(LEADER_ROUNDS + 1):
-        if step < LEADER_ROUNDS:
-            order = F.xxhash64(F.lit(step), "cid")
-            leaders = left.groupBy("band").agg(F.min_by(F.struct("cid", "n", "component"), order).alias("l"))
-            pairs = left.join(leaders, "band").where((F.col("component") != F.col("l.component")) & _fits("n", "l.n"))
-            pairs = pairs.select(F.least("cid", "l.cid").alias("a"), F.greatest("cid", "l.cid").alias("b"))
-        else:
-            other = left.select("band", F.col("cid").alias("d"), F.col("n").alias("m"), F.col("component").alias("c"))
-            pairs = left.join(other, "band").where((F.col("cid") < F.col("d")) & (F.col("component") != F.col("c")) & _fits("n", "m"))
-            pairs = pairs.select(F.col("cid").alias("a"), F.col("d").alias("b"))
-        found = cut(_check(pairs.distinct(), classes, sets), "setsketch-links")
-        links = found if links is None else links.union(found)
-        labels = components(links, "setsketch-components")
-        left = cut(_crossing(members, labels), "setsketch-open")
-        if left.isEmpty():
-            break
+    members = classes.select("cid", "n", "regs").mapInArrow(_bands, "bucket long, id long, n long")
+
+    def details(ids: DataFrame) -> DataFrame:
+        wanted = ids.join(classes.select(F.col("cid").alias("id"), F.col("first").alias("key")), "id").select("key")
+        texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(wanted, "key", "left_semi").select("text")
+        return texts.mapInArrow(_sets, "id long, set binary")
+
+    def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """By likelihood, then on the full sets."""
+        side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
+        likely = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely, "a long, b long")
+        full = lambda x: sets.select(F.col("id").alias(x), F.col("set").alias(f"s{x}"))
+        return likely.join(full("a"), "a").join(full("b"), "b").mapInArrow(_verified, "a long, b long")
 
+    labels = link_buckets(members, details, verify, _fits, _shared_with_others, _can_share, LEADER_ROUNDS, "setsketch")
     named = classes.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     of_class = named.join(least, "component").select("cid", "component_id")
