@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkfold.llm.common import cut
+from larkfold.llm.common import cut, slices
 from larkfold.llm.components import link_buckets
 
 SHINGLE = 5
@@ -161,7 +161,7 @@ def sketch_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     """(key, n, cid, regs) of every row; cid names the set (null for the empty one)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, cid, regs = [], [], []
             for t in batch.column(1).cast(pa.binary()).to_pylist():
                 s = shingle_set(t)
@@ -183,27 +183,23 @@ def set_name(shingles: np.ndarray) -> int:
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 2048):
         n = batch.num_rows
-        if not n:
-            continue
         regs = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(n, REGISTERS)
         cid, size = (np.repeat(batch.column(i).to_numpy(), BANDS) for i in (0, 1))
         yield pa.RecordBatch.from_arrays([pa.array(band_keys(regs).ravel()), pa.array(cid), pa.array(size)], names=["bucket", "id", "n"])
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 2048):
         n = batch.num_rows
-        if not n:
-            continue
         ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(n, REGISTERS) for c in ("ra", "rb"))
         _, gap = estimate(ra, rb, batch.column("na").to_numpy(), batch.column("nb").to_numpy())
         yield batch.select(["a", "b"]).filter(pa.array(gap <= SLACK))
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         keep = []
         for sa, sb in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
             x, y = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
@@ -213,7 +209,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         sets = [shingle_set(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [pa.array([set_name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set"]
@@ -221,7 +217,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         sets = [np.frombuffer(s, np.int64) for s in batch.column("set").to_pylist()]
         n = [len(s) for s in sets]
         cols = [pa.array(np.concatenate([*sets, np.empty(0, np.int64)])), *(pa.array(np.repeat(batch.column(c).to_numpy(), n)) for c in ("id", "component"))]

@@ -14,7 +14,7 @@ and comparing what stands left and right of equal anchors finds every equal stri
 3. Each range is merged by a loser tree whose nodes keep the common prefix with the last winner, so that
    known prefixes are never compared again; the merge yields the order and all common prefix lengths.
 4. For each split of the length into left and right context, entries that agree in both form a class
-   (by the common prefix lengths, exactly); all but the first of a class are repeats. Intervals go back by document.
+   (by the common prefix lengths, exactly); all but the first of a class are repeats. Intervals go back by document group.
 
 Copies inside a block or run are settled there and travel as one entry, so a hot passage costs each
 range one entry a run for each distinct surrounding, whatever its number of rows.
@@ -34,13 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkfold.llm.packing import group_of, pack, squeeze, text_bytes, unsqueeze
+
 LENGTH, GRAM = 100, 32
 WINDOW = LENGTH - GRAM + 1
 LEFT = LENGTH - GRAM
 #: Bytes of text handled at once, anchors in a block of hashes, entries in a run.
-PIECE, BLOCK, RUN = 1 << 20, 1 << 18, 1 << 16
+PIECE, BLOCK, RUN = 1 << 18, 1 << 17, 1 << 15
 #: Bytes of text for each hash range and suffix range.
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 8 << 20
 #: Documents in the sample that places the range bounds, and grams from each.
 SAMPLE_DOCS, SAMPLE_GRAMS = 4000, 16
 
@@ -135,10 +137,6 @@ def _groups(of: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, bytes]]:
         yield int(of[a]), rows[a:b].tobytes()
 
 
-def _group_of(doc: np.ndarray, groups: int) -> np.ndarray:
-    return ((doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % groups
-
-
 def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
@@ -165,9 +163,9 @@ def _hash_blocks(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, salt = [], 0, 0
         for batch in batches:
-            docs = list(zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True))
-            for i in range(0, len(docs), 512):
-                e = document_anchors(docs[i : i + 512])
+            for i in range(0, batch.num_rows, 256):  # a few texts at a time as Python objects
+                part = batch.slice(i, 256)
+                e = document_anchors(list(zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True)))
                 held.append(e)
                 n += len(e)
                 if n >= BLOCK:
@@ -195,21 +193,12 @@ def _repeated(groups: int):
         places = np.zeros(more.sum(), _PLACE)
         places["doc"], places["pos"] = e["doc"][more], e["pos"][more]
         places = np.concatenate([places, *(np.frombuffer(b, _PLACE) for k, b in zip(known, blocks, strict=True) if k)])
-        rows = list(_groups(_group_of(places["doc"], groups), places))
+        rows = [(g, squeeze(b)) for g, b in _groups(group_of(places["doc"], groups), places)]
         return pa.Table.from_batches([_batch(rows, ["g", "places"], [pa.int32(), pa.binary()])])
 
     return run
 
 
-def _by_document(table: pa.Table) -> pa.Table:
-    """Places of a document group by document."""
-    places = np.frombuffer(b"".join(table.column("places").to_pylist()), _PLACE)
-    places = np.sort(places, order=["doc", "pos"])
-    edges = np.flatnonzero(np.concatenate(([True], places["doc"][1:] != places["doc"][:-1], [True])))
-    rows = [(int(places["doc"][a]), places["pos"][a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    return pa.Table.from_batches([_batch(rows, ["doc_id", "at"], [pa.int64(), pa.binary()])])
-
-
 class Entries:
     """Suffixes with their surroundings: right context (LENGTH bytes from the anchor) and left context (LEFT bytes
     before it, reversed), zero-padded, with their true lengths."""
@@ -271,11 +260,12 @@ def front_code(e: Entries) -> bytes:
     """A sorted run: counts, prefix lengths, the rest of each suffix, and the other columns."""
     same = shared_prefix(e.right)
     rest = e.right[np.arange(LENGTH)[None, :] >= same[:, None]]
-    return b"".join([np.array([len(e), len(rest)], np.int64).tobytes(), same.tobytes(), rest.tobytes(), *(getattr(e, f).tobytes() for f in ("doc", "pos", "nr", "nl", "left"))])
+    return squeeze(b"".join([np.array([len(e), len(rest)], np.int64).tobytes(), same.tobytes(), rest.tobytes(), *(getattr(e, f).tobytes() for f in ("doc", "pos", "nr", "nl", "left"))]))
 
 
 def front_decode(run: bytes) -> tuple[Entries, np.ndarray]:
     """The entries of a run and their prefix lengths."""
+    run = unsqueeze(run)
     n, size = np.frombuffer(run, np.int64, 2)
     at = 16
 
@@ -291,7 +281,7 @@ def front_decode(run: bytes) -> tuple[Entries, np.ndarray]:
     right[np.arange(LENGTH)[None, :] >= same[:, None]] = rest
     # an entry's byte j is that of the last entry before it that wrote byte j
     rows = np.arange(n)[:, None]
-    wrote = np.where(np.arange(LENGTH)[None, :] >= same[:, None], rows, 0)
+    wrote = np.where(np.arange(LENGTH)[None, :] >= same[:, None], rows, 0).astype(np.int32)
     np.maximum.accumulate(wrote, axis=0, out=wrote)
     return Entries(doc, pos, nr, nl, np.take_along_axis(right, wrote, axis=0), left.reshape(-1, LEFT)), same
 
@@ -397,34 +387,45 @@ def repeated_spans(e: Entries, same: np.ndarray) -> np.ndarray:
 RUNS = ["part", "known", "block"], [pa.int32(), pa.bool_(), pa.binary()]
 
 
+def _documents(blocks: pa.Table) -> Iterator[tuple[int | None, bytes]]:
+    """Ids and texts of a group, block by block."""
+    for raw in blocks.column("block").to_pylist():
+        for batch in pa.ipc.open_stream(raw):
+            yield from ((d, t or b"") for d, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True))
+
+
 def _sorted_runs(bounds: list[bytes]):
-    """Map side of step 2: front-coded sorted runs by suffix range."""
+    """Step 2: front-coded sorted runs by suffix range, from a group's documents and places."""
     splits = np.array(bounds, f"S{GRAM}")
     parts = len(bounds) + 1
 
-    def flush(held: list[Entries], salt: int) -> pa.RecordBatch:
+    def flush(held: list[Entries], salt: int) -> list[tuple[int, bool, bytes]]:
         e, gone = _whole_copies(Entries.concat(held))
         e = e.take(np.argsort(_text(e.right), kind="stable"))
         edges = np.searchsorted(splits, _text(e.right[:, :GRAM]), side="right")
         cut = np.flatnonzero(np.concatenate(([True], edges[1:] != edges[:-1], [True]))) if len(e) else [0]
         rows = [(int(edges[a]), False, front_code(e.take(np.arange(a, b)))) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        rows += [((salt + p) % parts, True, b) for p, b in _groups(np.arange(len(gone)) // 4096, gone)]
-        return _batch(rows, *RUNS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, salt = [], 0, 0
-        for batch in batches:
-            for doc, text, at in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                places = np.frombuffer(at, np.int32).astype(np.int64)
-                for i in range(0, len(places), RUN):
-                    held.append(Entries.of(doc, text.encode(), places[i : i + RUN]))
-                    n += len(held[-1])
-                    if n >= RUN:
-                        yield flush(held, salt)
-                        salt += 7919
-                        held, n = [], 0
+        return rows + [((salt + p) % parts, True, squeeze(b)) for p, b in _groups(np.arange(len(gone)) // 4096, gone)]
+
+    def run(key: tuple[pa.Scalar, ...], docs: pa.Table, found: pa.Table) -> pa.Table:
+        places = np.concatenate([np.frombuffer(unsqueeze(b), _PLACE) for b in found.column("places").to_pylist()] or [np.empty(0, _PLACE)])
+        places = np.sort(places, order=["doc", "pos"])
+        held, n, salt, rows = [], 0, key[0].as_py() * 7919, []
+        for doc, text in _documents(docs):
+            if doc is None:
+                continue
+            a, b = np.searchsorted(places["doc"], [doc, doc + 1])
+            at = places["pos"][a:b].astype(np.int64)
+            at = at[at < len(text)]  # rows that repeat an id may have another text
+            for i in range(0, len(at), RUN):
+                held.append(Entries.of(doc, text, at[i : i + RUN]))
+                n += len(held[-1])
+                if n >= RUN:
+                    rows += flush(held, salt)
+                    held, n, salt = [], 0, salt + 1
         if n:
-            yield flush(held, salt)
+            rows += flush(held, salt)
+        return pa.Table.from_batches([_batch(rows, *RUNS)])
 
     return run
 
@@ -434,32 +435,39 @@ def _merged(groups: int):
 
     def run(table: pa.Table) -> pa.Table:
         known, blocks = table.column("known").to_pylist(), table.column("block").to_pylist()
-        spans = [np.frombuffer(b, _SPAN) for k, b in zip(known, blocks, strict=True) if k]
+        spans = [np.frombuffer(unsqueeze(b), _SPAN) for k, b in zip(known, blocks, strict=True) if k]
         runs = [front_decode(b) for k, b in zip(known, blocks, strict=True) if not k]
+        del blocks, known
         if runs:
             heads = [([r.tobytes() for r in e.right], same.tolist()) for e, same in runs]
             base = np.cumsum([0, *(len(e) for e, _ in runs)])
             merged = np.fromiter((x for w, i, s in merge_runs(heads) for x in (base[w] + i, s)), np.int64, 2 * base[-1]).reshape(-1, 2)
-            everything = Entries.concat([e for e, _ in runs]).take(merged[:, 0])
-            spans.append(repeated_spans(everything, merged[:, 1]))
+            del heads
+            everything = Entries.concat([e for e, _ in runs])
+            del runs
+            spans.append(repeated_spans(everything.take(merged[:, 0]), merged[:, 1]))
         found = np.concatenate(spans) if spans else np.empty(0, _SPAN)
-        rows = list(_groups(_group_of(found["doc"], groups), found))
+        rows = [(g, squeeze(b)) for g, b in _groups(group_of(found["doc"], groups), found)]
         return pa.Table.from_batches([_batch(rows, ["g", "spans"], [pa.int32(), pa.binary()])])
 
     return run
 
 
-def _spans_by_document(table: pa.Table) -> pa.Table:
-    """The union of each document's spans, as runs that don't touch."""
-    s = np.sort(np.frombuffer(b"".join(table.column("spans").to_pylist()), _SPAN), order=["doc", "start"])
-    edges = np.flatnonzero(np.concatenate(([True], s["doc"][1:] != s["doc"][:-1], [True])))
-    rows = []
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        start, end = s["start"][a:b], np.maximum.accumulate(s["end"][a:b])
-        new = np.concatenate(([True], start[1:] > end[:-1]))
-        last = np.concatenate((np.flatnonzero(new)[1:] - 1, [b - a - 1]))
-        rows.append((int(s["doc"][a]), np.stack([start[new], end[last]], axis=1).astype(np.int32).tobytes()))
-    return pa.Table.from_batches([_batch(rows, ["doc_id", "spans"], [pa.int64(), pa.binary()])])
+def _removed(docs: pa.Table, found: pa.Table) -> pa.Table:
+    """Each document of a group with the union of its spans, as runs that don't touch."""
+    s = np.concatenate([np.frombuffer(unsqueeze(b), _SPAN) for b in found.column("spans").to_pylist()] or [np.empty(0, _SPAN)])
+    s = np.sort(s, order=["doc", "start"])
+    out = []
+    for doc, text in _documents(docs):
+        a, b = np.searchsorted(s["doc"], [doc, doc + 1]) if doc is not None else (0, 0)
+        start, end = s["start"][a:b], np.maximum.accumulate(np.minimum(s["end"][a:b], len(text)))
+        new = np.concatenate(([True], start[1:] > end[:-1])) if a < b else np.empty(0, bool)
+        last = np.concatenate((np.flatnonzero(new)[1:] - 1, [b - a - 1])) if a < b else np.empty(0, np.int64)
+        cuts = np.stack([start[new], end[last]], axis=1).astype(np.int32)
+        digest = hashlib.sha256(kept(text, cuts.tolist())).hexdigest()
+        out.append((doc, len(text), int((cuts[:, 1] - cuts[:, 0]).sum()), len(cuts), digest, cuts.tobytes()))
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
+    return pa.Table.from_batches([_batch(out, names, [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()])])
 
 
 def _bounds(docs: DataFrame, rows: int, parts: int) -> list[bytes]:
@@ -480,40 +488,21 @@ def _bounds(docs: DataFrame, rows: int, parts: int) -> list[bytes]:
     return sorted(set(picked))
 
 
-def repeated_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, spans) of the documents that have repeated bytes; spans: packed int32 pairs (start, end)."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    total = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
-    parts = max(8, -(-(total["b"] or 0) // RANGE_BYTES))
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept_sha256, spans) of every row; spans: packed int32 pairs (start, end) of removed bytes."""
+    every = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = every.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    n, size = text_bytes(rows)
+    parts = max(8, -(-size // RANGE_BYTES))
+    dealt = pack(every, parts)  # used twice; Spark reuses the exchange
     blocks = rows.mapInArrow(_hash_blocks(parts), "part int, known boolean, block binary")
     places = blocks.groupBy("part").applyInArrow(_repeated(parts), "g int, places binary")
-    at = places.groupBy("g").applyInArrow(_by_document, "doc_id long, at binary")
-    bounds = _bounds(rows, total["n"], parts)
-    runs = rows.join(at.hint("shuffle_hash"), "doc_id").mapInArrow(_sorted_runs(bounds), "part int, known boolean, block binary")
+    runs = dealt.groupBy("g").cogroup(places.groupBy("g")).applyInArrow(_sorted_runs(_bounds(rows, n, parts)), "part int, known boolean, block binary")
     spans = runs.groupBy("part").applyInArrow(_merged(parts), "g int, spans binary")
-    return spans.groupBy("g").applyInArrow(_spans_by_document, "doc_id long, spans binary")
-
-
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept_bytes, spans, kept_sha256) of every row."""
-    spans = repeated_text(docs, key, text)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    rest = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNull() | F.col("text").isNull())
-    spanned = rows.join(spans.hint("shuffle_hash"), "doc_id", "left").unionByName(rest.withColumn("spans", F.lit(None).cast("binary")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size, gone, count, digest = [], [], [], []
-            for t, s in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                t, cuts = t or b"", np.frombuffer(s or b"", np.int32).reshape(-1, 2).tolist()
-                size.append(len(t))
-                gone.append(sum(b - a for a, b in cuts))
-                count.append(len(cuts))
-                digest.append(hashlib.sha256(kept(t, cuts)).hexdigest())
-            cols = [batch.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(digest), batch.column(2)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
-
-    return spanned.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans binary").withColumnRenamed("doc_id", key)
+    out = dealt.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(
+        _removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans binary"
+    )
+    return out.withColumnRenamed("doc_id", key)
 
 
 def kept(text: bytes, cuts: list[list[int]]) -> bytes:
