@@ -41,6 +41,7 @@ def link_buckets(
     compatible: Callable[[str, str], Column] | None = None,
     most: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
     possible: Callable[[str, str, str, str], Column] | None = None,
+    rest: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
     rounds: int = 3,
     name: str = "links",
 ) -> DataFrame:
@@ -52,7 +53,8 @@ def link_buckets(
     A bucket's ids are compared with one leader, which is linear in the bucket, and links are contracted. The first leader is the id
     with the largest buckets altogether: the original of a family of copies shares more with each of them than they do with each other. Buckets that
     still span several components get ``rounds`` - 1 more leaders, by hash, and in the end all their pairs across components
-    are compared, so no pair that shares a bucket stays open. After the first leader, ``most(ids, details)``
+    are compared, so no pair that shares a bucket stays open; ``rest(open, details)`` may name the pairs (a, b) that can still be
+    links without making all pairs of a bucket. After the first leader, ``most(ids, details)``
     gives for (id, component) how much of an id other components can hold at all, (id, most), without the ids for which that is too little;
     ``possible(n, most_n, m, most_m)`` drops the pairs that it rules out. As components only grow, the bound stays true.
     """
@@ -69,6 +71,8 @@ def link_buckets(
             leaders = left.groupBy("bucket").agg(F.min_by(F.struct("id", "n", "most", "component"), order).alias("l"))
             pairs = left.join(leaders, "bucket").where((F.col("component") != F.col("l.component")) & fits("n", "l.n") & can("n", "most", "l.n", "l.most"))
             pairs = pairs.select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b"))
+        elif rest:
+            pairs = rest(left, known)
         else:
             other = left.select("bucket", F.col("id").alias("d"), F.col("n").alias("m"), F.col("component").alias("c"), F.col("most").alias("most_m"))
             pairs = left.join(other, "bucket").where((F.col("id") < F.col("d")) & (F.col("component") != F.col("c")) & fits("n", "m") & can("n", "most", "m", "most_m"))

@@ -9,9 +9,10 @@ smaller and equal, given both set sizes; what the likelihood can't exclude is ve
 
 Equal sets are one class from the start. Within a band bucket the classes are compared with
 one leader, which is linear in the bucket; verified links are contracted to components; a bucket that
-still spans several components gets another leader, and after ``LEADER_ROUNDS`` its pairs
-across components are compared. Pairs that can't be links, by how many shingles either
-shares with other components at all, drop out after the first leader. So a bucket of copies costs its size, and no pair that shares a
+still spans several components gets another leader. Sets that can't have links, by how many shingles they
+share with other components at all, drop out after the first leader. After ``LEADER_ROUNDS`` the pairs across components that are
+left are found by what they differ in from a common reference (``_differences``): copies of one original that are no links share the
+original's shingles only, and such pairs are never made. So a bucket of copies costs its size, and no pair that shares a
 band stays open. A pair at the threshold misses all bands with probability
 (1 - 0.75 ** 4) ** 32, 5 in a million.
 
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkfold.llm.common import cut, slices
@@ -40,6 +41,8 @@ REGISTERS = BANDS * ROWS
 #: SetSketch parameters: base, rate, and the largest register value.
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 LEADER_ROUNDS = 2
+#: Parts of the sets that are compared with one reference.
+SALTS = 16
 #: A candidate goes to verification unless its likelihood at the threshold is e**-this of the best (about six sigmas).
 SLACK = 18.0
 
@@ -245,6 +248,64 @@ def _can_share(n: str, most_n: str, m: str, most_m: str) -> Column:
     return F.least(most_n, most_m) * (100 + t) >= (F.col(n) + F.col(m)) * t
 
 
+def _against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets against their references: how many of the reference's shingles are missing, and which shingles it doesn't have."""
+    for batch in slices(batches):
+        missing, extra = [], []
+        for x, ref in zip(batch.column("set").to_pylist(), batch.column("ref_set").to_pylist(), strict=True):
+            x, ref = np.frombuffer(x, np.int64), np.frombuffer(ref, np.int64)
+            new = np.setdiff1d(x, ref, assume_unique=True)
+            missing.append(len(ref) - (len(x) - len(new)))
+            extra.append(new)
+        size = [len(s) // 8 for s in batch.column("ref_set").to_pylist()]
+        cols = [*(batch.column(c) for c in ("id", "ref", "n", "most", "component")), pa.array(missing, pa.int64()), pa.array(size, pa.int64()), pa.array(extra, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(cols, names=["id", "ref", "n", "most", "component", "missing", "ref_n", "extra"])
+
+
+def _differences(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) across components that can still be links, by what the sets differ in from a common reference.
+
+    left: (bucket, id, n, crowd, component, most). An id's reference R is the leader with the largest buckets that any of its
+    buckets has. For two sets with the same one, |x & y| <= |R| - max(|R - x|, |R - y|) + |(x & y) - R|. Either the first two terms
+    alone reach the threshold's share: those pairs come from the buckets; or x and y have shingles in common that R doesn't have, at least as many as
+    what lacks: those come from a prefix-filtered join on such shingles, rarest first. Pairs with different references come from the buckets, too.
+    """
+    t = round(100 * THRESHOLD)
+    need = lambda n, m: F.ceil((n + m) * t / (100 + t) - 1e-9)  # noqa: E731  shingles in common that make a link
+    by_crowd = F.struct("crowd", "id")
+    leaders = left.groupBy("bucket").agg(F.max_by(F.struct("crowd", "id", "component"), by_crowd).alias("l"))
+    left = left.join(leaders, "bucket").withColumns({"lead": F.struct("l.crowd", "l.id"), "major": F.col("l.component")}).drop("l")
+    chosen = left.groupBy("id").agg(F.max("lead").alias("lead"), *(F.first(c).alias(c) for c in ("n", "most", "component")))
+    chosen = chosen.select("id", "n", "most", "component", F.col("lead.id").alias("ref"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
+    refs = chosen.select("ref").distinct().join(sets.select(F.col("id").alias("ref"), F.col("set").alias("ref_set")), "ref")
+    refs = refs.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    kinds = "id long, ref long, n long, most long, component long, missing long, ref_n long, extra array<long>"
+    apart = cut(chosen.join(sets, "id").join(refs, ["ref", "salt"]).mapInArrow(_against, kinds), "setsketch-apart")
+
+    # pairs that the reference's own shingles may link, and pairs with different references; one of a pair isn't in the leader's component
+    placed = left.select("bucket", "id", "major").join(apart.drop("extra"), "id").withColumn("reach", F.floor((F.col("ref_n") - F.col("missing")) * (100 + t) / t + 1e-9) - F.col("n"))
+    other = placed.select("bucket", *(F.col(c).alias(f"{c}_y") for c in ("id", "ref", "n", "most", "component", "reach")))
+    minor = placed.where("component != major")
+    across = (F.col("component") != F.col("component_y")) & _fits("n", "n_y") & _can_share("n", "most", "n_y", "most_y")
+    once = (F.col("component_y") == F.col("major")) | (F.col("id") < F.col("id_y"))
+    near = (F.col("ref") != F.col("ref_y")) | ((F.col("n_y") <= F.col("reach")) & (F.col("n") <= F.col("reach_y")))
+    free = minor.join(other, "bucket").where(across & once & near).select(F.least("id", "id_y").alias("a"), F.greatest("id", "id_y").alias("b"))
+
+    # pairs that need shingles which the reference doesn't have
+    least = apart.groupBy("ref").agg(F.min("n").alias("least_n"))
+    base = apart.join(least, "ref").withColumn("lacks", need(F.col("n"), F.greatest(F.col("least_n"), F.ceil(F.col("n") * t / 100))) - F.col("ref_n") + F.col("missing"))
+    extra = base.select("id", "ref", "n", "most", "component", "missing", "ref_n", F.greatest("lacks", F.lit(1)).alias("lacks"), F.explode("extra").alias("shingle"))
+    common = extra.groupBy("ref", "shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("often")).where("lo != hi")
+    shared = extra.join(common.select("ref", "shingle", "often"), ["ref", "shingle"])
+    of_id = Window.partitionBy("id")
+    shared = shared.withColumns({"rank": F.row_number().over(of_id.orderBy("often", "shingle")), "all": F.count("*").over(of_id)})
+    prefix = shared.where("rank <= all - lacks + 1")
+    twin = prefix.select("ref", "shingle", *(F.col(c).alias(f"{c}_y") for c in ("id", "n", "most", "component", "missing", "all")))
+    enough = need(F.col("n"), F.col("n_y")) - F.col("ref_n") + F.greatest("missing", "missing_y") <= F.least("all", "all_y")
+    joined = prefix.join(twin, ["ref", "shingle"]).where((F.col("id") < F.col("id_y")) & across & enough)
+    return free.union(joined.select(F.col("id").alias("a"), F.col("id_y").alias("b")))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id, kept) of every row."""
     sketched = cut(sketch_documents(docs, key, text), "setsketch")
@@ -265,7 +326,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         full = lambda x: sets.select(F.col("id").alias(x), F.col("set").alias(f"s{x}"))
         return likely.join(full("a"), "a").join(full("b"), "b").mapInArrow(_verified, "a long, b long")
 
-    labels = link_buckets(members, details, verify, _fits, _shared_with_others, _can_share, LEADER_ROUNDS, "setsketch")
+    labels = link_buckets(members, details, verify, _fits, _shared_with_others, _can_share, _differences, LEADER_ROUNDS, "setsketch")
     named = classes.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     of_class = named.join(least, "component").select("cid", "component_id")
