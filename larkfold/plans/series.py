@@ -350,9 +350,10 @@ def k27(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q_participation", """SELECT user_id, event_type, round(greatest(0, least(1, (CASE WHEN count(*) = 1 THEN 0.15 WHEN count(*) = 2 THEN 0.55 ELSE 1 END - 0.35 * avg((value > 100)::INT)) * greatest(0, least(1, avg(value) / 100)))), 6) AS participation FROM events GROUP BY ALL""")
 def q_participation(spark: SparkSession, d: str) -> DataFrame:
-    """State-layer participation score as a row expression over group statistics."""
+    """State-layer participation score as a row expression over group statistics. Values have two decimals, so scores tie
+    between two sixth digits; they are rounded as scaled doubles, not by their shortest decimal as ``F.round`` does."""
     n = F.count("*")
     base = F.when(n == 1, 0.15).when(n == 2, 0.55).otherwise(1.0)
     score = clamp01((base - 0.35 * F.avg((F.col("value") > 100).cast("int"))) * clamp01(F.avg("value") / 100))
-    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.round(score, 6).alias("participation"))
+    return table(spark, d, "events").groupBy("user_id", "event_type").agg((F.floor(score * 1e6 + 0.5) / 1e6).alias("participation"))
 
