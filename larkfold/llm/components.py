@@ -57,8 +57,15 @@ def link_buckets(
     links without making all pairs of a bucket. After the first leader, ``most(ids, details)``
     gives for (id, component) how much of an id other components can hold at all, (id, most), without the ids for which that is too little;
     ``possible(n, most_n, m, most_m)`` drops the pairs that it rules out. As components only grow, the bound stays true.
+
+    With a column ``probe`` in ``members``, only the pairs count in which the id of lesser (or equal) n has it set; the second leader
+    is then the least id that has.
     """
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("in_bucket")).where("in_bucket > 1")  # a count alone: the leanest row to shuffle
+    probing = "probe" in members.columns
+    asks = lambda p, n, q, m: (F.col(p) & (F.col(n) <= F.col(m))) | (F.col(q) & (F.col(m) <= F.col(n))) if probing else F.lit(True)
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("in_bucket"), *([F.max("probe").alias("any")] if probing else [])).where("in_bucket > 1")  # the leanest row to shuffle
+    if probing:
+        sizes = sizes.where("any").drop("any")
     members = cut(members.join(sizes, "bucket"), f"{name}-members")
     known = cut(details(members.select("id").distinct()), f"{name}-details")
     fits = compatible or (lambda n, m: F.lit(True))
@@ -68,15 +75,19 @@ def link_buckets(
         can = possible if possible and step else (lambda n, most_n, m, most_m: F.lit(True))
         if step < rounds:
             order = F.struct(-F.col("crowd"), "id") if not step else F.xxhash64(F.lit(step), "id")
-            leaders = left.groupBy("bucket").agg(F.min_by(F.struct("id", "n", "most", "component"), order).alias("l"))
-            pairs = left.join(leaders, "bucket").where((F.col("component") != F.col("l.component")) & fits("n", "l.n") & can("n", "most", "l.n", "l.most"))
+            if probing and step == 1:
+                order = F.struct(~F.col("probe"), "n", "id")
+            leaders = left.groupBy("bucket").agg(F.min_by(F.struct("id", "n", "most", "component", *(["probe"] if probing else [])), order).alias("l"))
+            apart = (F.col("component") != F.col("l.component")) & asks("probe", "n", "l.probe", "l.n")
+            pairs = left.join(leaders, "bucket").where(apart & fits("n", "l.n") & can("n", "most", "l.n", "l.most"))
             pairs = pairs.select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b"))
         elif rest:
             pairs = rest(left, known)
         else:
             other = left.select("bucket", F.col("id").alias("d"), F.col("n").alias("m"), F.col("component").alias("c"), F.col("most").alias("most_m"))
-            pairs = left.join(other, "bucket").where((F.col("id") < F.col("d")) & (F.col("component") != F.col("c")) & fits("n", "m") & can("n", "most", "m", "most_m"))
-            pairs = pairs.select(F.col("id").alias("a"), F.col("d").alias("b"))
+            once = F.col("probe") & (F.col("n") <= F.col("m")) if probing else F.col("id") < F.col("d")
+            pairs = (left.where("probe") if probing else left).join(other, "bucket").where(once & (F.col("component") != F.col("c")) & fits("n", "m") & can("n", "most", "m", "most_m"))
+            pairs = pairs.select(F.least("id", "d").alias("a"), F.greatest("id", "d").alias("b"))
         found = cut(verify(pairs.distinct(), known), f"{name}-found")
         links = found if links is None else links.union(found)
         labels = components(links, name)

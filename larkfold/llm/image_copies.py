@@ -2,23 +2,26 @@
 
 A media column holds grayscale PGM images. Each image gives corners (Harris, at two scales),
 each corner an orientation (intensity centroid) and 256 binary tests turned to it. Images that are
-cropped or edited keep most of these. Descriptors are joined through Hamming tables (the four
-64-bit quarters: two descriptors within 3 bits share one), and a pair of images is a copy if
-matches that agree in scale, rotation and translation cover 40 % of the corners of the
+cropped or edited keep most of these. Descriptors are joined through Hamming tables (16 samples of
+40 bits: descriptors 8 bits apart share one with probability 0.99, 16 bits apart with 0.63), and a pair of images
+is a copy if matches that agree in scale, rotation and translation cover 40 % of the corners of the
 image with fewer, and at least ``MIN_INLIERS``.
 
-Only the rarest part of an image's descriptors, enough that images sharing 40 % of the larger one's
-must meet in it, goes to the tables; rarity is a count sketch of fixed size over all
-descriptors, so page furniture that all images share costs nothing. Images in one table bucket are compared
+Equal images are one class from the start. All descriptors go to the tables; the image with fewer corners looks
+up its rarest ones only, so many that any set of its corners that makes a copy holds one of them, wherever the larger image has its
+own. Rarity, a count sketch of fixed size over all descriptors, decides what that costs, not what is found:
+page furniture is looked up by those images alone that it makes copies of each other. Images in one table bucket are compared
 with a leader, links are contracted, and what is left of a bucket is compared in full (see ``link_buckets``).
 
-Defined cases: a null or broken image has no corners and is a copy of nothing; so has an image that is
-flat or within twice the border (20 pixels) in either direction; equal images are one class; ties go to the smallest id; rows that repeat an id count as one image;
+Defined cases: a null or broken image has no corners and is a copy of nothing; a flat image has no corners, and only equal images
+are its copies; an image within twice the border (20 pixels) in a direction is described with its edge repeated around it;
+ties go to the smallest id; rows that repeat an id count as one image;
 an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -29,13 +32,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkfold.llm.common import cut
-from larkfold.llm.components import link_buckets
+from larkfold.llm.components import components, link_buckets
 
 WIDTH = 64
 #: Corners within this many pixels of a stronger one are dropped; reach of the tests; an image's border, where none are taken.
 APART, REACH, BORDER = 6, 7, 10
 STRENGTH = 1e5
-SCALES, TURNS, TESTS, TABLES = 2, 24, 256, 4
+SCALES, TURNS, TESTS = 2, 24, 256
+#: Hamming tables, and the sampled tests that make a key of one.
+TABLES, KEY_BITS = 16, 40
 MAX_HAMMING, MIN_INLIERS, COVER = 32, 3, 0.4
 #: Counters of the rarity sketch: 4 MB, whatever the input.
 COUNTERS = 1 << 20
@@ -59,6 +64,7 @@ def _patterns() -> np.ndarray:
 
 
 _TESTS = _patterns()
+_SAMPLES = np.stack([_rng.permutation(TESTS)[:KEY_BITS] for _ in range(TABLES)])
 _DISC = [(y, x) for y in range(-REACH, REACH + 1) for x in range(-REACH, REACH + 1) if x * x + y * y <= REACH * REACH]
 _DISC_Y, _DISC_X = (np.array(v) for v in zip(*_DISC, strict=True))
 
@@ -148,7 +154,7 @@ def _describe_stack(images: list[np.ndarray], scale: int) -> list[np.ndarray]:
 def describe(images: list[np.ndarray | None]) -> list[np.ndarray]:
     """Corners with their descriptors, for each image."""
     out: list[list[np.ndarray]] = [[] for _ in images]
-    level = {i: a for i, a in enumerate(images) if a is not None}
+    level = {i: np.pad(a, BORDER, mode="edge") if min(a.shape) <= 2 * BORDER else a for i, a in enumerate(images) if a is not None}
     for scale in range(SCALES):
         by_width: dict[int, list[int]] = {}
         for i, a in level.items():
@@ -169,8 +175,10 @@ def describe(images: list[np.ndarray | None]) -> list[np.ndarray]:
 
 def table_keys(keys: np.ndarray) -> np.ndarray:
     """(corners, TABLES) keys of the Hamming tables."""
-    words = np.ascontiguousarray(keys["bits"]).view(np.uint64).reshape(len(keys), TABLES)
-    mixed = words ^ (np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    bits = np.unpackbits(np.ascontiguousarray(keys["bits"]), axis=1)
+    words = np.zeros((len(keys), TABLES, 8), np.uint8)
+    words[:, :, : KEY_BITS // 8] = np.packbits(bits[:, _SAMPLES], axis=2)
+    mixed = words.view(np.uint64)[:, :, 0] ^ (np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
     return (mixed ^ (mixed >> np.uint64(29))).view(np.int64)
 
@@ -199,16 +207,28 @@ def consensus(a: np.ndarray, b: np.ndarray) -> int:
     return most
 
 
+def needed(n: int) -> int:
+    """Corners that must agree, for an image of n that is the one with fewer."""
+    return max(MIN_INLIERS, math.ceil(COVER * n))
+
+
 def is_copy(a: np.ndarray, b: np.ndarray) -> bool:
-    return consensus(a, b) >= max(MIN_INLIERS, math.ceil(COVER * min(len(a), len(b))))
+    """Counted in corners of the image with fewer; either way round if both have as many."""
+    if len(a) > len(b):
+        a, b = b, a
+    least = needed(len(a))
+    return consensus(a, b) >= least or (len(a) == len(b) and consensus(b, a) >= least)
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            keys = describe([decode_pgm(d) for d in part.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(k) for k in keys], pa.int32()), pa.array([k.tobytes() for k in keys], pa.binary())], names=["id", "n", "keys"])
+            images = [decode_pgm(d) for d in part.column(1).to_pylist()]
+            keys = describe(images)
+            digests = [None if a is None else hashlib.sha256(b"%d %d " % a.shape + a.tobytes()).digest() for a in images]
+            cols = [part.column(0), pa.array([len(k) for k in keys], pa.int32()), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(digests, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "keys", "digest"])
 
 
 def _counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,18 +242,18 @@ def _members(counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = counts.value
         for batch in batches:
-            ids, ns, buckets = [], [], []
-            for i, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            ids, ns, buckets, probes = [], [], [], []
+            for i, data in zip(batch.column("id").to_pylist(), batch.column("keys").to_pylist(), strict=True):
                 k = table_keys(np.frombuffer(data, _KEY))
-                order = np.lexsort((k[:, 0], rare[k[:, 0] % COUNTERS]))  # the same order of descriptors everywhere
                 n = len(k)
-                rows = np.unique(k[order[: n - math.ceil(COVER * n) + 1]])
-                ids += [i] * len(rows)
-                ns += [n] * len(rows)
+                order = np.argsort(rare[k[:, 0] % COUNTERS], kind="stable")
+                rows, at = np.unique(k[order], return_index=True)  # at the rarest descriptor that has the key
+                ids.append(np.full(len(rows), i))
+                ns.append(np.full(len(rows), n))
                 buckets.append(rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([*buckets, np.empty(0, np.int64)])), pa.array(ids, pa.int64()), pa.array(ns, pa.int64())], names=["bucket", "id", "n"]
-            )
+                probes.append(at // TABLES <= n - needed(n))
+            cols = [*(pa.array(np.concatenate([*c, np.empty(0, np.int64)])) for c in (buckets, ids, ns)), pa.array(np.concatenate([*probes, np.empty(0, bool)]))]
+            yield pa.RecordBatch.from_arrays(cols, names=["bucket", "id", "n", "probe"])
 
     return run
 
@@ -249,20 +269,30 @@ def image_copies(images: DataFrame, key: str = "image_id", image: str = "image")
     """(key, n_corners, copy_of, is_copy) of every row; copy_of: the smallest id of its group of copies, itself included."""
     spark = images.sparkSession
     rows = images.select(F.col(key).cast("long").alias("id"), F.col(image).alias("image"))
-    found = cut(rows.mapInArrow(_described, "id long, n int, keys binary"), "corners")
+    found = cut(rows.mapInArrow(_described, "id long, n int, keys binary, digest binary"), "corners")
+    classes = found.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"))  # equal images
+    of_row = cut(found.select("id", "n", "digest").join(classes, "digest", "left").select("id", "n", "rep"), "images-classes")
+    found = found.where(f"n >= {MIN_INLIERS}").join(classes, "digest").where("id = rep").dropDuplicates(["digest"])
+    found = cut(found.select("id", "n", "keys"), "images")
     counts = np.zeros(COUNTERS, np.int64)
     sums = found.select("keys").mapInArrow(_counters, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
     for at, n in sums.toLocalIterator():  # COUNTERS rows at most
         counts[at] = n
     shared = spark.sparkContext.broadcast(np.minimum(counts, 0x7FFFFFFF).astype(np.int32))
-    members = found.where(f"id is not null and n >= {MIN_INLIERS}").mapInArrow(_members(shared), "bucket long, id long, n long")
+    members = found.mapInArrow(_members(shared), "bucket long, id long, n long, probe boolean")
 
     def verify(pairs: DataFrame, keys: DataFrame) -> DataFrame:
         side = lambda x: keys.select(F.col("id").alias(x), F.col("keys").alias(f"k{x}"))
         return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_copies, "a long, b long")
 
     labels = link_buckets(members, lambda ids: found.join(ids, "id", "left_semi").select("id", "keys"), verify, name="images")
-    out = found.join(labels, "id", "left").select(
-        F.col("id").alias(key), F.col("n").cast("long").alias("n_corners"), F.coalesce("component", "id").alias("copy_of")
+    # rows that repeat an id with other images join their classes
+    several = of_row.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi").select("id")
+    if not several.isEmpty():
+        same = of_row.join(several, "id").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
+        labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(same), "images-ids")
+    of_row = of_row.withColumn("of", F.coalesce("rep", "id"))
+    out = of_row.join(labels.withColumnRenamed("id", "of"), "of", "left").select(
+        F.col("id").alias(key), F.col("n").cast("long").alias("n_corners"), F.coalesce("component", "of").alias("copy_of")
     )
     return out.withColumn("is_copy", F.coalesce(F.col("copy_of") != F.col(key), F.lit(False)))

@@ -103,6 +103,40 @@ def test_image_copies(spark):
     assert image_copies.image_copies(df.where("false")).count() == 0
 
 
+def image_groups(spark, images):
+    df = spark.createDataFrame([(i, image_copies.encode_pgm(x)) for i, x in images], "image_id long, image binary")
+    return {r["image_id"]: r["copy_of"] for r in image_copies.image_copies(df).collect()}
+
+
+def test_small_crops_of_common_parts_are_copies(spark):
+    """The crop is a fifth of its originals, and other images share that part: its descriptors are the commoner ones of all but the crop."""
+    rows = []
+    for s in range(6):
+        whole = picture(100 + s, 200, 200)
+        whole[:90, :90] = picture(s % 2, 90, 90)
+        rows.append((10 + s, whole))
+    crops = [(1, picture(0, 90, 90)[5:85, 5:85]), (2, picture(1, 90, 90)[:85, 5:90])]
+    got = image_groups(spark, rows + crops)
+    assert {i: got[i] for i, _ in rows} == {10 + s: 1 + s % 2 for s in range(6)} and got[1] == 1 and got[2] == 2
+
+
+def test_noisy_copies_are_found(spark):
+    r = np.random.default_rng(5)
+    rows = []
+    for s in range(40):
+        a = picture(300 + s)
+        rows += [(2 * s, a), (2 * s + 1, np.clip(a + r.normal(0, 28, a.shape), 0, 255))]
+    truth = {2 * s for s in range(40) if image_copies.is_copy(*image_copies.describe([rows[2 * s][1], rows[2 * s + 1][1].astype(np.uint8)]))}
+    got = image_groups(spark, rows)
+    assert len(truth) >= 10 and sum(got[i + 1] == i for i in truth) >= 0.99 * len(truth)
+
+
+def test_small_and_equal_images(spark):
+    a = picture(7, 20, 100)
+    rows = [(1, a), (2, a[:, 5:]), (3, picture(8, 20, 100)), (4, np.full((50, 50), 9)), (5, np.full((50, 50), 9)), (6, np.full((50, 40), 9)), (7, a), (7, picture(9)), (8, picture(9))]
+    assert image_groups(spark, rows) == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6, 7: 1, 8: 1}
+
+
 def test_byteplot_holds_every_byte(spark):
     df = spark.createDataFrame([("é" * 50,), ("",), (None,)], "h string").select("h", image_copies.byteplot(F.col("h")).alias("i"))
     got = {r["h"]: image_copies.decode_pgm(bytes(r["i"]) if r["i"] is not None else None) for r in df.collect()}
