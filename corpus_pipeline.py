@@ -23,9 +23,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays."""
-    kept = setsketch.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """The row with the smallest id of each group stays, one without an id only if none has one."""
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    ranked = rows.withColumn("_rank", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    kept = setsketch.near_duplicates(ranked, key="_rank").where("kept").select("_rank._row")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ a larger benchmark is scanned in blocks of that many, one automaton and one pass
 documents each. The documents are never shuffled.
 
 Defined cases: a null or wordless text has no words and no hits; a null or wordless
-item is never found; an item id that comes twice counts once; a null item id is ignored;
+item is never found; an item id that comes twice counts once; items with a null id are found, as one item with a null id, last in ``item_ids``;
 empty tables give no rows (documents) or no hits (benchmark).
 """
 
@@ -44,7 +44,7 @@ def windows(item: bytes, n: int = WINDOW) -> Iterator[bytes]:
             yield b" " + b" ".join(w[i : i + n]) + b" "
 
 
-def blocks(items: Iterable[tuple[str, bytes]], max_windows: int, n: int = WINDOW) -> Iterator[dict[bytes, set[str]]]:
+def blocks(items: Iterable[tuple[str | None, bytes]], max_windows: int, n: int = WINDOW) -> Iterator[dict[bytes, set[str]]]:
     """The windows of the items with their item ids, in blocks of at most ``max_windows`` windows (an item may go over two)."""
     block: dict[bytes, set[str]] = {}
     for item_id, text in items:
@@ -120,7 +120,7 @@ def scan_documents(
     items = (
         (r[0], bytes(r[1]))
         for r in benchmark.select(F.col("item_id").cast("string"), F.encode(F.col("text"), "UTF-8"))
-        .where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
+        .where(F.col("text").isNotNull())
         .orderBy("item_id")
         .toLocalIterator()
     )
@@ -149,7 +149,7 @@ def _pass(df: DataFrame, text: str, block) -> DataFrame:
                 n_words.append(n)
                 spans.append([{"first": a, "end": b} for a, b in runs])
                 chars.append(character_spans(t, runs) if runs else [])
-                ids.append(sorted(found))
+                ids.append(sorted(found - {None}) + [None] * (None in found))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in names]
                 + [pa.array(n_words, pa.int64()), pa.array(spans, WORD_SPANS), pa.array(chars, CHAR_SPANS), pa.array(ids, pa.list_(pa.string()))],
@@ -196,7 +196,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
 def brute_force(docs: list[tuple], items: list[tuple], n: int = WINDOW) -> dict:
     """Straight from the definition, for tests."""
-    its = [(i, [x.decode() for x in words(t.encode())]) for i, t in items if t is not None and i is not None]
+    its = [(i, [x.decode() for x in words(t.encode())]) for i, t in items if t is not None]
     out = {}
     for d, t in docs:
         w = [x.decode() for x in words((t or "").encode())]
@@ -207,6 +207,6 @@ def brute_force(docs: list[tuple], items: list[tuple], n: int = WINDOW) -> dict:
             for p in range(len(w) - k + 1 if k else 0):
                 if tuple(w[p : p + k]) in wins:
                     hit.update(range(p, p + k))
-                    ids.add(str(i))
-        out[d] = (len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit))
+                    ids.add(i if i is None else str(i))
+        out[d] = (len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids - {None})).encode()).hexdigest(), bool(hit))
     return out

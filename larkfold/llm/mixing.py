@@ -10,8 +10,8 @@ Cumulative sums run in two steps (sums over hash ranges of a source, then inside
 so a source with a third of all rows is never in one task.
 
 Defined cases: a null source is a source of its own, ranked last; a null text has size 0
-and takes part with its zero words; equal rows follow each other in the queue; an empty
-table gives an empty result.
+and takes part with its zero words; rows with a null key come last in the queue of their source, by size; equal rows follow each
+other in the queue; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
 #: Hash ranges of one source.
 RANGES = 4096
+#: Rows without a key from this size on are one range.
+LARGEST = 1 << 20
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -78,8 +80,11 @@ def fair_queue(
     order = F.md5(F.col(key).cast("string"))
     rows = docs.select(
         F.col(key), F.col(source).alias("source"), size.cast("long").alias("size"), *[F.col(c) for c in keep]
-    ).withColumns({"_o": F.coalesce(order, F.lit("")), "_k": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))})
-    rows = rows.withColumn("_r", (F.conv(F.substring("_o", 1, 4), 16, 10).cast("int") * ranges / 65536).cast("int"))
+    ).withColumns({"_o": F.coalesce(order, F.lit("g")), "_k": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))})
+    of_hash = (F.conv(F.substring("_o", 1, 4), 16, 10).cast("int") * ranges / 65536).cast("int")
+    # rows without a key are queued by size, and so are their ranges: many of them aren't one range
+    of_size = F.lit(ranges) + F.least(F.coalesce("size", F.lit(0)), F.lit(LARGEST)).cast("int")
+    rows = rows.withColumn("_r", F.when(F.col(key).isNull(), of_size).otherwise(of_hash))
     sums = rows.groupBy("_k", "source", "_r").agg(F.sum("size").alias("_s"))
     targets = source_targets(sums.groupBy("source").agg(F.sum("_s").alias("source_size")), weights, max_repeats).select(
         F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_k"), "source_size", "target"

@@ -3,6 +3,7 @@ import random
 import re
 import string
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -231,6 +232,16 @@ def test_targets_stop_at_three_times_the_source(spark):
     assert got == {"a": 30.0, "b": pytest.approx(1480 * 2 / 3), None: pytest.approx(1480 / 3)}
 
 
+def test_mix_of_null_ids_equals_sql(spark, tmp_path):
+    rows = [(None if i % 3 == 0 else i % 50, words(random.Random(i), 1 + i % 17), ("s1", "s2", None)[i % 7 % 3]) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = sorted(map(str, con.execute(ORACLE_SQL["op4_weighted_fair_mix"]).fetchall()))
+    got = sorted(str(tuple(r)) for r in QUERIES["op4_weighted_fair_mix"](spark, str(tmp_path)).collect())
+    assert len(got) == 200 and got == want
+
+
 # 5
 
 
@@ -420,9 +431,34 @@ def test_offsets_map_to_the_original(spark):
     assert text[c["start"] : c["end"]] == item.upper().replace(" ", ",  ") and r["item_ids"] == ["i"]
 
 
+def test_items_without_an_id_are_found(spark):
+    df = spark.createDataFrame([(1, "say alpha beta"), (2, "gamma alpha beta"), (None, "alpha beta"), (3, "delta")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "alpha beta"), (None, "say"), ("g", "gamma")], "item_id string, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["contaminated"]) for r in decontamination.decontaminate(df, bench).collect()}
+    assert got == {1: (3, 1, True), 2: (3, 2, True), None: (2, 1, True), 3: (0, 0, False)}
+
+
 # the pipeline
 
 
+def test_stages_keep_null_and_repeated_ids(spark, tmp_path):
+    r = random.Random(4)
+    a, b, c, d, e = (words(r, 60) for _ in range(5))
+    rows = [(None, a), (None, a), (None, b), (5, b), (6, c), (6, c), (6, d), (None, e)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    spark.createDataFrame([(None, " ".join(e.split()[20:35]))], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    pairs = lambda x: sorted(map(str, x.select("doc_id", "text").collect()))
+    assert stages["language_id"](spark, df, "").count() == len(rows)
+    two = cut(stages["near_duplicates"](spark, df, ""), "t2")
+    assert [str(x) for x in pairs(two)] == pairs(spark.createDataFrame([(None, a), (5, b), (6, c), (6, d), (None, e)], "doc_id long, text string"))
+    three = cut(stages["decontamination"](spark, two, str(tmp_path)), "t3")
+    assert three.count() == 4 and three.where(F.col("text") == e).isEmpty()
+    four = cut(stages["mixing"](spark, three, ""), "t4")
+    assert pairs(four) == pairs(three)
+    assert stages["sharding"](spark, four, "").count() == 4
+
+
 def test_pipeline_stages_by_definition(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     columns = df.columns
