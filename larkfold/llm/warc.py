@@ -12,7 +12,7 @@ payload, and only the response rows keep theirs.
 
 Defined cases: a null html is an empty payload; a null url is written as an empty target;
 rows repeated with one page id and payload give one record each, and one of them holds the
-payload; CR and LF in a url are percent-encoded in its header line; an empty table gives
+payload; a record with a null page id is a response whatever has its payload, and holds it in the archive if no other does; CR and LF in a url are percent-encoded in its header line; an empty table gives
 empty tables.
 """
 
@@ -68,9 +68,10 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
         header_block(F.col("page_id"), F.col("url"), kind, F.col("payload_digest"), F.col("payload_bytes"), F.col("refers_to")).alias("header"),
     ).write.parquet(f"{path}/headers")
     # one row a digest: the page that responds, without the others' payloads
-    keep = first.select(F.col("response_id").alias("page_id"), "sha256")
-    rows.select("page_id", "sha256", "payload").join(keep, ["page_id", "sha256"], "left_semi").dropDuplicates(
-        ["page_id", "sha256"]
+    named = [F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("name"), F.col("page_id").isNull().alias("none"), "sha256"]  # null equals null
+    keep = first.withColumnRenamed("response_id", "page_id").select(*named)
+    rows.select(*named, "payload").join(keep, ["name", "none", "sha256"], "left_semi").dropDuplicates(
+        ["name", "none", "sha256"]
     ).select("sha256", "payload").write.parquet(f"{path}/payloads")
 
 

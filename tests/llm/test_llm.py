@@ -301,6 +301,17 @@ def test_archive_round_trip(spark):
     assert warc.archive_digest(spark, df.where("false")).count() == 0
 
 
+def test_archive_of_null_ids(spark):
+    pages = [(None, "http://a/", "only null"), (None, "http://b/", "only null"), (None, "http://c/", "shared"), (7, "http://d/", "shared"), (None, None, None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    path = fresh_path(spark, "warc-null")
+    warc.write_archive(df, path)
+    got = warc.read_archive(spark, path).collect()
+    assert sorted(bytes(r["payload"]).decode() for r in got) == sorted(h or "" for _, _, h in pages)
+    assert spark.read.parquet(f"{path}/payloads").count() == 3
+    assert all(bytes(r["record"]).endswith(bytes(r["payload"]) + b"\r\n\r\n") for r in got)
+
+
 # 7
 
 
