@@ -16,8 +16,10 @@ and comparing what stands left and right of equal anchors finds every equal stri
 4. For each split of the length into left and right context, entries that agree in both form a class
    (by the common prefix lengths, exactly); all but the first of a class are repeats. Intervals go back by document group.
 
-Copies inside a block or run are settled there and travel as one entry, so a hot passage costs each
-range one entry a run for each distinct surrounding, whatever its number of rows.
+Copies inside a block or run are settled there and travel as one entry. A gram that fills more than a range in the sample
+gets parts of its own: 100 equal bytes around it hold, besides the gram, at least 34 equal bytes right of it or 34 left of it, so its
+entries are dealt twice, by the 34 bytes to the right (for the splits with up to 34 bytes to the left) and by the 34 to the left (for the
+others). What a run settles for all splits of a side isn't sent to that side.
 
 Defined cases: a null text is empty; texts under ``LENGTH`` bytes keep all; a row with a null id keeps all and
 is not compared; rows that repeat an id are taken as one document (equal rows get equal results); an empty
@@ -27,10 +29,12 @@ table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,11 +44,15 @@ LENGTH, GRAM = 100, 32
 WINDOW = LENGTH - GRAM + 1
 LEFT = LENGTH - GRAM
 #: Bytes of text handled at once, anchors in a block of hashes, entries in a run.
-PIECE, BLOCK, RUN = 1 << 18, 1 << 17, 1 << 15
+PIECE, BLOCK, RUN = 1 << 18, 1 << 16, 1 << 14
 #: Bytes of text for each hash range and suffix range.
-RANGE_BYTES = 8 << 20
-#: Documents in the sample that places the range bounds, and grams from each.
-SAMPLE_DOCS, SAMPLE_GRAMS = 4000, 16
+RANGE_BYTES = 4 << 20
+#: Documents in the sample that places the range bounds, and grams from each; suffix ranges at most (beyond that, a range is dealt by a hash of its grams).
+SAMPLE_DOCS, SAMPLE_GRAMS, RANGES = 4000, 16, 4096
+#: Context that the two sides of a hot gram are dealt by. A gram is hot if it comes so often in the sample, and fills half a range.
+HALF, OFTEN = LEFT // 2, 4
+#: Entries of a run that are decoded at once.
+DECODE = 1024
 
 _B = 0xD6E8FEB86659FD93
 _ENTRY = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("many", "u1")])
@@ -161,7 +169,7 @@ def _hash_blocks(parts: int):
         return _batch(rows, *BLOCKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, salt = [], 0, 0
+        held, n, salt = [], 0, TaskContext.get().partitionId() * 104729  # so that tasks start at different parts
         for batch in batches:
             for i in range(0, batch.num_rows, 256):  # a few texts at a time as Python objects
                 part = batch.slice(i, 256)
@@ -181,20 +189,26 @@ def _hash_blocks(parts: int):
 def _repeated(groups: int):
     """Reduce side of step 1: places of the grams that occur more than once, packed by document group."""
 
-    def run(table: pa.Table) -> pa.Table:
-        known, blocks = table.column("known").to_pylist(), table.column("block").to_pylist()
-        e = np.frombuffer(b"".join(b for k, b in zip(known, blocks, strict=True) if not k), _ENTRY)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries, known = [np.empty(0, _ENTRY)], []
+        for batch in batches:
+            for old, block in zip(batch.column("known").to_pylist(), batch.column("block"), strict=True):
+                (known if old else entries).append(np.frombuffer(block.as_py(), _PLACE if old else _ENTRY))
+        e = np.concatenate(entries)
+        del entries
         order = np.argsort(e["hash"], kind="stable")
         h = e["hash"][order]
         same = h[1:] == h[:-1]
         more = np.zeros(len(e), bool)
-        more[order] = np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(e) else more
-        more &= e["many"] == 0  # the places of the marked are known already
-        places = np.zeros(more.sum(), _PLACE)
-        places["doc"], places["pos"] = e["doc"][more], e["pos"][more]
-        places = np.concatenate([places, *(np.frombuffer(b, _PLACE) for k, b in zip(known, blocks, strict=True) if k)])
+        more[order[1:]] = same
+        more[order[:-1]] |= same
+        del h, order
+        e = e[more & (e["many"] == 0)]  # the places of the marked are known already
+        places = np.empty(len(e), _PLACE)
+        places["doc"], places["pos"] = e["doc"], e["pos"]
+        places = np.concatenate([places, *known])
         rows = [(g, squeeze(b)) for g, b in _groups(group_of(places["doc"], groups), places)]
-        return pa.Table.from_batches([_batch(rows, ["g", "places"], [pa.int32(), pa.binary()])])
+        yield _batch(rows, ["g", "places"], [pa.int32(), pa.binary()])
 
     return run
 
@@ -219,11 +233,23 @@ class Entries:
 
     @classmethod
     def concat(cls, parts: list[Entries]) -> Entries:
-        return cls(*(np.concatenate([getattr(p, f) for p in parts]) for f in cls.FIELDS))
+        """Takes the parts apart field by field, so that no more than one field is held twice."""
+        fields = []
+        for f in cls.FIELDS:
+            fields.append(np.concatenate([getattr(p, f) for p in parts]))
+            for p in parts:
+                delattr(p, f)
+        return cls(*fields)
 
     def take(self, order: np.ndarray) -> Entries:
         return Entries(*(getattr(self, f)[order] for f in self.FIELDS))
 
+    def sort(self, order: np.ndarray) -> Entries:
+        """In place, field by field."""
+        for f in self.FIELDS:
+            setattr(self, f, getattr(self, f)[order])
+        return self
+
     def __len__(self) -> int:
         return len(self.doc)
 
@@ -279,15 +305,18 @@ def front_decode(run: bytes) -> tuple[Entries, np.ndarray]:
     doc, pos, nr, nl, left = read(np.int64, n), read(np.int32, n), read(np.uint8, n), read(np.uint8, n), read(np.uint8, n * LEFT)
     right = np.zeros((n, LENGTH), np.uint8)
     right[np.arange(LENGTH)[None, :] >= same[:, None]] = rest
-    # an entry's byte j is that of the last entry before it that wrote byte j
-    rows = np.arange(n)[:, None]
-    wrote = np.where(np.arange(LENGTH)[None, :] >= same[:, None], rows, 0).astype(np.int32)
-    np.maximum.accumulate(wrote, axis=0, out=wrote)
-    return Entries(doc, pos, nr, nl, np.take_along_axis(right, wrote, axis=0), left.reshape(-1, LEFT)), same
+    for a in range(0, n, DECODE):  # an entry's byte j is that of the last entry before it that wrote byte j
+        first = max(a - 1, 0)  # complete already
+        part = right[first : a + DECODE]
+        wrote = np.where(np.arange(LENGTH)[None, :] >= same[first : a + DECODE, None], np.arange(len(part))[:, None], 0)
+        wrote[0] = 0
+        np.maximum.accumulate(wrote, axis=0, out=wrote)
+        part[:] = np.take_along_axis(part, wrote, axis=0)
+    return Entries(doc, pos, nr, nl, right, left.reshape(-1, LEFT)), same
 
 
-def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int, int, int]]:
-    """Merges sorted runs of (strings, prefix lengths) with a loser tree: (run, index, prefix shared with the string before).
+def merge_runs(runs: list[tuple[memoryview, bytes]]) -> Iterator[tuple[int, int, int]]:
+    """Merges sorted runs of (strings of LENGTH bytes end to end, prefix lengths) with a loser tree: (run, index, prefix shared with the string before).
 
     A node holds a losing run and the prefix its head shares with the string that beat it. When a run's next head comes up, the
     head that shares more with the last winner is smaller; only for equal lengths bytes are compared, from there on.
@@ -299,34 +328,32 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int,
     loser = [-1] * k  # runs; -1: none, the end of all
     shared = [0] * k
 
-    def play(run: int, node: int) -> int:
+    def order(a: int, b: int, known: int) -> tuple[int, int]:
+        """Which of two heads comes first (ties: of the lesser run), and the prefix they share."""
+        x, y = LENGTH * at[a], LENGTH * at[b]
+        x, y = (int.from_bytes(runs[r][0][i + known : i + LENGTH], "big") for r, i in ((a, x), (b, y)))
+        return (a if x < y or (x == y and a < b) else b), LENGTH - (((x ^ y).bit_length() + 7) >> 3)
+
+    def play(node: int) -> int:
         """The winner of a subtree, while it is built."""
         if node >= k:
             i = node - k
-            return i if i < len(runs) and runs[i][0] else -1
-        a, b = play(run, 2 * node), play(run, 2 * node + 1)
-        if b < 0:
-            return a
-        if a < 0:
-            return b
-        x, y = runs[a][0][0], runs[b][0][0]
-        diff = int.from_bytes(x, "big") ^ int.from_bytes(y, "big")
-        n = (8 * LENGTH - diff.bit_length()) >> 3
-        lost = b if x <= y else a
-        loser[node], shared[node] = lost, n
-        return a if lost == b else b
-
-    win, same = play(0, 1), 0
+            return i if i < len(runs) and runs[i][1] else -1
+        a, b = play(2 * node), play(2 * node + 1)
+        if a < 0 or b < 0:
+            return max(a, b)
+        first, shared[node] = order(a, b, 0)
+        loser[node] = a + b - first
+        return first
+
+    win, same = play(1) if k > 1 else (0 if runs and runs[0][1] else -1), 0
     while win >= 0:
         i = at[win]
         yield win, i, same
         at[win] = i = i + 1
-        strings, prefixes = runs[win]
+        prefixes = runs[win][1]
         node = (win + k) >> 1
-        if i < len(strings):
-            cur, same = win, prefixes[i]
-        else:
-            cur, same = -1, -1
+        cur, same = (win, prefixes[i]) if i < len(prefixes) else (-1, -1)
         while node:
             other = loser[node]
             if other >= 0:
@@ -335,53 +362,109 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int,
                     loser[node], shared[node] = cur, same
                     cur, same = other, n
                 elif n == same:
-                    x, y = runs[cur][0][at[cur]], runs[other][0][at[other]]
-                    diff = int.from_bytes(x[n:], "big") ^ int.from_bytes(y[n:], "big")
-                    m = LENGTH - ((diff.bit_length() + 7) >> 3)
-                    if y < x if m < LENGTH else other < cur:
-                        loser[node], shared[node] = cur, m
-                        cur = other
-                    else:
-                        shared[node] = m
+                    first, shared[node] = order(cur, other, n)
+                    loser[node] = cur + other - first
+                    cur = first
             node >>= 1
         win = cur
 
 
-def repeated_spans(e: Entries, same: np.ndarray) -> np.ndarray:
-    """Spans covered by strings that start earlier, from entries sorted by right context with their prefix lengths."""
+def repeats(e: Entries, same: np.ndarray, first: int = 0, last: int = LEFT) -> tuple[np.ndarray, np.ndarray]:
+    """What starts earlier, too, of entries sorted by right context with their prefix lengths, for the splits with ``first`` to ``last`` bytes to the left:
+    the spans that such strings cover, and for each entry whether a split is open (possible, and none starts earlier) of those with up to
+    HALF bytes to the left, and of those with at least HALF."""
     n = len(e)
+    still = np.ones((n, 2), bool)
     # entries alone with their gram have nothing to be compared with
     gram = np.cumsum(same < GRAM)
-    crowd = np.bincount(gram)[gram] > 1
+    crowd = np.bincount(gram)[gram] > 1 if n else np.empty(0, bool)
     by_place = np.lexsort((e.pos, e.doc))
     by_place = by_place[crowd[by_place]]
     if not len(by_place):
-        return np.empty(0, _SPAN)
+        return np.empty(0, _SPAN), still
     doc, pos, nr, nl = (x[by_place] for x in (e.doc, e.pos, e.nr, e.nl))
     left = e.left[by_place]
     by_left = np.argsort(_text(left), kind="stable")
     same_left = shared_prefix(left[by_left])
+    del left
     back = np.empty(len(by_left), np.int64)
     back[by_left] = np.arange(len(by_left))
     low, high = np.full(len(doc), LENGTH, np.int16), np.full(len(doc), -1, np.int16)
-    for to_left in range(LEFT + 1):
+    unsettled = np.zeros((len(doc), 2), bool)
+    for to_left in range(first, last + 1):
         to_right = LENGTH - to_left
         fit = np.flatnonzero((nr >= to_right) & (nl >= to_left))
-        right_class = np.cumsum(same < to_right)[by_place[fit]]
-        left_class = np.cumsum(same_left < to_left)[back[fit]]
-        key = right_class * (n + 1) + left_class
+        if not len(fit):
+            continue
+        key = np.cumsum(same < to_right)[by_place[fit]] * (n + 1) + np.cumsum(same_left < to_left)[back[fit]]
         order = np.argsort(key, kind="stable")
         key = key[order]
-        new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.empty(0, bool)
-        lead = fit[order][np.flatnonzero(new)][np.cumsum(new) - 1] if len(key) else fit
+        new = np.concatenate(([True], key[1:] != key[:-1]))
         own = fit[order]
-        late = own[(doc[lead] != doc[own]) | (pos[lead] != pos[own])]
+        lead = own[np.flatnonzero(new)][np.cumsum(new) - 1]
+        is_late = (doc[lead] != doc[own]) | (pos[lead] != pos[own])
+        late = own[is_late]
         low[late] = np.minimum(low[late], to_left)
         high[late] = to_left
+        for side in (0, 1):
+            if to_left <= HALF if side == 0 else to_left >= HALF:
+                unsettled[own[~is_late], side] = True
+    still[by_place] = unsettled
     hit = high >= 0
     out = np.zeros(hit.sum(), _SPAN)
     out["doc"], out["start"], out["end"] = doc[hit], pos[hit] - high[hit], pos[hit] + LENGTH - low[hit]
-    return out
+    return out, still
+
+
+class Parts:
+    """Where entries go: ranges of their suffixes (each dealt by a hash of the gram if there are more parts than ranges), and for each
+    hot gram ``width`` parts by the bytes to the right and as many by those to the left."""
+
+    def __init__(self, grams: list[bytes], parts: int):
+        """grams: a sorted sample."""
+        ranges = min(parts, RANGES)
+        self.subs = -(-parts // ranges)
+        counts: dict[bytes, int] = {}
+        for g in grams:
+            counts[g] = counts.get(g, 0) + 1
+        hot = {g: 2 * c * parts / len(grams) for g, c in counts.items() if c >= OFTEN and 2 * c * parts >= len(grams)}
+        rest = [g for g in grams if g not in hot]
+        self.bounds = np.array(sorted({rest[len(rest) * i // ranges] for i in range(1, ranges)}) if rest else [], f"S{GRAM}")
+        self.hot = np.array(sorted(hot), f"S{GRAM}")
+        self.width = np.array([max(2, math.ceil(hot[g])) for g in sorted(hot)], np.int64)
+        self.first = (len(self.bounds) + 1) * self.subs + np.concatenate(([0], np.cumsum(2 * self.width))).astype(np.int64)
+
+    def __len__(self) -> int:
+        return int(self.first[-1])
+
+    def splits(self, part: int) -> tuple[int, int]:
+        """The splits that a part answers for, by the bytes to the left."""
+        if part < self.first[0]:
+            return 0, LEFT
+        i = np.searchsorted(self.first, part, side="right") - 1
+        return (0, HALF) if part < self.first[i] + self.width[i] else (HALF, LEFT)
+
+    def hot_of(self, gram: np.ndarray) -> np.ndarray:
+        """The number of each hot gram; -1 for others."""
+        if not len(self.hot):
+            return np.full(len(gram), -1)
+        at = np.minimum(np.searchsorted(self.hot, gram), len(self.hot) - 1)
+        return np.where(self.hot[at] == gram, at, -1)
+
+    def of(self, right: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.bounds, _text(right[:, :GRAM]), side="right") * self.subs
+        return at if self.subs == 1 else at + _hash(right[:, :GRAM]) % self.subs
+
+    def of_hot(self, hot: np.ndarray, context: np.ndarray, side: int) -> np.ndarray:
+        return self.first[hot] + side * self.width[hot] + _hash(context) % self.width[hot]
+
+
+def _hash(matrix: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(matrix), np.uint64)
+    for j in range(matrix.shape[1]):
+        h = (h + matrix[:, j]) * np.uint64(_B)
+        h ^= h >> np.uint64(29)
+    return (h >> np.uint64(1)).astype(np.int64)
 
 
 RUNS = ["part", "known", "block"], [pa.int32(), pa.bool_(), pa.binary()]
@@ -394,22 +477,37 @@ def _documents(blocks: pa.Table) -> Iterator[tuple[int | None, bytes]]:
             yield from ((d, t or b"") for d, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True))
 
 
-def _sorted_runs(bounds: list[bytes]):
-    """Step 2: front-coded sorted runs by suffix range, from a group's documents and places."""
-    splits = np.array(bounds, f"S{GRAM}")
-    parts = len(bounds) + 1
+def _sorted_runs(parts: Parts):
+    """Step 2: front-coded sorted runs by part, from a group's documents and places."""
+
+    def runs(e: Entries, to: np.ndarray) -> Iterator[tuple[int, bool, bytes]]:
+        """Entries in order, as a run for each part."""
+        order = np.argsort(to, kind="stable")
+        to = to[order]
+        cut = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1], [True]))) if len(e) else [0]
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            yield int(to[a]), False, front_code(e.take(order[a:b]))
 
-    def flush(held: list[Entries], salt: int) -> list[tuple[int, bool, bytes]]:
+    def flush(held: list[Entries], salt: int) -> Iterator[tuple[int, bool, bytes]]:
         e, gone = _whole_copies(Entries.concat(held))
-        e = e.take(np.argsort(_text(e.right), kind="stable"))
-        edges = np.searchsorted(splits, _text(e.right[:, :GRAM]), side="right")
-        cut = np.flatnonzero(np.concatenate(([True], edges[1:] != edges[:-1], [True]))) if len(e) else [0]
-        rows = [(int(edges[a]), False, front_code(e.take(np.arange(a, b)))) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        return rows + [((salt + p) % parts, True, squeeze(b)) for p, b in _groups(np.arange(len(gone)) // 4096, gone)]
+        e.sort(np.argsort(_text(e.right), kind="stable"))
+        hot = parts.hot_of(_text(e.right[:, :GRAM]))
+        if (hot >= 0).any():
+            cold, e, hot = e.take(np.flatnonzero(hot < 0)), e.take(np.flatnonzero(hot >= 0)), hot[hot >= 0]
+            yield from runs(cold, parts.of(cold.right))
+            late, still = repeats(e, shared_prefix(e.right))
+            gone = np.concatenate([gone, late])
+            for side, context in enumerate((e.right[:, GRAM : GRAM + HALF], e.left[:, :HALF])):
+                go = np.flatnonzero(still[:, side])
+                yield from runs(e.take(go), parts.of_hot(hot[go], context[go], side))
+        else:
+            yield from runs(e, parts.of(e.right))
+        for p, b in _groups(np.arange(len(gone)) // 4096, gone):
+            yield (salt + p) % len(parts), True, squeeze(b)
 
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, found: pa.Table) -> pa.Table:
         places = np.concatenate([np.frombuffer(unsqueeze(b), _PLACE) for b in found.column("places").to_pylist()] or [np.empty(0, _PLACE)])
-        places = np.sort(places, order=["doc", "pos"])
+        places.sort(order=["doc", "pos"])
         held, n, salt, rows = [], 0, key[0].as_py() * 7919, []
         for doc, text in _documents(docs):
             if doc is None:
@@ -430,25 +528,29 @@ def _sorted_runs(bounds: list[bytes]):
     return run
 
 
-def _merged(groups: int):
-    """Reduce side: merges a range's runs and packs its spans by document group."""
+def _merged(groups: int, parts: Parts):
+    """Reduce side: merges a part's runs and packs its spans by document group."""
 
-    def run(table: pa.Table) -> pa.Table:
-        known, blocks = table.column("known").to_pylist(), table.column("block").to_pylist()
-        spans = [np.frombuffer(unsqueeze(b), _SPAN) for k, b in zip(known, blocks, strict=True) if k]
-        runs = [front_decode(b) for k, b in zip(known, blocks, strict=True) if not k]
-        del blocks, known
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans, runs = [np.empty(0, _SPAN)], []
+        for batch in batches:
+            for known, block in zip(batch.column("known").to_pylist(), batch.column("block"), strict=True):
+                if known:
+                    spans.append(np.frombuffer(unsqueeze(block.as_py()), _SPAN))
+                else:
+                    runs.append(front_decode(block.as_py()))
         if runs:
-            heads = [([r.tobytes() for r in e.right], same.tolist()) for e, same in runs]
-            base = np.cumsum([0, *(len(e) for e, _ in runs)])
-            merged = np.fromiter((x for w, i, s in merge_runs(heads) for x in (base[w] + i, s)), np.int64, 2 * base[-1]).reshape(-1, 2)
+            base = np.cumsum([0, *(len(e) for e, _ in runs)]).tolist()
+            heads = [(memoryview(e.right).cast("B"), same.tobytes()) for e, same in runs]
+            merged = np.fromiter((x for w, i, s in merge_runs(heads) for x in (base[w] + i, s)), np.int32, 2 * base[-1]).reshape(-1, 2)
             del heads
             everything = Entries.concat([e for e, _ in runs])
             del runs
-            spans.append(repeated_spans(everything.take(merged[:, 0]), merged[:, 1]))
-        found = np.concatenate(spans) if spans else np.empty(0, _SPAN)
+            spans.append(repeats(everything.sort(merged[:, 0]), merged[:, 1], *parts.splits(key[0].as_py()))[0])
+            del everything
+        found = np.concatenate(spans)
         rows = [(g, squeeze(b)) for g, b in _groups(group_of(found["doc"], groups), found)]
-        return pa.Table.from_batches([_batch(rows, ["g", "spans"], [pa.int32(), pa.binary()])])
+        yield _batch(rows, ["g", "spans"], [pa.int32(), pa.binary()])
 
     return run
 
@@ -470,8 +572,8 @@ def _removed(docs: pa.Table, found: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_batch(out, names, [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()])])
 
 
-def _bounds(docs: DataFrame, rows: int, parts: int) -> list[bytes]:
-    """Suffix range bounds from the grams at anchors of a bounded hash sample of the documents. They balance the ranges; results don't depend on them."""
+def _parts(docs: DataFrame, rows: int, parts: int) -> Parts:
+    """Parts from the grams at anchors of a bounded hash sample of the documents. They balance the work; results don't depend on them."""
     limit = min(1.0, SAMPLE_DOCS / max(rows, 1))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -483,9 +585,7 @@ def _bounds(docs: DataFrame, rows: int, parts: int) -> list[bytes]:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["gram"])
 
     few = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(limit * (1 << 20)) + 1).select("text")
-    found = sorted(bytes(r[0]).rstrip(b"\0") for r in few.mapInArrow(grams, "gram binary").collect())
-    picked = [found[len(found) * i // parts] for i in range(1, parts)] if found else []
-    return sorted(set(picked))
+    return Parts(sorted(bytes(r[0]).rstrip(b"\0") for r in few.mapInArrow(grams, "gram binary").collect()), parts)
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -497,8 +597,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     dealt = pack(every, parts)  # used twice; Spark reuses the exchange
     blocks = rows.mapInArrow(_hash_blocks(parts), "part int, known boolean, block binary")
     places = blocks.groupBy("part").applyInArrow(_repeated(parts), "g int, places binary")
-    runs = dealt.groupBy("g").cogroup(places.groupBy("g")).applyInArrow(_sorted_runs(_bounds(rows, n, parts)), "part int, known boolean, block binary")
-    spans = runs.groupBy("part").applyInArrow(_merged(parts), "g int, spans binary")
+    dealing = _parts(rows, n, parts)
+    runs = dealt.groupBy("g").cogroup(places.groupBy("g")).applyInArrow(_sorted_runs(dealing), "part int, known boolean, block binary")
+    spans = runs.groupBy("part").applyInArrow(_merged(parts, dealing), "g int, spans binary")
     out = dealt.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(
         _removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans binary"
     )

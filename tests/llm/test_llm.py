@@ -341,6 +341,32 @@ def test_random_repeats(spark, seed):
     assert got == suffix_dedup.brute_force(rows)
 
 
+@pytest.mark.parametrize("often", [1, 4])
+def test_hot_grams_in_parts_of_their_own(spark, monkeypatch, often):
+    """A line of 60 bytes and a passage of 150 in ever new surroundings; with ``often`` 1 every sampled gram counts as hot."""
+    monkeypatch.setattr(suffix_dedup, "OFTEN", often)
+    r = random.Random(11)
+    line, passage = "".join(r.choices("abcdefgh", k=60)), "".join(r.choices("abcdefgh", k=150))
+    fill = lambda n: "".join(r.choices("stuvwxyz", k=n))
+    rows = [(i, fill(r.randint(0, 60)) + (passage if i % 3 == 0 else line) + r.choice([fill(30), "same tail " * 6, ""]) + line[: r.randint(0, 60)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(suffix_dedup._parts(df, 300, 8).hot) > 0
+    got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in suffix_dedup.remove_repeats(df).collect()}
+    assert got == suffix_dedup.brute_force(rows)
+
+
+def test_parts_answer_for_every_split():
+    grams = sorted([b"x" * 32] * 50 + [b"%032d" % i for i in range(50)])
+    p = suffix_dedup.Parts(grams, 8)
+    assert list(p.hot) == [b"x" * 32] and p.width[0] >= 2 and len(p) == p.first[0] + 2 * p.width[0]
+    sides = [p.splits(i) for i in range(len(p))]
+    assert sides.count((0, suffix_dedup.HALF)) == sides.count((suffix_dedup.HALF, suffix_dedup.LEFT)) == p.width[0] and sides[0] == (0, suffix_dedup.LEFT)
+    assert suffix_dedup.Parts([], 8).splits(0) == (0, suffix_dedup.LEFT)
+    many = suffix_dedup.Parts(grams, 3 * suffix_dedup.RANGES)
+    right = np.frombuffer(b"".join(g + bytes(68) for g in grams), np.uint8).reshape(-1, 100)
+    assert many.subs == 3 and (many.of(right) < many.first[0]).all()
+
+
 def test_long_text_in_pieces(monkeypatch):
     r = random.Random(1)
     text = "".join(r.choices("abcd", k=5000)).encode()
@@ -356,10 +382,11 @@ def test_loser_tree_merges_with_prefixes():
         m = np.zeros((n, suffix_dedup.LENGTH), np.uint8)
         m[:, :6] = r.integers(97, 99, (n, 6))
         m = m[np.argsort(suffix_dedup._text(m))] if n else m
-        runs.append(([x.tobytes() for x in m], suffix_dedup.shared_prefix(m).tolist()))
-    out = [(runs[w][0][i], s) for w, i, s in suffix_dedup.merge_runs(runs)]
+        runs.append((memoryview(m.tobytes()), suffix_dedup.shared_prefix(m).tobytes()))
+    at = lambda q, i: bytes(q[suffix_dedup.LENGTH * i : suffix_dedup.LENGTH * (i + 1)])
+    out = [(at(runs[w][0], i), s) for w, i, s in suffix_dedup.merge_runs(runs)]
     strings = [x for x, _ in out]
-    assert strings == sorted(x for q, _ in runs for x in q)
+    assert strings == sorted(at(q, i) for q, p in runs for i in range(len(p)))
     both = np.frombuffer(b"".join(strings), np.uint8).reshape(-1, suffix_dedup.LENGTH)
     assert [s for _, s in out] == suffix_dedup.shared_prefix(both).tolist()
 
