@@ -28,7 +28,7 @@ def build_bars(ticks: DataFrame, step_ms: int, tick_id: str = "event_id") -> Dat
         F.avg("spread").alias("spread_mean"), F.max("spread").alias("spread_max"), F.min("spread").alias("spread_min"),
         F.countDistinct("broker").alias("source_count"), F.sqrt(F.coalesce(F.sum(F.col("_d") * F.col("_d")), F.lit(0.0))).alias("realized_vol"),
     )
-    return bars.withColumn("mid_return", F.col("close") / F.col("open") - 1)
+    return bars.withColumn("mid_return", F.try_divide("close", "open") - 1)
 
 
 def calendar_bars(bars: DataFrame, unit: str) -> DataFrame:
@@ -44,7 +44,7 @@ def microstructure(ticks: DataFrame, step_ms: int = 300_000) -> DataFrame:
     t = ticks.withColumns({"bar": floor_to("time_msc", step_ms), "mid": mid})
     w = Window.partitionBy("symbol", "bar").orderBy("time_msc", "event_id")
     side = lambda bit: F.sum((F.col("flags").bitwiseAND(bit) > 0).cast("long"))
-    bps = (F.col("ask") - F.col("bid")) / F.col("mid") * 1e4
+    bps = F.try_divide(F.col("ask") - F.col("bid"), F.col("mid")) * 1e4  # null for a mid of 0
     t = t.withColumn("_d", F.log("mid") - F.log(F.lag("mid").over(w)))
     out = t.groupBy("symbol", "bar").agg(
         F.count("*").alias("ticks"), side(FLAG_BUY).alias("buys"), side(FLAG_SELL).alias("sells"), F.avg(bps).alias("spread_bps_mean"), F.stddev_pop(bps).alias("spread_bps_std"),

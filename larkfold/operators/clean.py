@@ -11,7 +11,7 @@ from larkfold.operators.series import frame, islands, rolling
 def valid_quote(max_spread: float = 0.01) -> Column:
     """bid and ask positive, not crossed, spread within a share of the mid."""
     mid = (F.col("bid") + F.col("ask")) / 2
-    return F.coalesce((F.col("bid") > 0) & (F.col("ask") > 0) & (F.col("bid") <= F.col("ask")) & ((F.col("ask") - F.col("bid")) / mid <= max_spread), F.lit(False))
+    return F.coalesce((F.col("bid") > 0) & (F.col("ask") > 0) & (F.col("bid") <= F.col("ask")) & (F.try_divide(F.col("ask") - F.col("bid"), mid) <= max_spread), F.lit(False))
 
 
 def clean_report(ticks: DataFrame, max_spread: float = 0.01) -> DataFrame:
@@ -19,7 +19,7 @@ def clean_report(ticks: DataFrame, max_spread: float = 0.01) -> DataFrame:
     mid = (F.col("bid") + F.col("ask")) / 2
     failed = (
         F.when(F.col("bid").isNull() | F.col("ask").isNull(), "null").when((F.col("bid") <= 0) | (F.col("ask") <= 0), "non_positive")
-        .when(F.col("bid") > F.col("ask"), "crossed").when((F.col("ask") - F.col("bid")) / mid > max_spread, "wide").otherwise("kept")
+        .when(F.col("bid") > F.col("ask"), "crossed").when(F.try_divide(F.col("ask") - F.col("bid"), mid) > max_spread, "wide").otherwise("kept")
     )
     return ticks.groupBy(failed.alias("stage")).agg(F.count("*").alias("n"))
 
@@ -32,7 +32,7 @@ def drop_spikes(ticks: DataFrame, keys: list[str], order: list[str], bucket: Col
         return {"_med": F.percentile(mid, F.lit(0.5)).over(frame(w, n))}
 
     out = rolling(ticks, keys, order, bucket, columns, before=n, keep_ordinal=True)
-    return out.where((F.col("_rn") < n) | (F.abs(mid - F.col("_med")) / F.col("_med") <= limit)).drop("_med", "_rn")
+    return out.where((F.col("_rn") < n) | (F.try_divide(F.abs(mid - F.col("_med")), "_med") <= limit)).drop("_med", "_rn")
 
 
 def stale_runs(ticks: DataFrame, keys: list[str], order: list[str], bucket: Column, limit: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def future_return(price: str, horizon: int, w: WindowSpec) -> Column:
-    return F.lead(price, horizon).over(w) / F.col(price) - 1
+    return F.try_divide(F.lead(price, horizon).over(w), F.col(price)) - 1
 
 
 def direction(ret: str, threshold: float = 0.0) -> Column:

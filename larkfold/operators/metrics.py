@@ -37,7 +37,7 @@ def drawdowns(curve: DataFrame, keys: list[str], order: list[str], equity: str,
     tops = df.groupBy(*keys, "_bucket").agg(F.max(equity).alias("_top")).select(*keys, "_bucket", F.max("_top").over(before).alias("_before"))
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = df.join(tops, [*keys, "_bucket"]).withColumn("peak", F.greatest("_before", F.max(equity).over(inside)))
-    return out.withColumn("drawdown", F.col(equity) / F.col("peak") - 1).drop("_bucket", "_before")
+    return out.withColumn("drawdown", F.try_divide(equity, "peak") - 1).drop("_bucket", "_before")
 
 
 def conformal_quantile(scores: DataFrame, by: list[str], score: str, bucket: Column, alpha: float) -> DataFrame:

@@ -85,46 +85,43 @@ def running(df: DataFrame, keys: list[str], order: list[str], bucket: Column, su
     return out.drop("_bucket", *[f"{p}{k}" for k in sums for p in ("_v_", "_c_")])
 
 
-def linear_recurrence(df: DataFrame, keys: list[str], value: str, decay: float, out: str, block: int = BLOCK, ordinal_column: str = "_rn") -> DataFrame:
-    """y[0] = x[0]; y[i] = decay * y[i-1] + x[i]. Needs the ordinal of each row.
+def linear_recurrence(df: DataFrame, keys: list[str], value: str, decay: float | str, out: str, block: int = BLOCK, ordinal_column: str = "_rn") -> DataFrame:
+    """y[0] = x[0]; y[i] = decay[i] * y[i-1] + x[i], with a decay for all or a column of them. Needs the ordinal of each row.
 
     A block is scanned from zero by itself; over the blocks' ends (one row a block) the same recurrence
-    gives what each block is carried; y = own + decay ** (rows so far) * carried.
+    gives what each block is carried; y = own + product of decays so far * carried.
     """
     b = (F.col(ordinal_column) / block).cast("long")
-    df = df.withColumn("_b", b)
+    df = df.withColumns({"_b": b, "_decay": (F.lit(decay) if isinstance(decay, float) else F.col(decay)).cast("double")})
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ordinal_column, ignore_index=True)
-        pdf["_own"] = _scan(pdf[value].to_numpy(float), decay)
-        pdf["_k"] = np.arange(1, len(pdf) + 1, dtype=np.int64)
+        pdf["_own"], pdf["_left"] = _scan(pdf[value].to_numpy(float), pdf["_decay"].to_numpy(float))
         return pdf
 
     fields = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-    own = df.groupBy(*keys, "_b").applyInPandas(scan, f"{fields}, _own double, _k long")
-    ends = own.groupBy(*keys, "_b").agg(F.max_by("_own", "_k").alias("_end"), F.max("_k").alias("_len"))
+    own = df.groupBy(*keys, "_b").applyInPandas(scan, f"{fields}, _own double, _left double")
+    ends = own.groupBy(*keys, "_b").agg(F.max_by("_own", ordinal_column).alias("_end"), F.max_by("_left", ordinal_column).alias("_all"))
 
     def carry(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_b", ignore_index=True)
-        carried, y = [], 0.0
-        for end, n in zip(pdf["_end"], pdf["_len"], strict=True):
-            carried.append(y)
-            y = end + decay**n * y
-        return pdf.assign(_carried=carried).drop(columns=["_end", "_len"])
+        y, _ = _scan(pdf["_end"].to_numpy(float), pdf["_all"].to_numpy(float))
+        return pdf.assign(_carried=np.concatenate(([0.0], y[:-1]))).drop(columns=["_end", "_all"])
 
     kinds = dict(df.dtypes)
     carried = ends.groupBy(*keys).applyInPandas(carry, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", _b long, _carried double")
-    y = F.col("_own") + F.pow(F.lit(decay), F.col("_k")) * F.col("_carried")
-    return own.join(carried, [*keys, "_b"]).withColumn(out, y).drop("_b", "_own", "_k", "_carried")
-
-
-def _scan(x: np.ndarray, decay: float) -> np.ndarray:
-    out = np.empty(len(x))
-    y = 0.0
-    for i, v in enumerate(x):
-        y = decay * y + v
-        out[i] = y
-    return out
+    y = F.col("_own") + F.col("_left") * F.col("_carried")
+    return own.join(carried, [*keys, "_b"]).withColumn(out, y).drop("_b", "_decay", "_own", "_left", "_carried")
+
+
+def _scan(x: np.ndarray, decay: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """y[i] = decay[i] * y[i-1] + x[i] from y[-1] = 0, and the products of the decays so far: steps are composed in pairs, fours, eights and so on."""
+    y, left, step = x.astype(float), decay.astype(float), 1
+    while step < len(y):
+        y[step:] += left[step:] * y[:-step]
+        left[step:] *= left[:-step]
+        step *= 2
+    return y, left
 
 
 def ema(df: DataFrame, keys: list[str], value: str, alpha: float, out: str, block: int = BLOCK) -> DataFrame:

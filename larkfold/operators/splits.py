@@ -16,17 +16,19 @@ def holdout(df: DataFrame, keys: list[str], order: list[str], bucket: Column, tr
     return ordinal(df, keys, order, bucket).join(n, keys).withColumn("split", split).drop("_rn", "_n")
 
 
-def walk_forward(df: DataFrame, keys: list[str], order: list[str], bucket: Column, train: int, test: int, step: int, folds: int, gap: int = 0) -> DataFrame:
-    """A copy of a row for each fold that uses it, with ``fold`` and ``part``. Folds are a fixed list, so rows are exploded, not joined."""
-    i = F.col("_rn")
+def walk_forward(df: DataFrame, keys: list[str], order: list[str], bucket: Column, folds: int = 5, train: float = 0.6, gap: float = 0.02, embargo: int = 0) -> DataFrame:
+    """A copy of a row for each fold that uses it, with ``fold`` and ``part``. The last 1 - ``train`` of a series are dealt to ``folds`` tests one
+    after the other; a fold trains on everything before its test but a gap (a share of the series, ``embargo`` rows at least). Folds without a train row drop out."""
+    n = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    i, step, apart = F.col("_rn"), F.floor(F.col("_n") * (1 - train) / folds), F.greatest(F.floor(F.col("_n") * gap), F.lit(embargo))
 
     def part(k: int) -> Column:
-        a = k * step
-        inside = F.when((i >= a) & (i < a + train), "train").when((i >= a + train + gap) & (i < a + train + gap + test), "test")
+        start = F.floor(F.col("_n") * train) + k * step
+        inside = F.when(start - apart < 1, None).when(i < start - apart, "train").when((i >= start) & (i < start + step), "test")
         return F.when(inside.isNotNull(), F.struct(F.lit(k).alias("fold"), inside.alias("part")))
 
-    out = ordinal(df, keys, order, bucket).withColumn("_f", F.explode(F.array_compact(F.array(*[part(k) for k in range(folds)]))))
-    return out.select("*", "_f.fold", "_f.part").drop("_rn", "_f")
+    out = ordinal(df, keys, order, bucket).join(n, keys).withColumn("_f", F.explode(F.array_compact(F.array(*[part(k) for k in range(folds)]))))
+    return out.select("*", "_f.fold", "_f.part").drop("_rn", "_f", "_n")
 
 
 def robust_scale(df: DataFrame, columns: list[str], clip: float = 5.0) -> DataFrame:

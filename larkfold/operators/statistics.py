@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkfold.operators.series import BLOCK, linear_recurrence, ordinal
+
 
 def bootstrap_paths(returns: DataFrame, by: str, ret: str, paths: int, block: int = 10, seed: int = 1, chunk: int = 100) -> DataFrame:
     """Block bootstrap of each key's returns: (key, path, final, max_drawdown). Paths are dealt to tasks in chunks; each chunk has its
@@ -81,25 +83,27 @@ def isotonic(points: DataFrame, by: list[str], score: str, outcome: str, bins: i
     return sums.groupBy(*by).applyInPandas(pool, ", ".join(f"{k} {kinds[k]}" for k in by) + ", bin int, w long, calibrated double")
 
 
-def kalman_level(df: DataFrame, keys: list[str], order: str, value: str, process: float, noise: float, days: str) -> DataFrame:
-    """Local-level Kalman filter of each (key, period): adds ``level`` and ``variance``. The filter restarts each period (``days``: its column), which
-    bounds what one task walks."""
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, ignore_index=True)
-        level, p, out = None, 1.0, []
-        for z in pdf[value]:
-            if level is None:
-                level, p = z, noise
-            else:
-                p += process
-                k = p / (p + noise)
-                level, p = level + k * (z - level), (1 - k) * p
-            out.append((level, p))
-        return pdf.assign(level=[a for a, _ in out], variance=[b for _, b in out])
-
-    fields = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-    return df.groupBy(*keys, days).applyInPandas(walk, f"{fields}, level double, variance double")
+def kalman_gains(process: float, noise: float, start: float) -> list[tuple[float, float]]:
+    """(gain, variance) of a local-level filter by ordinal, until they don't change any more. They depend on no observation."""
+    p, out = start, [(1.0, start)]
+    while len(out) < 2 or out[-1] != out[-2]:
+        gain = (p + process) / (p + process + noise)
+        p = (1 - gain) * (p + process)
+        out.append((gain, p))
+        if len(out) == 100_000:
+            break
+    return out
+
+
+def kalman_level(df: DataFrame, keys: list[str], order: list[str], bucket: Column, value: str, process: float, noise: float, block: int = BLOCK) -> DataFrame:
+    """Local-level Kalman filter of a series: adds ``level`` and ``variance``. The level starts at the first value with the noise's variance.
+    With the gain a function of the ordinal, the level is a linear recurrence, scanned by blocks."""
+    steps = kalman_gains(process, noise, noise)
+    at = F.least(F.col("_rn"), F.lit(len(steps) - 1)).cast("int")
+    pick = lambda i: F.get(F.lit([s[i] for s in steps]), at)
+    df = ordinal(df, keys, order, bucket).withColumns({"_gain": pick(0), "variance": pick(1)})
+    df = df.withColumns({"_x": F.col("_gain") * F.col(value), "_keep": 1 - F.col("_gain")})
+    return linear_recurrence(df, keys, "_x", "_keep", "level", block).drop("_x", "_keep", "_gain", "_rn")
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -231,13 +231,6 @@ def j01(spark: SparkSession, d: str) -> DataFrame:
     return merge.last_per_bucket(ticks(spark, d), HOUR).select("symbol", "bucket", "a_bid", "b_bid", "a_time_msc", "b_time_msc")
 
 
-@query("j01_canonical_merge")
-def j01_merge(spark: SparkSession, d: str) -> DataFrame:
-    """The recursive merge: each bucket's choice depends on the one before (no SQL; tested against a plain loop)."""
-    m = merge.merge_sources(merge.last_per_bucket(ticks(spark, d), HOUR), HOUR)
-    return m.select("symbol", "bucket", *[F.round(c, 6).alias(c) for c in ("bid", "ask", "quality")], "source", "merge_mode")
-
-
 @query(
     "j02_asof_backward_per_user",
     """WITH v AS (SELECT user_id, epoch_us(ts) // 1000 AS t, event_id FROM events WHERE event_type = 'view'), p AS (SELECT user_id, epoch_us(ts) // 1000 AS t, event_id FROM events WHERE event_type = 'purchase')
@@ -278,26 +271,26 @@ def j04(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "j06_interval_join",
-    f"""WITH {TICKS_SQL}, s AS (SELECT symbol, time_msc AS start, time_msc + 7200000 AS stop, event_id AS span_id FROM ticks WHERE event_id % 50 = 0)
+    f"""WITH {TICKS_SQL}, s AS (SELECT symbol, time_msc AS start, time_msc + 7200000 AS stop, event_id AS span_id FROM ticks)
      SELECT s.span_id, count(*) AS n, round(sum(t.bid), 4) AS total FROM s JOIN ticks t ON t.symbol = s.symbol AND t.time_msc >= s.start AND t.time_msc < s.stop GROUP BY s.span_id""",
 )
 def j06(spark: SparkSession, d: str) -> DataFrame:
     t = ticks(spark, d)
-    s = t.where("event_id % 50 = 0").select("symbol", F.col("time_msc").alias("start"), (F.col("time_msc") + 7_200_000).alias("stop"), F.col("event_id").alias("span_id"))
+    s = t.select("symbol", F.col("time_msc").alias("start"), (F.col("time_msc") + 7_200_000).alias("stop"), F.col("event_id").alias("span_id"))
     j = joins.interval_join(t.select("symbol", "time_msc", "bid"), s, ["symbol"], "time_msc", "start", "stop", HOUR)
     return j.groupBy("span_id").agg(F.count("*").alias("n"), F.round(F.sum("bid"), 4).alias("total"))
 
 
 @query(
     "j07_first_touch",
-    f"""WITH {TICKS_SQL}, e AS (SELECT symbol, event_id AS entry_id, time_msc AS t0, bid AS p0 FROM ticks WHERE event_id % 20 = 0)
+    f"""WITH {TICKS_SQL}, e AS (SELECT symbol, event_id AS entry_id, time_msc AS t0, bid AS p0 FROM ticks)
      SELECT e.entry_id, min(CASE WHEN t.bid >= p0 * 1.5 THEN t.time_msc END) AS up_at, min(CASE WHEN t.bid <= p0 * 0.5 THEN t.time_msc END) AS down_at
      FROM e LEFT JOIN ticks t ON t.symbol = e.symbol AND t.time_msc > t0 AND t.time_msc < t0 + 21600000 GROUP BY e.entry_id""",
 )
 def j07(spark: SparkSession, d: str) -> DataFrame:
     """The first tick through each barrier inside a horizon."""
     t = ticks(spark, d)
-    e = t.where("event_id % 20 = 0").select("symbol", F.col("event_id").alias("entry_id"), (F.col("time_msc") + 1).alias("t0"), (F.col("time_msc") + 21_600_000).alias("t1"), F.col("bid").alias("p0"))
+    e = t.select("symbol", F.col("event_id").alias("entry_id"), (F.col("time_msc") + 1).alias("t0"), (F.col("time_msc") + 21_600_000).alias("t1"), F.col("bid").alias("p0"))
     j = joins.interval_join(t.select("symbol", "time_msc", "bid"), e, ["symbol"], "time_msc", "t0", "t1", 6 * HOUR)
     hit = j.groupBy("entry_id").agg(
         F.min(F.when(F.col("bid") >= F.col("p0") * 1.5, F.col("time_msc"))).alias("up_at"), F.min(F.when(F.col("bid") <= F.col("p0") * 0.5, F.col("time_msc"))).alias("down_at")
@@ -367,11 +360,11 @@ def j16(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("u01_union_by_name", """SELECT o_orderkey, o_totalprice, NULL::BIGINT AS l_partkey FROM orders WHERE o_orderkey % 10 = 0
- UNION ALL SELECT l_orderkey, NULL, l_partkey FROM lineitem WHERE l_partkey % 10 = 0""")
+@query("u01_union_by_name", """SELECT o_orderkey, o_totalprice, NULL::BIGINT AS l_partkey FROM orders
+ UNION ALL SELECT l_orderkey, NULL, l_partkey FROM lineitem""")
 def u01(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", "o_totalprice")
-    b = table(spark, d, "lineitem").where("l_partkey % 10 = 0").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
+    a = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    b = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
     return a.unionByName(b, allowMissingColumns=True)
 
 
@@ -404,7 +397,7 @@ def a05(spark: SparkSession, d: str) -> DataFrame:
  quantile_cont(abs(a - b), 0.5)::DOUBLE AS median_offset_ms, max(abs(a - b)) AS max_offset_ms FROM x GROUP BY ALL""")
 def a07(spark: SparkSession, d: str) -> DataFrame:
     b = merge.last_per_bucket(ticks(spark, d), HOUR).withColumn("day", F.floor(F.col("bucket") / 24))
-    return merge.diagnostics(b, ["symbol", "day"])
+    return merge.co_presence(b, ["symbol", "day"])
 
 
 @query("a07_nearest_quantile", f"""WITH {TICKS_SQL}, l AS (SELECT symbol, list_sort(list(bid)) AS v FROM ticks GROUP BY symbol)

@@ -75,10 +75,14 @@ def k26(spark: SparkSession, d: str) -> DataFrame:
     return S.isotonic(p, ["k"], "s", "y", bins=50).withColumn("calibrated", F.round("calibrated", 6))
 
 
-@query("st19_kalman_level")
+@query("st19_kalman_level", f"""WITH RECURSIVE {TICKS_SQL}, r AS (SELECT symbol, event_id, bid, row_number() OVER (PARTITION BY symbol ORDER BY time_msc, event_id) AS i FROM ticks),
+ k AS (SELECT symbol, event_id, i, bid AS level, 25.0::DOUBLE AS p FROM r WHERE i = 1
+  UNION ALL SELECT r.symbol, r.event_id, r.i, level + (p + 1) / (p + 26) * (bid - level), (1 - (p + 1) / (p + 26)) * (p + 1) FROM k JOIN r ON r.symbol = k.symbol AND r.i = k.i + 1)
+ SELECT event_id, round(level, 6) AS level, round(p, 6) AS variance FROM k""")
 def st19(spark: SparkSession, d: str) -> DataFrame:
-    t = ticks(spark, d).select("symbol", "time_msc", "event_id", "bid", F.floor(F.col("time_msc") / DAY_MS).alias("day"))
-    return S.kalman_level(t, ["symbol"], "event_id", "bid", 1.0, 25.0, "day").select("event_id", F.round("level", 6).alias("level"), F.round("variance", 6).alias("variance"))
+    """The filter over each symbol's whole series."""
+    t = ticks(spark, d).select("symbol", "time_msc", "event_id", "bid")
+    return S.kalman_level(t, ["symbol"], ["time_msc", "event_id"], tick_bucket(), "bid", 1.0, 25.0).select("event_id", F.round("level", 6).alias("level"), F.round("variance", 6).alias("variance"))
 
 
 @query("e01_absorption", f"""WITH {BARS_SQL}, z AS (SELECT *, count(*) OVER {rows(30)} AS n, avg(tick_count) OVER {rows(30)} AS m, stddev_pop(tick_count) OVER {rows(30)} AS s FROM bars)

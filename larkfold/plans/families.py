@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +12,7 @@ from larkfold.operators import bars as B
 from larkfold.operators import joins, merge
 from larkfold.operators.clean import fill_forward
 from larkfold.operators.indicators import true_range
-from larkfold.operators.series import ema, frame, full, islands, ordinal, rolling, running
+from larkfold.operators.series import ema, frame, full, islands, linear_recurrence, ordinal, rolling, running
 from larkfold.plans.core import DAY_MS, HOUR, HOURLY_SQL, MONTHISH, hourly, tick_bucket
 from larkfold.plans.extra import TW, over_ticks
 from larkfold.plans.registry import query
@@ -139,7 +138,7 @@ def w30(spark: SparkSession, d: str) -> DataFrame:
  WINDOW p AS (PARTITION BY symbol ORDER BY bucket ROWS 59 PRECEDING)""")
 def f05(spark: SparkSession, d: str) -> DataFrame:
     b = merge.last_per_bucket(ticks(spark, d), HOUR)
-    b = b.withColumn("bps", (F.col("a_bid") - F.col("b_bid")) / ((F.col("a_bid") + F.col("b_bid")) / 2) * 1e4)
+    b = b.withColumn("bps", F.try_divide(F.col("a_bid") - F.col("b_bid"), (F.col("a_bid") + F.col("b_bid")) / 2) * 1e4)
 
     def columns(w):
         f = frame(w, 60)
@@ -313,26 +312,19 @@ def st07(spark: SparkSession, d: str) -> DataFrame:
     return out.select("symbol", F.col("vb").alias("volume_bucket"), F.round("vpin", 6).alias("vpin"))
 
 
-@query("st07_hawkes_intensity")
+@query("st07_hawkes_intensity", f"""WITH {TICKS_SQL} SELECT e.event_id, round(0.1 + coalesce(sum(0.5 * exp((p.time_msc - e.time_msc) / {HOUR}.0)), 0), 6) AS intensity
+ FROM ticks e LEFT JOIN ticks p ON p.symbol = e.symbol AND (p.time_msc < e.time_msc OR (p.time_msc = e.time_msc AND p.event_id < e.event_id)) GROUP BY e.event_id""")
 def st07_hawkes(spark: SparkSession, d: str) -> DataFrame:
-    """Self-exciting intensity after each tick, walked inside a symbol's day (no SQL; a test holds it against the sum it stands for)."""
+    """Self-exciting intensity at each tick, over the whole series."""
     return hawkes(ticks(spark, d).select("symbol", "time_msc", "event_id"), 0.5, 1.0).select("event_id", F.round("intensity", 6).alias("intensity"))
 
 
 def hawkes(t: DataFrame, alpha: float, beta: float, base: float = 0.1) -> DataFrame:
-    """base + sum of alpha * exp(-beta * hours since) over the day's earlier ticks."""
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["time_msc", "event_id"], ignore_index=True)
-        out, excite, last = [], 0.0, None
-        for ms in pdf["time_msc"]:
-            if last is not None:
-                excite = (excite + alpha) * math.exp(-beta * (ms - last) / HOUR)
-            out.append(base + excite)
-            last = ms
-        return pdf.assign(intensity=out).drop(columns=["day"])
-
-    return t.withColumn("day", tick_bucket()).groupBy("symbol", "day").applyInPandas(walk, "symbol string, time_msc long, event_id long, intensity double")
+    """base + sum of alpha * exp(-beta * hours since) over the earlier ticks: a recurrence whose decay is the gap's, scanned by blocks."""
+    order = ["time_msc", "event_id"]
+    t = rolling(t, ["symbol"], order, tick_bucket(), lambda w: {"_gap": F.col("time_msc") - F.lag("time_msc").over(w)}, before=1, keep_ordinal=True)
+    t = t.withColumns({"_decay_by": F.exp(-beta * F.coalesce("_gap", F.lit(0)) / HOUR), "_x": F.lit(alpha)})
+    return linear_recurrence(t, ["symbol"], "_x", "_decay_by", "_z").withColumn("intensity", base + F.col("_z") - alpha).drop("_gap", "_decay_by", "_x", "_z", "_rn")
 
 
 @query("st11_swings", f"""WITH {BARS_SQL}, x AS (SELECT symbol, day, high, low, max(high) OVER ({W} ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS hb, max(high) OVER ({W} ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING) AS ha, min(low) OVER ({W} ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS lb, min(low) OVER ({W} ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING) AS la, lead(day, 2) OVER ({W}) AS known_on, row_number() OVER ({W}) AS i FROM bars)

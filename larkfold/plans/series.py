@@ -155,20 +155,16 @@ def w15(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("w17_streaks", f"""WITH {BARS_SQL}, c AS (SELECT symbol, day, sign(close - lag(close) OVER ({W})) AS s FROM bars), r AS (SELECT *, sum(CASE WHEN s = lag(s) OVER ({W}) THEN 0 ELSE 1 END) OVER ({W}) AS run FROM (SELECT *, lag(s) OVER ({W}) AS p FROM c)),
- q AS (SELECT symbol, day, s, row_number() OVER (PARTITION BY symbol, run ORDER BY day) AS k FROM r) SELECT symbol, day, CAST(coalesce(s, 0) * least(k, 30) AS BIGINT) AS streak FROM q""".replace("sum(CASE WHEN s = lag(s) OVER (PARTITION BY symbol ORDER BY day) THEN 0 ELSE 1 END)", "sum(CASE WHEN s = p THEN 0 ELSE 1 END)"))
+ q AS (SELECT symbol, day, s, row_number() OVER (PARTITION BY symbol, run ORDER BY day) AS k FROM r) SELECT symbol, day, CAST(coalesce(s, 0) * k AS BIGINT) AS streak FROM q""".replace("sum(CASE WHEN s = lag(s) OVER (PARTITION BY symbol ORDER BY day) THEN 0 ELSE 1 END)", "sum(CASE WHEN s = p THEN 0 ELSE 1 END)"))
 def w17(spark: SparkSession, d: str) -> DataFrame:
-    """Signed length of the run of rises or falls, up to 30 (so a halo of 31 rows decides it)."""
+    """Signed length of the run of rises or falls: the distance from the last row that starts a run, however far back."""
     s = F.col("s")
 
     def columns(w):
-        return [
-            {"s": F.signum(F.col("close") - F.lag("close").over(w))},
-            {"run": islands(~F.coalesce(s == F.lag(s).over(w), F.lit(False)), w)},
-            {"k": F.row_number().over(Window.partitionBy("symbol", "_b", "run").orderBy("_rn"))},
-            {"streak": (F.coalesce(s, F.lit(0)) * F.least("k", F.lit(30))).cast("long")},
-        ]
+        return [{"s": F.signum(F.col("close") - F.lag("close").over(w))}, {"start": F.when(~F.coalesce(s == F.lag(s).over(w), F.lit(False)), F.col("_rn"))}]
 
-    return over_bars(spark, d, columns, 32).select("symbol", "day", "streak")
+    runs = fill_forward(over_bars(spark, d, columns, 2, keep_ordinal=True), KEYS, ORDER, bar_bucket(), ["start"])
+    return runs.select("symbol", "day", (F.coalesce(s, F.lit(0)) * (F.col("_rn") - F.col("start") + 1)).cast("long").alias("streak"))
 
 
 @query("w18_bars_since_event", f"""WITH {BARS_SQL}, c AS (SELECT symbol, day, row_number() OVER ({W}) AS i, tick_count >= 3 AS ev FROM bars)
@@ -299,10 +295,11 @@ def x01(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("symbol", "split").agg(F.count("*").alias("rows"), F.min("day").alias("first"), F.max("day").alias("last"))
 
 
-@query("x02_walk_forward", f"""WITH {BARS_SQL}, r AS (SELECT symbol, day, row_number() OVER ({W}) - 1 AS i FROM bars), f AS (SELECT k, k * 200 AS a FROM range(0, 5) t(k))
- SELECT symbol, k::INTEGER AS fold, CASE WHEN i < a + 500 THEN 'train' ELSE 'test' END AS part, count(*) AS rows, min(day) AS first, max(day) AS last FROM r JOIN f ON (i >= a AND i < a + 500) OR (i >= a + 510 AND i < a + 710) GROUP BY ALL""")
+@query("x02_walk_forward", f"""WITH {BARS_SQL}, r AS (SELECT symbol, day, row_number() OVER ({W}) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars),
+ f AS (SELECT *, k, floor(n * 0.6) + k * floor(n * (1 - 0.6) / 5) AS a, floor(n * (1 - 0.6) / 5) AS step, greatest(floor(n * 0.02), 10) AS gap FROM r, range(0, 5) t(k))
+ SELECT symbol, k::INTEGER AS fold, CASE WHEN i < a - gap THEN 'train' ELSE 'test' END AS part, count(*) AS rows, min(day) AS first, max(day) AS last FROM f WHERE a - gap >= 1 AND (i < a - gap OR (i >= a AND i < a + step)) GROUP BY ALL""")
 def x02(spark: SparkSession, d: str) -> DataFrame:
-    s = X.walk_forward(daily_bars(spark, d), KEYS, ORDER, bar_bucket(), train=500, test=200, step=200, folds=5, gap=10)
+    s = X.walk_forward(daily_bars(spark, d), KEYS, ORDER, bar_bucket(), folds=5, train=0.6, gap=0.02, embargo=10)
     return s.groupBy("symbol", "fold", "part").agg(F.count("*").alias("rows"), F.min("day").alias("first"), F.max("day").alias("last"))
 
 

@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkfold.operators import bars as B
-from larkfold.operators import clean, joins, merge, statistics
+from larkfold.operators import clean, joins, merge, splits, statistics
 from larkfold.operators import indicators as I
 from larkfold.operators.search import top_k
-from larkfold.operators.series import ema, frame, ordinal, rolling, running
+from larkfold.operators.series import ema, frame, linear_recurrence, ordinal, rolling, running
 from larkfold.plans import dataset as D
 from larkfold.plans.core import hourly, tick_bucket
 from larkfold.plans.families import hawkes
@@ -78,29 +78,44 @@ def test_asof_strict_leaves_out_equal_times(spark):
     assert joins.asof(l, r, ["k"], "t", ["y"], 100, strict=True).first()["y"] == 2.0
 
 
-def test_merge_equals_a_plain_loop(spark, sf):
-    step = 3_600_000
-    rows = merge.last_per_bucket(ticks(spark, sf), step).collect()
-    got = {(r["symbol"], r["bucket"]): tuple(r)[2:] for r in merge.merge_sources(merge.last_per_bucket(ticks(spark, sf), step), step).collect()}
-    prev = {}
-    for r in sorted(rows, key=lambda r: (r["symbol"], r["bucket"])):
-        day = (r["symbol"], r["bucket"] // 24)
-        sides = [(s, r[f"{s}_bid"], r[f"{s}_ask"], r[f"{s}_time_msc"]) for s in "ab" if r[f"{s}_bid"] is not None]
-        if len(sides) == 1:
-            s, b, a, _ = sides[0]
-            want = (b, a, s, "single", 0.5)
-        else:
-            score = {}
-            for s, b, a, t in sides:
-                m = (a + b) / 2
-                near = 1.0 if day not in prev else max(0.0, 1 - abs(m - prev[day]) / prev[day] / 0.01)
-                score[s] = 0.4 * (1 - (t - r["bucket"] * step) / step) + 0.3 * max(0.0, 1 - (a - b) / m / 0.01) + 0.3 * near
-            s, b, a, _ = max(sides, key=lambda q: (score[q[0]], q[0] == "a"))
-            ma, mb = ((q[1] + q[2]) / 2 for q in sides)
-            want = (b, a, s, "conflict" if abs(ma - mb) / ma * 1e4 > 25 else "best", score[s])
-        prev[day] = (want[0] + want[1]) / 2
-        have = got[r["symbol"], r["bucket"]]
-        assert have[2:4] == want[2:4] and have[0] == want[0] and have[4] == pytest.approx(want[4])
+@pytest.mark.parametrize("conflict", [0.001, 0.2])
+def test_merge_equals_a_plain_loop(spark, sf, conflict):
+    """Over midnights, with invalid quotes and runs in which the choice hangs on the one before."""
+    r = random.Random(1)
+    rows, price = [], 100.0
+    for i in range(600):
+        price *= 1 + r.uniform(-0.002, 0.002)
+        for s in "ab":
+            if r.random() < 0.8:
+                bid = price * (1 + r.choice((0, 0.003)) * (s == "b"))
+                rows.append(("x", s, i * 600_000 + r.randrange(600_000), len(rows), r.choice((bid,) * 9 + (None, -1.0, bid * 2)), bid * 1.001))
+    df = spark.createDataFrame(rows, "symbol string, broker string, time_msc long, event_id long, bid double, ask double")
+    rules = merge.MergeRules(bucket_ms=600_000, freshness=0.05, conflict=conflict)
+    got = {x["bucket"]: x for x in merge.merge_sources(merge.last_per_bucket(df, 600_000), rules, block=37).collect()}
+    last = {}
+    for _, s, t, i, bid, ask in rows:
+        last[t // 600_000, s] = max(last.get((t // 600_000, s), (-1, -1)), (t, i, bid, ask))
+    prev, seen = None, 0
+    for bucket in sorted({k for k, _ in last}):
+        quotes = {}
+        for s in "ab":
+            t, _, bid, ask = last.get((bucket, s), (0, 0, None, 0))
+            if bid is not None and 0 < bid <= ask and (ask - bid) / ((bid + ask) / 2) <= rules.max_spread:
+                mid = (bid + ask) / 2
+                near = 0.5 if prev is None else max(0.0, 1 - abs(mid - prev) / prev / rules.max_mid_diff)
+                quotes[s] = (0.05 * (1 - (t - bucket * 600_000) / 600_000) + 0.3 * max(0.0, 1 - (ask - bid) / mid / rules.max_spread) + 0.3 * near, mid, bid, ask)
+        if not quotes:
+            assert bucket not in got
+            continue
+        s = max(quotes, key=lambda k: (quotes[k][0], k == "a"))
+        prev, seen = quotes[s][1], seen + 1
+        x = got[bucket]
+        mids = [q[1] for q in quotes.values()]
+        apart = max(mids) - min(mids)
+        mode = "single" if len(mids) == 1 else "conflict" if apart / (sum(mids) / 2) > conflict else "best"
+        assert (x["source_primary"], x["merge_mode"], x["bid"], x["ask"]) == (s, mode, quotes[s][2], quotes[s][3])
+        assert x["quality_score"] == pytest.approx(quotes[s][0]) and x["mid_diff"] == pytest.approx(apart)
+    assert len(got) == seen
 
 
 def test_volume_profile_equals_a_plain_loop(spark, sf):
@@ -195,14 +210,14 @@ def test_hawkes_is_the_sum_it_stands_for(spark, sf):
     got = {r["event_id"]: r["intensity"] for r in hawkes(rows, 0.5, 1.0).collect()}
     all_ = sorted((r["time_msc"], r["event_id"]) for r in rows.collect())
     for i, (t, e) in enumerate(all_[:60]):
-        past = [u for u, _ in all_[:i] if u // DAY_MS == t // DAY_MS]
+        past = [u for u, _ in all_[:i]]
         assert got[e] == pytest.approx(0.1 + sum(0.5 * math.exp(-(t - u) / 3_600_000) for u in past))
 
 
 def test_kalman_granger_and_isotonic(spark):
     rows = [("k", i, float(i % 7), 0) for i in range(40)]
     level = None
-    k = statistics.kalman_level(spark.createDataFrame(rows, "k string, t long, v double, day long"), ["k"], "t", "v", 1.0, 4.0, "day")
+    k = statistics.kalman_level(spark.createDataFrame(rows, "k string, t long, v double, day long"), ["k"], ["t"], F.floor(F.col("t") / 8), "v", 1.0, 4.0, block=7)
     p = 4.0
     for r in sorted(k.collect(), key=lambda r: r["t"]):
         if level is None:
@@ -222,6 +237,38 @@ def test_kalman_granger_and_isotonic(spark):
     assert got == pytest.approx([1 / 3, 1 / 3, 1 / 3, 1.0])
 
 
+def test_recurrences_by_blocks(spark):
+    r = random.Random(2)
+    rows = [(k, i, r.random(), r.random()) for k in "ab" for i in range(50)]
+    df = spark.createDataFrame(rows, "k string, _rn long, x double, d double")
+    for decay in (0.9, "d"):
+        got = {(x["k"], x["_rn"]): x["y"] for x in linear_recurrence(df, ["k"], "x", decay, "y", block=7).collect()}
+        y = {}
+        for k, i, x, d in rows:
+            y[k] = (d if decay == "d" else decay) * y.get(k, 0.0) + x
+            assert got[k, i] == pytest.approx(y[k])
+
+
+def test_quotes_of_zero_divide_nothing(spark):
+    """Bid and ask of 0 in raw ticks: under ANSI a division would end the query."""
+    rows = [("x", "a", i * 1000, i, q, q, 1, 32) for i, q in enumerate([1.0, 0.0, 0.0, 2.0, 0.0])]
+    t = spark.createDataFrame(rows, "symbol string, broker string, time_msc long, event_id long, bid double, ask double, user_id long, flags int")
+    m = B.microstructure(t, 60_000).first()
+    assert (m["ticks"], m["spread_bps_max"]) == (5, 0.0)
+    assert B.build_bars(t, 60_000).first()["tick_count"] == 5 and B.build_bars(t.where("bid = 0"), 60_000).first()["mid_return"] is None
+    assert t.where(clean.valid_quote()).count() == 2 and {r["stage"]: r["n"] for r in clean.clean_report(t).collect()} == {"kept": 2, "non_positive": 3}
+    assert clean.drop_spikes(t, ["symbol"], ["time_msc"], F.lit(0), 2, 0.5).count() >= 2
+    assert merge.merge_sources(merge.last_per_bucket(t, 1000), merge.MergeRules(bucket_ms=1000)).count() == 2
+
+
+def test_folds_reach_the_newest_rows(spark):
+    df = spark.range(1003).select(F.lit("k").alias("k"), F.col("id").alias("t"))
+    got = splits.walk_forward(df, ["k"], ["t"], F.floor(F.col("t") / 100), folds=4, train=0.6, gap=0.02, embargo=5)
+    tests = got.where("part = 'test'").groupBy("fold").agg(F.min("t").alias("a"), F.max("t").alias("b")).orderBy("fold").collect()
+    assert [(r["a"], r["b"]) for r in tests] == [(601 + 100 * k, 700 + 100 * k) for k in range(4)]
+    assert {r["fold"]: r["m"] for r in got.where("part = 'train'").groupBy("fold").agg(F.max("t").alias("m")).collect()} == {k: 601 + 100 * k - 20 - 1 for k in range(4)}
+
+
 def test_bootstrap_reruns_agree(spark):
     rows = [("a", i, 0.01 * (-1) ** i) for i in range(50)]
     df = spark.createDataFrame(rows, "symbol string, day long, r double")
