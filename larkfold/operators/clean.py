@@ -77,3 +77,35 @@ def fill_forward(df: DataFrame, keys: list[str], order: list[str], bucket: Colum
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = df.join(ins, [*keys, "_bucket"]).withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"_i_{c}")) for c in columns})
     return out.drop("_bucket", *[f"_i_{c}" for c in columns])
+
+
+def cleaning_stages(ticks: DataFrame, keys: list[str], order: list[str], bucket: Column, max_spread: float = 0.01, max_jump: float = 0.02, stale_limit: int = 50) -> DataFrame:
+    """Every distinct row with the stage that removes it (null: it stays) and ``copies``, how often it came. Stages, each on what those before it left:
+    repeated rows, prices that are null, not positive or crossed, spread, mid further than ``max_jump`` from the median of the last 20 (of a
+    series the first 20 are exempt), and whole runs of more than ``stale_limit`` equal quotes."""
+    mid = (F.col("bid") + F.col("ask")) / 2
+    rows = ticks.groupBy(*ticks.columns).agg(F.count("*").alias("copies"))
+    bad = F.col("bid").isNull() | F.col("ask").isNull() | (F.col("bid") <= 0) | (F.col("ask") <= 0) | (F.col("bid") > F.col("ask"))
+    rows = rows.withColumn("stage", F.when(bad, "invalid_price").when(F.try_divide(F.col("ask") - F.col("bid"), mid) > max_spread, "spread"))
+    out = rows.where("stage is not null")
+    jump = F.try_divide(F.abs(mid - F.col("_med")), "_med") > max_jump
+
+    def medians(w):
+        f = frame(w, 20)
+        return {"_med": F.when(F.count("*").over(f) >= 20, F.percentile(mid, F.lit(0.5)).over(f))}
+
+    left = rolling(rows.where("stage is null"), keys, order, bucket, medians, before=20, keep_ordinal=True)
+    left = left.withColumn("stage", F.when((F.col("_rn") >= 20) & F.coalesce(jump, F.lit(False)), "price_spike")).drop("_med", "_rn")
+    fresh = left.where("stage is null")
+    kept = stale_runs(fresh, keys, order, bucket, stale_limit)
+    stale = fresh.join(kept.select(*ticks.columns), ticks.columns, "left_anti").withColumn("stage", F.lit("stale"))
+    return out.unionByName(left.where("stage is not null")).unionByName(stale).unionByName(kept)
+
+
+def cleaning_counts(stages: DataFrame) -> DataFrame:
+    """(stage, n): rows that came, that each stage removed, and that stay."""
+    removed = ("invalid_price", "spread", "price_spike", "stale")
+    n = stages.agg(
+        F.sum("copies").alias("input"), (F.sum("copies") - F.count("*")).alias("duplicates"), *[F.count_if(F.col("stage") == s).alias(s) for s in removed], F.count_if(F.col("stage").isNull()).alias("output")
+    )
+    return n.select(F.explode(F.array(*[F.struct(F.lit(c).alias("stage"), F.col(c).alias("n")) for c in n.columns])).alias("x")).select("x.*")

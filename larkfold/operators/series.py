@@ -86,7 +86,12 @@ def running(df: DataFrame, keys: list[str], order: list[str], bucket: Column, su
 
 
 def linear_recurrence(df: DataFrame, keys: list[str], value: str, decay: float | str, out: str, block: int = BLOCK, ordinal_column: str = "_rn") -> DataFrame:
-    """y[0] = x[0]; y[i] = decay[i] * y[i-1] + x[i], with a decay for all or a column of them. Needs the ordinal of each row.
+    """y[0] = x[0]; y[i] = decay[i] * y[i-1] + x[i], with a decay for all or a column of them. Needs the ordinal of each row."""
+    return linear_recurrences(df, keys, {out: value}, decay, block, ordinal_column)
+
+
+def linear_recurrences(df: DataFrame, keys: list[str], values: dict[str, str], decay: float | str, block: int = BLOCK, ordinal_column: str = "_rn") -> DataFrame:
+    """Several of them (output: input column) with one decay.
 
     A block is scanned from zero by itself; over the blocks' ends (one row a block) the same recurrence
     gives what each block is carried; y = own + product of decays so far * carried.
@@ -96,22 +101,25 @@ def linear_recurrence(df: DataFrame, keys: list[str], value: str, decay: float |
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ordinal_column, ignore_index=True)
-        pdf["_own"], pdf["_left"] = _scan(pdf[value].to_numpy(float), pdf["_decay"].to_numpy(float))
+        for out, value in values.items():
+            pdf[f"_own_{out}"], pdf["_left"] = _scan(pdf[value].to_numpy(float), pdf["_decay"].to_numpy(float))
         return pdf
 
-    fields = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-    own = df.groupBy(*keys, "_b").applyInPandas(scan, f"{fields}, _own double, _left double")
-    ends = own.groupBy(*keys, "_b").agg(F.max_by("_own", ordinal_column).alias("_end"), F.max_by("_left", ordinal_column).alias("_all"))
+    fields = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + "".join(f", `_own_{o}` double" for o in values) + ", _left double"
+    own = df.groupBy(*keys, "_b").applyInPandas(scan, fields)
+    ends = own.groupBy(*keys, "_b").agg(F.max_by("_left", ordinal_column).alias("_all"), *[F.max_by(f"_own_{o}", ordinal_column).alias(f"_end_{o}") for o in values])
 
     def carry(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_b", ignore_index=True)
-        y, _ = _scan(pdf["_end"].to_numpy(float), pdf["_all"].to_numpy(float))
-        return pdf.assign(_carried=np.concatenate(([0.0], y[:-1]))).drop(columns=["_end", "_all"])
+        for o in values:
+            y, _ = _scan(pdf[f"_end_{o}"].to_numpy(float), pdf["_all"].to_numpy(float))
+            pdf[f"_carried_{o}"] = np.concatenate(([0.0], y[:-1]))
+        return pdf[[*keys, "_b", *(f"_carried_{o}" for o in values)]]
 
     kinds = dict(df.dtypes)
-    carried = ends.groupBy(*keys).applyInPandas(carry, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", _b long, _carried double")
-    y = F.col("_own") + F.col("_left") * F.col("_carried")
-    return own.join(carried, [*keys, "_b"]).withColumn(out, y).drop("_b", "_decay", "_own", "_left", "_carried")
+    carried = ends.groupBy(*keys).applyInPandas(carry, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", _b long" + "".join(f", `_carried_{o}` double" for o in values))
+    made = {o: F.col(f"_own_{o}") + F.col("_left") * F.col(f"_carried_{o}") for o in values}
+    return own.join(carried, [*keys, "_b"]).withColumns(made).drop("_b", "_decay", "_left", *[f"{p}_{o}" for o in values for p in ("_own", "_carried")])
 
 
 def _scan(x: np.ndarray, decay: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
