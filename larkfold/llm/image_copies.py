@@ -2,8 +2,8 @@
 
 A media column holds grayscale PGM images. Each image gives corners (Harris, at two scales),
 each corner an orientation (intensity centroid) and 256 binary tests turned to it. Images that are
-cropped or edited keep most of these. Descriptors are joined through Hamming tables (16 samples of
-40 bits: descriptors 8 bits apart share one with probability 0.99, 16 bits apart with 0.63), and a pair of images
+cropped or edited keep most of these. Descriptors are joined through Hamming tables (8 samples of
+40 bits: descriptors 8 bits apart share one with probability 0.93, 16 bits apart with 0.47), and a pair of images
 is a copy if matches that agree in scale, rotation and translation cover 40 % of the corners of the
 image with fewer, and at least ``MIN_INLIERS``.
 
@@ -15,7 +15,7 @@ with a leader, links are contracted, and what is left of a bucket is compared in
 
 Defined cases: a null or broken image has no corners and is a copy of nothing; a flat image has no corners, and only equal images
 are its copies; an image within twice the border (20 pixels) in a direction is described with its edge repeated around it;
-ties go to the smallest id; rows that repeat an id count as one image;
+ties go to the smallest id; rows that repeat an id count as one image; a row with a null id has the class of the images that equal its own, and else none;
 an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -28,11 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkfold.llm.common import cut
-from larkfold.llm.components import components, link_buckets
+from larkfold.llm.components import components, is_live, link_buckets
 
 WIDTH = 64
 #: Corners within this many pixels of a stronger one are dropped; reach of the tests; an image's border, where none are taken.
@@ -40,8 +41,10 @@ APART, REACH, BORDER = 6, 7, 10
 STRENGTH = 1e5
 SCALES, TURNS, TESTS = 2, 24, 256
 #: Hamming tables, and the sampled tests that make a key of one.
-TABLES, KEY_BITS = 16, 40
+TABLES, KEY_BITS = 8, 40
 MAX_HAMMING, MIN_INLIERS, COVER = 32, 3, 0.4
+#: Tests apart among the first 64 of a match; the count is hypergeometric with mean 8 and deviation 2.3 at most.
+BRIEF_HAMMING = 16
 #: Counters of the rarity sketch: 4 MB, whatever the input.
 COUNTERS = 1 << 20
 #: Pixels handled at once.
@@ -174,17 +177,17 @@ def describe(images: list[np.ndarray | None]) -> list[np.ndarray]:
 
 
 def table_keys(keys: np.ndarray) -> np.ndarray:
-    """(corners, TABLES) keys of the Hamming tables."""
+    """(corners, TABLES) keys of the Hamming tables, of 48 bits."""
     bits = np.unpackbits(np.ascontiguousarray(keys["bits"]), axis=1)
     words = np.zeros((len(keys), TABLES, 8), np.uint8)
     words[:, :, : KEY_BITS // 8] = np.packbits(bits[:, _SAMPLES], axis=2)
     mixed = words.view(np.uint64)[:, :, 0] ^ (np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-    return (mixed ^ (mixed >> np.uint64(29))).view(np.int64)
+    return ((mixed ^ (mixed >> np.uint64(29))) >> np.uint64(16)).view(np.int64)
 
 
-def consensus(a: np.ndarray, b: np.ndarray) -> int:
-    """Corners of the largest set of matches that agree in scale, rotation and translation."""
+def consensus(a: np.ndarray, b: np.ndarray, least: int = 1) -> int:
+    """Corners of the largest set of matches that agree in scale, rotation and translation; 0 if there are less than ``least`` matches at all."""
     if not len(a) or not len(b):
         return 0
     wa, wb = (np.ascontiguousarray(k["bits"]).view(np.uint64).reshape(len(k), -1) for k in (a, b))
@@ -193,6 +196,8 @@ def consensus(a: np.ndarray, b: np.ndarray) -> int:
         d = np.bitwise_count(wa[i : i + 256, None, :] ^ wb[None, :, :]).sum(axis=2)
         best[i : i + 256], dist[i : i + 256] = d.argmin(axis=1), d.min(axis=1)
     m = np.flatnonzero(dist <= MAX_HAMMING)
+    if len(m) < least:
+        return 0
     p, q = a[m], b[best[m]]
     ratio = q["scale"].astype(int) - p["scale"]
     turn = (q["turn"].astype(int) - p["turn"]) % TURNS
@@ -217,7 +222,21 @@ def is_copy(a: np.ndarray, b: np.ndarray) -> bool:
     if len(a) > len(b):
         a, b = b, a
     least = needed(len(a))
-    return consensus(a, b) >= least or (len(a) == len(b) and consensus(b, a) >= least)
+    return consensus(a, b, least) >= least or (len(a) == len(b) and consensus(b, a, least) >= least)
+
+
+def brief(keys: np.ndarray) -> np.ndarray:
+    """The first quarter of each descriptor."""
+    return np.ascontiguousarray(keys["bits"][:, :8]).view(np.uint64).ravel()
+
+
+def may_be_copy(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether enough corners of the image with fewer have one of the other whose first quarter is as near as that of a match can be
+    but for one in a thousand (a match has up to MAX_HAMMING of 256 tests apart, so a quarter of that in 64 tests, give or take)."""
+    if len(a) > len(b):
+        a, b = b, a
+    near = np.bitwise_count(a[:, None] ^ b[None, :]).min(axis=1) <= BRIEF_HAMMING
+    return near.sum() >= needed(len(a))
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +257,7 @@ def _counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n)], names=["at", "n"])
 
 
-def _members(counts):
+def _members(counts: Broadcast, live: Broadcast | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = counts.value
         for batch in batches:
@@ -248,6 +267,8 @@ def _members(counts):
                 n = len(k)
                 order = np.argsort(rare[k[:, 0] % COUNTERS], kind="stable")
                 rows, at = np.unique(k[order], return_index=True)  # at the rarest descriptor that has the key
+                on = is_live(live, rows)
+                rows, at = rows[on], at[on]
                 ids.append(np.full(len(rows), i))
                 ns.append(np.full(len(rows), n))
                 buckets.append(rows)
@@ -265,27 +286,47 @@ def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _briefly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pairs = zip(batch.column("ka").to_pylist(), batch.column("kb").to_pylist(), strict=True)
+        keep = [may_be_copy(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in pairs]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _with_brief(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        short = [brief(np.frombuffer(k, _KEY)).tobytes() for k in batch.column("keys").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("keys"), pa.array(short, pa.binary())], names=["id", "keys", "brief"])
+
+
 def image_copies(images: DataFrame, key: str = "image_id", image: str = "image") -> DataFrame:
     """(key, n_corners, copy_of, is_copy) of every row; copy_of: the smallest id of its group of copies, itself included."""
     spark = images.sparkSession
     rows = images.select(F.col(key).cast("long").alias("id"), F.col(image).alias("image"))
-    found = cut(rows.mapInArrow(_described, "id long, n int, keys binary, digest binary"), "corners")
-    classes = found.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"))  # equal images
-    of_row = cut(found.select("id", "n", "digest").join(classes, "digest", "left").select("id", "n", "rep"), "images-classes")
-    found = found.where(f"n >= {MIN_INLIERS}").join(classes, "digest").where("id = rep").dropDuplicates(["digest"])
-    found = cut(found.select("id", "n", "keys"), "images")
+    every = cut(rows.mapInArrow(_described, "id long, n int, keys binary, digest binary"), "corners")
+    classes = every.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"))  # equal images
+    of_row = cut(every.select("id", "n", "digest").join(classes, "digest", "left").select("id", "n", "digest", "rep"), "images-classes")
+    others = of_row.where("rep != id").select("id", "digest").distinct()
+    found = every.where(F.col("id").isNotNull() & (F.col("n") >= MIN_INLIERS)).join(others, ["id", "digest"], "left_anti").select("id", "n", "keys")
+    of_row = of_row.drop("digest")
     counts = np.zeros(COUNTERS, np.int64)
-    sums = found.select("keys").mapInArrow(_counters, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
-    for at, n in sums.toLocalIterator():  # COUNTERS rows at most
-        counts[at] = n
+    sums = found.select("keys").mapInArrow(_counters, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows at most
+    counts[sums.column("at").to_numpy()] = sums.column("n").to_numpy()
     shared = spark.sparkContext.broadcast(np.minimum(counts, 0x7FFFFFFF).astype(np.int32))
-    members = found.mapInArrow(_members(shared), "bucket long, id long, n long, probe boolean")
 
-    def verify(pairs: DataFrame, keys: DataFrame) -> DataFrame:
-        side = lambda x: keys.select(F.col("id").alias(x), F.col("keys").alias(f"k{x}"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_copies, "a long, b long")
+    def members(live: Broadcast | None) -> DataFrame:
+        return found.mapInArrow(_members(shared, live), "bucket long, id long, n long, probe boolean")
+
+    def details(ids: DataFrame) -> DataFrame:
+        return found.join(ids, "id", "left_semi").select("id", "keys").mapInArrow(_with_brief, "id long, keys binary, brief binary")
+
+    def verify(pairs: DataFrame, known: DataFrame) -> DataFrame:
+        """By the first quarters, then by all tests and the geometry."""
+        side = lambda x, column: known.select(F.col("id").alias(x), F.col(column).alias(f"k{x}"))
+        likely = pairs.join(side("a", "brief"), "a").join(side("b", "brief"), "b").mapInArrow(_briefly, "a long, b long").distinct()
+        return likely.join(side("a", "keys"), "a").join(side("b", "keys"), "b").mapInArrow(_copies, "a long, b long")
 
-    labels = link_buckets(members, lambda ids: found.join(ids, "id", "left_semi").select("id", "keys"), verify, name="images")
+    labels = link_buckets(members, details, verify, name="images")
     # rows that repeat an id with other images join their classes
     several = of_row.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi").select("id")
     if not several.isEmpty():

@@ -18,21 +18,24 @@ band stays open. A pair at the threshold misses all bands with probability
 
 Defined cases: a null text and a text without words have the empty set, stand alone and are
 kept; a text of fewer words than a shingle is one shingle; rows that repeat an id are judged
-row by row; an empty table gives an empty result; extra columns are ignored.
+row by row; rows with a null id are compared like others, name no group (``component_id`` is null if a group has no other id) and aren't kept;
+an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkfold.llm.common import cut, slices
-from larkfold.llm.components import link_buckets
+from larkfold.llm.components import is_live, link_buckets, meet
 
 SHINGLE = 5
 THRESHOLD = 0.75
@@ -47,31 +50,12 @@ SALTS = 16
 SLACK = 18.0
 
 _rng = np.random.Generator(np.random.PCG64(20240101))
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POLY = int(_rng.integers(1, 1 << 62)) * 4 + 1
+_LETTER = _rng.integers(0, 1 << 64, 64 * 256, dtype=np.uint64)
 _PLACE = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _DRAW = (_rng.integers(1, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _WORD = np.array([c != 32 and not 9 <= c <= 13 for c in range(256)])
-
-
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-class _Powers:
-    """Powers of the polynomial base and of its inverse, as long as the longest text so far."""
-
-    up = down = np.ones(1, np.uint64)
-
-    @classmethod
-    def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            n = max(n, 2 * len(cls.up), 1 << 16)
-            cls.up, cls.down = _powers(n, _POLY), _powers(n, pow(_POLY, -1, 1 << 64))
-        return cls.up, cls.down
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -80,17 +64,43 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of every word of the whole text, in order."""
+def _whole_words(text: bytes, piece: int) -> Iterator[bytes]:
+    """A long text in pieces of about so many bytes that end where a word ends."""
+    at = 0
+    while len(text) - at > piece:
+        gap = _GAP.search(text, at + piece)
+        if not gap:
+            break
+        yield text[at : gap.end()]
+        at = gap.end()
+    yield text[at:]
+
+
+def word_hashes(text: bytes, piece: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of every word of the whole text, in order: the sum of a random number for each byte and its place in
+    the word. Places are told apart modulo 64, and beyond by a random factor for each 64 bytes."""
+    parts = [_hashes(p) for p in _whole_words(text, piece)]
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
+def _hashes(text: bytes) -> np.ndarray:
     raw = np.frombuffer(text.translate(_FOLD), np.uint8)
     on = np.zeros(len(raw) + 2, np.int8)
     on[1:-1] = _WORD[raw]
     edges = np.flatnonzero(on[1:] != on[:-1])
     start, end = edges[::2], edges[1::2]
-    up, down = _Powers.get(len(raw) + 1)
+    if not len(start):
+        return np.empty(0, np.uint64)
+    place = np.zeros(len(raw), np.int32)
+    place[start] = start
+    place = np.arange(len(raw), dtype=np.int32) - np.maximum.accumulate(place)
+    each = _LETTER[((place & 63) << 8) + raw]
+    if (end - start).max() > 64:
+        far = np.flatnonzero(place > 63)
+        each[far] *= mix((place[far] >> 6).astype(np.uint64) * _PLACE[62]) | np.uint64(1)
     total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * up[: len(raw)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    np.cumsum(each, out=total[1:])
+    return mix(total[end] - total[start] + (end - start).astype(np.uint64) * _PLACE[61])
 
 
 def shingle_set(text: bytes | None, k: int = SHINGLE) -> np.ndarray:
@@ -185,12 +195,17 @@ def set_name(shingles: np.ndarray) -> int:
     return int(mix(np.array([h.sum(dtype=np.uint64) + np.uint64(len(h))])).view(np.int64)[0])
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, 2048):
-        n = batch.num_rows
-        regs = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(n, REGISTERS)
-        cid, size = (np.repeat(batch.column(i).to_numpy(), BANDS) for i in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(band_keys(regs).ravel()), pa.array(cid), pa.array(size)], names=["bucket", "id", "n"])
+def _bands(live: Broadcast | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2048):
+            n = batch.num_rows
+            regs = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(n, REGISTERS)
+            buckets = band_keys(regs).ravel()
+            on = is_live(live, buckets)
+            cid, size = (np.repeat(batch.column(i).to_numpy(), BANDS)[on] for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(buckets[on]), pa.array(cid), pa.array(size)], names=["bucket", "id", "n"])
+
+    return run
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,8 +288,8 @@ def _differences(left: DataFrame, sets: DataFrame) -> DataFrame:
     t = round(100 * THRESHOLD)
     need = lambda n, m: F.ceil((n + m) * t / (100 + t) - 1e-9)  # noqa: E731  shingles in common that make a link
     by_crowd = F.struct("crowd", "id")
-    leaders = left.groupBy("bucket").agg(F.max_by(F.struct("crowd", "id", "component"), by_crowd).alias("l"))
-    left = left.join(leaders, "bucket").withColumns({"lead": F.struct("l.crowd", "l.id"), "major": F.col("l.component")}).drop("l")
+    leaders = left.groupBy("bucket").agg(F.max_by(F.struct("crowd", "id", "component"), by_crowd).alias("l"), F.first("in_bucket").alias("in_bucket"))
+    left = meet(left, leaders).withColumns({"lead": F.struct("l.crowd", "l.id"), "major": F.col("l.component")}).drop("l")
     chosen = left.groupBy("id").agg(F.max("lead").alias("lead"), *(F.first(c).alias(c) for c in ("n", "most", "component")))
     chosen = chosen.select("id", "n", "most", "component", F.col("lead.id").alias("ref"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
     refs = chosen.select("ref").distinct().join(sets.select(F.col("id").alias("ref"), F.col("set").alias("ref_set")), "ref")
@@ -312,12 +327,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     classes = cut(
         sketched.where("n > 0").groupBy("cid").agg(F.min("key").alias("first"), F.first("n").alias("n"), F.first("regs").alias("regs")), "setsketch-classes"
     )
-    members = classes.select("cid", "n", "regs").mapInArrow(_bands, "bucket long, id long, n long")
+
+    def members(live: Broadcast | None) -> DataFrame:
+        return classes.select("cid", "n", "regs").mapInArrow(_bands(live), "bucket long, id long, n long")
 
     def details(ids: DataFrame) -> DataFrame:
-        wanted = ids.join(classes.select(F.col("cid").alias("id"), F.col("first").alias("key")), "id").select("key")
-        texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(wanted, "key", "left_semi").select("text")
-        return texts.mapInArrow(_sets, "id long, set binary")
+        wanted = ids.join(classes.select(F.col("cid").alias("id"), F.col("first").alias("key")), "id")
+        texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+        sets = texts.join(wanted.select("key"), "key", "left_semi").select("text").mapInArrow(_sets, "id long, set binary")
+        nameless = wanted.where("key is null").select("id")  # classes of rows without an id are found by their sets
+        if nameless.isEmpty():
+            return sets
+        rest = texts.where("key is null").select("text").mapInArrow(_sets, "id long, set binary")
+        return sets.union(rest.join(nameless, "id", "left_semi").dropDuplicates(["id"]))
 
     def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """By likelihood, then on the full sets."""
