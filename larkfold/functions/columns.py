@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,18 +64,3 @@ def time_features(ms: Column | str) -> dict[str, Column]:
         "hour": hour_of(ms), "minute": F.floor(_c(ms) / 60_000) % 60, "weekday": weekday_of(ms),
         "time_sin": F.sin(turn), "time_cos": F.cos(turn), "weekday_sin": F.sin(week), "weekday_cos": F.cos(week),
     }
-
-
-def quantile_nearest(values: Column, q: float) -> Column:
-    """Nearest-rank quantile (the rank (n - 1) q rounded half up) of a collected array without nulls."""
-    s = F.array_sort(values)
-    return F.get(s, F.floor((F.size(s) - 1) * q + 0.5).cast("int"))
-
-
-def at_least(k: int, conditions: list[Column]) -> Column:
-    """True where k of the conditions hold (null counts as false)."""
-    return reduce(lambda a, b: a + b, [F.coalesce(c.cast("int"), F.lit(0)) for c in conditions], F.lit(0)) >= k
-
-
-def rounded(places: int = 6, **columns: Column) -> dict[str, Column]:
-    return {k: F.round(v, places) for k, v in columns.items()}

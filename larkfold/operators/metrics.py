@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkfold.operators.quantiles import quantiles
 from larkfold.operators.series import ordinal
 
 
@@ -23,11 +24,11 @@ def return_metrics(returns: DataFrame, by: list[str], ret: str, periods: float =
     r = F.col(ret)
     down = F.sqrt(F.avg(F.when(r < 0, r * r).otherwise(0.0)))
     gains, losses = F.sum(F.when(r > 0, r).otherwise(0.0)), -F.sum(F.when(r < 0, r).otherwise(0.0))
+    tails = quantiles(returns, by, ret, {"_p95": 0.95, "_p05": 0.05}).select(*by, F.try_divide("_p95", F.abs("_p05")).alias("tail_ratio"))
     return returns.where(r.isNotNull()).groupBy(*by).agg(
         F.count("*").alias("n"), (F.try_divide(F.avg(r), F.stddev_samp(r)) * periods**0.5).alias("sharpe"), (F.try_divide(F.avg(r), down) * periods**0.5).alias("sortino"),
         F.try_divide(gains, losses).alias("omega"), F.try_divide(F.sum(r), losses).alias("gain_to_pain"),
-        F.try_divide(F.percentile(r, F.lit(0.95)), F.abs(F.percentile(r, F.lit(0.05)))).alias("tail_ratio"),
-    )
+    ).join(tails, by)
 
 
 def drawdowns(curve: DataFrame, keys: list[str], order: list[str], equity: str, bucket: Column) -> DataFrame:

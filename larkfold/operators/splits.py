@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkfold.operators.quantiles import quantiles
 from larkfold.operators.series import ordinal
 
 
@@ -33,10 +34,10 @@ def walk_forward(df: DataFrame, keys: list[str], order: list[str], bucket: Colum
 
 def robust_scale(df: DataFrame, columns: list[str], clip: float = 5.0) -> DataFrame:
     """Adds ``<column>_scaled``: distance from the median in interquartile ranges, clipped; 0 for null. One row of statistics reaches the driver."""
-    stats = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in columns]).first()
     out = {}
     for c in columns:
-        lo, mid, hi = stats[c] if stats[c] is not None else (0.0, 0.0, 0.0)
+        stats = quantiles(df, [], c, {"lo": 0.25, "mid": 0.5, "hi": 0.75}).first()
+        lo, mid, hi = (stats["lo"], stats["mid"], stats["hi"]) if stats and stats["mid"] is not None else (0.0, 0.0, 0.0)
         scale = hi - lo if hi > lo else 1.0
         z = (F.col(c) - mid) / scale
         out[f"{c}_scaled"] = F.coalesce(F.least(F.greatest(z, F.lit(-clip)), F.lit(clip)), F.lit(0.0))

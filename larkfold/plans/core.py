@@ -9,6 +9,7 @@ from larkfold.functions.columns import finite_or_null, safe_ratio, session_code,
 from larkfold.operators import bars as B
 from larkfold.operators import clean, joins, merge
 from larkfold.operators.metrics import trade_metrics
+from larkfold.operators.quantiles import quantiles, ranked
 from larkfold.operators.series import ordinal, running
 from larkfold.plans.registry import query
 from larkfold.sources.adapters import BARS_SQL, DAY_MS, TICKS_SQL, daily_bars, table, ticks, trades
@@ -403,12 +404,8 @@ def a07(spark: SparkSession, d: str) -> DataFrame:
 @query("a07_nearest_quantile", f"""WITH {TICKS_SQL}, l AS (SELECT symbol, list_sort(list(bid)) AS v FROM ticks GROUP BY symbol)
  SELECT symbol, v[CAST(floor((len(v) - 1) * 0.95 + 0.5) AS BIGINT) + 1] AS p95, v[CAST(floor((len(v) - 1) * 0.05 + 0.5) AS BIGINT) + 1] AS p05 FROM l""")
 def a07_nearest(spark: SparkSession, d: str) -> DataFrame:
-    """Nearest-rank quantiles: ranks in two steps, so no series is collected."""
-    t = ticks(spark, d).select("symbol", "bid", "event_id")
-    ranked = ordinal(t, ["symbol"], ["bid", "event_id"], F.floor(F.col("bid") / 10))
-    n = t.groupBy("symbol").agg(F.count("*").alias("n"))
-    at = lambda q: F.max(F.when(F.col("_rn") == F.floor((F.col("n") - 1) * q + 0.5), F.col("bid")))
-    return ranked.join(n, "symbol").groupBy("symbol").agg(at(0.95).alias("p95"), at(0.05).alias("p05"))
+    """Nearest-rank quantiles."""
+    return quantiles(ticks(spark, d), ["symbol"], "bid", {"p95": 0.95, "p05": 0.05}, nearest=True).select("symbol", "p95", "p05")
 
 
 @query("a09_range_stats", f"""WITH {TICKS_SQL} SELECT symbol, broker, count(*) AS n, count(DISTINCT time_msc // {DAY_MS}) AS days, min(time_msc) AS first, max(time_msc) AS last FROM ticks GROUP BY ALL""")
@@ -435,10 +432,8 @@ def a11(spark: SparkSession, d: str) -> DataFrame:
     names = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
     long = table(spark, d, "lineitem").select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in names])).alias("x")).select("x.*")
     v = F.col("v")
-    return long.groupBy("name").agg(
-        F.sum(v.isNull().cast("long")).alias("nulls"), F.countDistinct(v).alias("n_unique"), F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_samp(v), 4).alias("std"),
-        F.min(v).alias("least"), F.max(v).alias("most"), F.round(F.percentile(v, F.lit(0.5)), 4).alias("median"),
-    )
+    q = quantiles(long, ["name"], "v", {"median": 0.5}).select("name", F.col("distinct").alias("n_unique"), "least", "most", F.round("median", 4).alias("median"))
+    return long.groupBy("name").agg(F.sum(v.isNull().cast("long")).alias("nulls"), F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_samp(v), 4).alias("std")).join(q, "name")
 
 
 @query("a15_grouping_sets", f"""WITH {TICKS_SQL} SELECT time_msc // {DAY_MS} AS day, symbol, count(*) AS n, round(avg(bid), 6) AS mean, GROUPING(symbol)::INT AS is_total FROM ticks GROUP BY GROUPING SETS ((day), (day, symbol))""")
@@ -465,9 +460,9 @@ def a20(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a26_latency_percentiles", """SELECT event_type AS op, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, max(value) AS worst, round(avg(value), 6) AS mean FROM events GROUP BY 1""")
 def a26(spark: SparkSession, d: str) -> DataFrame:
-    v = F.col("value")
-    q = lambda p: F.round(F.percentile(v, F.lit(p)), 6)
-    return table(spark, d, "events").groupBy(F.col("event_type").alias("op")).agg(q(0.5).alias("p50"), q(0.95).alias("p95"), q(0.99).alias("p99"), F.max(v).alias("worst"), F.round(F.avg(v), 6).alias("mean"))
+    e = table(spark, d, "events").select(F.col("event_type").alias("op"), "value")
+    q = quantiles(e, ["op"], "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99}).withColumnRenamed("most", "worst")
+    return q.join(e.groupBy("op").agg(F.round(F.avg("value"), 6).alias("mean")), "op").select("op", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")], "worst", "mean")
 
 
 @query("a28_trend_slope", """SELECT user_id, count(*) AS n, round(regr_slope(value, (epoch_us(ts) // 1000) / 3.6e6 - 473352), 5) AS slope FROM events GROUP BY user_id HAVING count(*) > 5""")
@@ -482,7 +477,7 @@ def a29(spark: SparkSession, d: str) -> DataFrame:
     """Ranking of one row a competitor."""
     s = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.sum("l_quantity").alias("qty"), F.avg("l_discount").alias("disc"))
     s = s.select("l_suppkey", F.round(0.7 * F.col("qty") / 1000 - 0.3 * F.col("disc"), 6).alias("score"))
-    return s.withColumn("place", F.rank().over(Window.orderBy(F.desc("score"))).cast("long"))
+    return ranked(s.withColumn("all", F.lit(0)), ["all"], "score").drop("all").withColumn("place", F.col("place").cast("long"))
 
 
 @query("a30_class_statistics", """SELECT l_returnflag AS cls, count(*) AS n, round(avg(l_quantity), 6) AS mean, round(var_pop(l_quantity), 6) AS var, round(count(*) / (SELECT count(*) FROM lineitem), 6) AS prior FROM lineitem GROUP BY 1""")

@@ -23,20 +23,23 @@ HI, LO = f"max(high) OVER {rows(20)}", f"min(low) OVER {rows(20)}"
 
 def stream_path(spark: SparkSession) -> str:
     """A fresh folder for a stream's checkpoint and output, under the shared folder where there is one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="larkfold-stream-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = root or "file://" + tempfile.mkdtemp(prefix="larkfold-stream-")
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 @query("st03_stream_tumbling_bars", """SELECT event_type, epoch_us(ts) // 3600000000 * 3600000 AS start, arg_min(value, (epoch_us(ts) // 1000, event_id)) AS open, max(value) AS high, min(value) AS low,
  arg_max(value, (epoch_us(ts) // 1000, event_id)) AS close, count(*) AS n FROM events GROUP BY ALL""")
 def st03(spark: SparkSession, d: str) -> DataFrame:
-    return engine.run_available(engine.tumbling(engine.read_events(spark, d), "1 hour"), stream_path(spark))
+    return engine.run_available(engine.tumbling(engine.read_events(spark, d), "1 hour"), stream_path(spark), "update", ("event_type", "start"))
 
 
 @query("st03_stream_sliding_bars", """WITH s AS (SELECT *, epoch_us(ts) // 1800000000 * 1800000 - k * 1800000 AS start FROM events, range(0, 2) t(k))
  SELECT event_type, start, arg_min(value, (epoch_us(ts) // 1000, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (epoch_us(ts) // 1000, event_id)) AS close, count(*) AS n FROM s GROUP BY ALL""")
 def st03_sliding(spark: SparkSession, d: str) -> DataFrame:
-    return engine.run_available(engine.tumbling(engine.read_events(spark, d), "1 hour", slide="30 minutes"), stream_path(spark))
+    return engine.run_available(engine.tumbling(engine.read_events(spark, d), "1 hour", slide="30 minutes"), stream_path(spark), "update", ("event_type", "start"))
 
 
 @query("st04_stream_sessions", """WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS t, value FROM events), g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) < 3600000 THEN 0 ELSE 1 END AS new FROM e),

@@ -8,17 +8,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from larkfold.sources.adapters import epoch_ms
 
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def read_events(spark: SparkSession, directory: str, files: int | None = None) -> DataFrame:
-    """Events of a directory as a stream, with event time as a timestamp that doesn't depend on the session's zone."""
-
-
-    r = spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", "events.parquet")
+def read_events(spark: SparkSession, directory: str, files: int | None = None, names: str = "events.parquet") -> DataFrame:
+    """Events of a directory as a stream (``files`` a micro-batch, of those whose names fit), with event time as a timestamp that doesn't depend on the session's zone."""
+    r = spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", names)
     r = r.option("maxFilesPerTrigger", files) if files else r
     return r.parquet(directory).withColumn("time_msc", epoch_ms("ts")).withColumn("time", F.timestamp_millis("time_msc"))
 
@@ -64,13 +63,21 @@ def features(events: DataFrame, alpha: float = 0.1) -> DataFrame:
     return narrow.groupBy("event_type").applyInPandasWithState(step, FEATURES, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def run_available(stream: DataFrame, path: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there and returns what its last micro-batch of each mode leaves in ``path``/out."""
+def run_available(stream: DataFrame, path: str, mode: str = "complete", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Runs a stream over what is there. ``complete`` rewrites the result with each micro-batch and keeps all state; ``update`` writes what a micro-batch changes, so
+    that the watermark frees state, and the latest row of each of ``keys`` counts (without keys, all rows do); ``append`` writes rows that are final."""
     spark = stream.sparkSession
 
     def save(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/out")
+        out = f"{path}/out" if mode == "complete" else f"{path}/out/_epoch={epoch}"  # a batch that is run again replaces itself
+        batch.write.mode("overwrite").parquet(out)
 
     q = stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+    if mode == "complete":
+        return spark.read.schema(stream.schema).parquet(f"{path}/out")
+    got = spark.read.schema(StructType([*stream.schema, StructField("_epoch", IntegerType())])).parquet(f"{path}/out")
+    if not keys:
+        return got.drop("_epoch")
+    rest = [c for c in stream.columns if c not in keys]
+    return got.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_epoch").alias("_r")).select(*[F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in stream.columns])

@@ -205,6 +205,26 @@ def test_stream_bars_equal_batch(spark, sf, tmp_path):
     assert sorted((r["event_type"], r["start"], r["n"], r["high"]) for r in stream.collect()) == sorted(map(tuple, batch.collect()))
 
 
+def test_late_rows_and_several_batches(spark, sf, tmp_path):
+    """A file a micro-batch: bars are mended while their window is open, and a row behind the watermark is dropped."""
+    base = 1_700_000_000_000 // 3_600_000 * 3_600_000
+    minutes = [(0, [0, 5, 30]), (1, [50, 70]), (2, [40, 200]), (3, [205]), (4, [20, 210])]  # 40 comes late but inside 90 minutes, 20 after its window is closed
+    n = 0
+    for k, at in minutes:
+        rows = []
+        for m in at:
+            rows.append((n, base + 60_000 * m, 1, "x", float(m), ""))
+            n += 1
+        df = spark.createDataFrame(rows, "event_id long, ms long, user_id long, event_type string, value double, props string")
+        df = df.select("event_id", F.timestamp_millis("ms").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value", "props")
+        df.toPandas().to_parquet(tmp_path / f"events-{k}.parquet", coerce_timestamps="us", allow_truncated_timestamps=True)
+    stream = engine.tumbling(engine.read_events(spark, str(tmp_path), files=1, names="events-*.parquet"), "1 hour", late="90 minutes")
+    out = engine.run_available(stream, str(tmp_path / "run"), "update", ("event_type", "start"))
+    got = {(r["start"] - base) // 3_600_000: (r["n"], r["open"], r["close"]) for r in out.collect()}
+    assert got == {0: (5, 0.0, 50.0), 1: (1, 70.0, 70.0), 3: (3, 200.0, 210.0)}
+    assert stream.isStreaming
+
+
 def test_hawkes_is_the_sum_it_stands_for(spark, sf):
     rows = ticks(spark, sf).where("symbol = 'purchase'").select("symbol", "time_msc", "event_id")
     got = {r["event_id"]: r["intensity"] for r in hawkes(rows, 0.5, 1.0).collect()}
