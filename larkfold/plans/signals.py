@@ -191,7 +191,7 @@ def flow_bucket():
 @query("e02_volume_imbalance", f"""WITH {_FLOW_SQL}, k AS (SELECT *, (buys - sells) / (buys + sells) AS imb FROM g WHERE buys + sells > 0),
  z AS (SELECT *, count(*) OVER ({_BW} ROWS 49 PRECEDING) AS n, avg(imb) OVER ({_BW} ROWS 49 PRECEDING) AS m, stddev_pop(imb) OVER ({_BW} ROWS 49 PRECEDING) AS s FROM k),
  st AS (SELECT symbol, bar, imb, CASE WHEN n >= 5 THEN m ELSE imb END AS mean, CASE WHEN n >= 5 AND s > 1e-12 THEN (imb - m) / s ELSE 0 END AS z FROM z)
- SELECT g.symbol, g.bar, round(imb, 6) AS imbalance, round(mean, 6) AS rolling_imbalance, round(z, 5) AS z, coalesce(abs(z) > 2, false) AS extreme FROM g ASOF LEFT JOIN st ON st.symbol = g.symbol AND g.bar >= st.bar""")
+ SELECT g.symbol, g.bar, round(imb, 6) AS imbalance, round(mean, 6) AS rolling_imbalance, round(z, 5) AS z, coalesce(round(abs(z), 5) > 2, false) AS extreme FROM g ASOF LEFT JOIN st ON st.symbol = g.symbol AND g.bar >= st.bar""")
 def e02(spark: SparkSession, d: str) -> DataFrame:
     """Bars without volume keep the state of the bar before."""
     g = flow(spark, d)
@@ -205,7 +205,7 @@ def e02(spark: SparkSession, d: str) -> DataFrame:
     some = rolling(g.where(total > 0).withColumn("imbalance", (F.col("buys") - F.col("sells")) / total), KEYS, ["bar"], flow_bucket(), columns, 50)
     names = ["imbalance", "rolling_imbalance", "z"]
     out = fill_forward(g.join(some.select("symbol", "bar", *names), ["symbol", "bar"], "left"), KEYS, ["bar"], flow_bucket(), names)
-    return out.select("symbol", "bar", F.round("imbalance", 6).alias("imbalance"), F.round("rolling_imbalance", 6).alias("rolling_imbalance"), F.round("z", 5).alias("z"), F.coalesce(F.abs("z") > 2, F.lit(False)).alias("extreme"))
+    return out.select("symbol", "bar", F.round("imbalance", 6).alias("imbalance"), F.round("rolling_imbalance", 6).alias("rolling_imbalance"), F.round("z", 5).alias("z"), F.coalesce(F.round(F.abs("z"), 5) > 2, F.lit(False)).alias("extreme"))
 
 
 @query("e07_stealth_flow", f"""WITH {_FLOW_SQL}, k AS (SELECT *, (buys - sells) / greatest(buys + sells, 1) AS imb, close - lag(close) OVER ({_BW}) AS dp FROM g),
