@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from larkfold.llm.common import LOWER, UPPER
-from larkfold.llm.url_filter import MAX_BAD_RATE, RULES, STRONGEST, TWO_LABEL_SUFFIXES, WEAKEST, Z
+from larkfold.llm.url_filter import MAX_BAD_RATE, RULES, STRONGEST, SUFFIX_RULES, TAIL, WEAKEST
 
 FOLD = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -18,29 +18,35 @@ def _rule(what: str) -> str:
 
 
 def _strength(level: str) -> str:
-    """One row (k) with the prior strength of a level."""
-    return f"""SELECT CASE WHEN coalesce(sum(n), 0) = 0 OR count(*) < 2 THEN {STRONGEST} ELSE
-      CASE WHEN (sum(bad * bad / n) / sum(n) - max(rate) * max(rate) - max(rate) * (1 - max(rate)) * count(*) / sum(n)) / greatest(1 - count(*) / sum(n), 1e-9) > 1e-9
-      THEN least(greatest(max(rate) * (1 - max(rate)) / ((sum(bad * bad / n) / sum(n) - max(rate) * max(rate) - max(rate) * (1 - max(rate)) * count(*) / sum(n)) / greatest(1 - count(*) / sum(n), 1e-9)) - 1, {WEAKEST}), {STRONGEST})
-      ELSE {STRONGEST} END END AS k FROM {level}, total WHERE n > 0"""
+    """One row (k) with the prior strength of a level (n, bad, parent)."""
+    excess, weight = "sum(n * (bad / n - parent) ** 2 - parent * (1 - parent))", "sum(parent * (1 - parent) * (n - 1))"
+    return f"SELECT CASE WHEN coalesce({weight}, 0) <= 0 OR {excess} <= 0 THEN {STRONGEST} ELSE least(greatest({weight} / {excess} - 1, {WEAKEST}), {STRONGEST}) END AS k FROM {level} WHERE n > 0"
 
 
-TWO = ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES)
+SUFFIXES = ", ".join(f"('{s}')" for s in SUFFIX_RULES)
+#: Points of the integral of a beta density.
+POINTS = 4000
 
+# the posterior below the limit is the density's integral, by midpoints
 OP1 = rf"""WITH u AS (SELECT page_id, regexp_extract(coalesce(url, ''), '^.*?://(.*)$', 1, 's') AS rest FROM pages),
  p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
  o AS (SELECT doc_id AS page_id, count(*) AS n, sum((quality = 0 OR toxic = 1)::INT) AS bad FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY 1),
  h0 AS (SELECT host, sum(coalesce(n, 0))::DOUBLE AS n, sum(coalesce(bad, 0))::DOUBLE AS bad FROM p LEFT JOIN o USING (page_id) GROUP BY host),
- h1 AS (SELECT *, regexp_replace(host, '^.*@|:[0-9]*$|\.+$', '', 'g') AS name, string_split(regexp_replace(host, '^.*@|:[0-9]*$|\.+$', '', 'g'), '.') AS l FROM h0),
- h2 AS (SELECT *, len(l) >= 2 AND array_to_string(l[-2:], '.') IN ({TWO}) AS two FROM h1),
- hosts AS (SELECT host, n, bad, CASE WHEN two THEN array_to_string(l[-2:], '.') ELSE l[-1] END AS suffix,
-   CASE WHEN len(l) < CASE WHEN two THEN 3 ELSE 2 END THEN name WHEN two THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS domain FROM h2),
+ h1 AS (SELECT *, string_split(regexp_replace(host, '^.*@|:[0-9]*$|\.+$', '', 'g'), '.') AS l FROM h0), rules AS (SELECT * FROM (VALUES {SUFFIXES}) AS v(rule)),
+ c AS (SELECT host, l, unnest(range(1, len(l) + 1)) AS i FROM h1),
+ m AS (SELECT host, max(CASE WHEN rule = '!' || array_to_string(l[-i:], '.') THEN 1000 + i - 1 ELSE i END) AS m FROM c JOIN rules
+   ON rule IN (array_to_string(l[-i:], '.'), '!' || array_to_string(l[-i:], '.')) OR (i > 1 AND rule = '*.' || array_to_string(l[-(i - 1):], '.')) GROUP BY host),
+ h2 AS (SELECT h1.*, coalesce(m % 1000, 1) AS k FROM h1 LEFT JOIN m USING (host)),
+ hosts AS (SELECT host, n, bad, array_to_string(l[-k:], '.') AS suffix, CASE WHEN len(l) <= k THEN array_to_string(l, '.') ELSE array_to_string(l[-(k + 1):], '.') END AS domain FROM h2),
  domains AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL), suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
- total AS (SELECT CASE WHEN sum(n) > 0 THEN sum(bad) / sum(n) ELSE 0 END AS rate FROM suffixes),
- ks AS ({_strength("suffixes")}), kd AS ({_strength("domains")}), kh AS ({_strength("hosts")}),
- rs AS (SELECT suffix, (ks.k * rate + bad) / (ks.k + n) AS m FROM suffixes, ks, total), rd AS (SELECT d.suffix, d.domain, (kd.k * rs.m + bad) / (kd.k + n) AS m FROM domains d JOIN rs USING (suffix), kd),
- rh AS (SELECT host, n, kh.k, (kh.k * rd.m + bad) / (kh.k + n) AS m FROM hosts JOIN rd USING (suffix, domain), kh)
- SELECT page_id, p.host, path, {_rule("rule")} AS rule, coalesce({_rule("verdict")}, CASE WHEN m - {Z} * sqrt(m * (1 - m) / (k + n + 1)) > {MAX_BAD_RATE} THEN 'block' ELSE 'allow' END) AS verdict FROM p JOIN rh ON p.host = rh.host"""
+ ls AS (SELECT *, coalesce((SELECT sum(bad) / nullif(sum(n), 0) FROM suffixes), 0) AS parent FROM suffixes), ks AS ({_strength("ls")}),
+ ld AS (SELECT d.*, (ks.k * ls.parent + ls.bad) / (ks.k + ls.n) AS parent FROM domains d JOIN ls USING (suffix), ks), kd AS ({_strength("ld")}),
+ lh AS (SELECT h.*, (kd.k * ld.parent + ld.bad) / (kd.k + ld.n) AS parent FROM hosts h JOIN ld USING (suffix, domain), kd), kh AS ({_strength("lh")}),
+ ab AS (SELECT host, kh.k * parent + bad AS a, kh.k * (1 - parent) + n - bad AS b FROM lh, kh), shapes AS (SELECT DISTINCT a, b FROM ab WHERE a > 0 AND b > 0),
+ cdf AS (SELECT a, b, {MAX_BAD_RATE} / {POINTS} * sum(exp(lgamma(a + b) - lgamma(a) - lgamma(b) + (a - 1) * ln({MAX_BAD_RATE} * (g.i + 0.5) / {POINTS}) + (b - 1) * ln(1 - {MAX_BAD_RATE} * (g.i + 0.5) / {POINTS}))) AS below
+   FROM shapes, range({POINTS}) AS g(i) GROUP BY a, b),
+ rh AS (SELECT host, CASE WHEN a <= 0 THEN false WHEN b <= 0 THEN true ELSE below < {TAIL} END AS blocked FROM ab LEFT JOIN cdf USING (a, b))
+ SELECT page_id, p.host, path, {_rule("rule")} AS rule, coalesce({_rule("verdict")}, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict FROM p JOIN rh ON p.host = rh.host"""
 
 OP3 = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({FOLD}, '{SPACE}') AS w FROM documents),
  s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
@@ -58,9 +64,12 @@ OP4 = rf"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(tex
  b AS (SELECT *, (sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remains,
    sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lw FROM r),
  t AS (SELECT source, source_size, round(CASE WHEN cap <= remains / lw * w THEN cap ELSE max(CASE WHEN NOT cap <= remains / lw * w THEN remains / lw END) OVER () * w END, 6) AS target FROM b),
- q AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY o, doc_id, size ROWS UNBOUNDED PRECEDING) AS e FROM d)
- SELECT doc_id, size, source_size, target, (CASE WHEN target > 0 THEN (e - size / 2 <= target)::INT + (source_size + e - size / 2 <= target)::INT + (2 * source_size + e - size / 2 <= target)::INT ELSE 0 END * size)::BIGINT AS taken
- FROM q JOIN t ON q.source IS NOT DISTINCT FROM t.source"""
+ q AS (SELECT doc_id, d.source, o, size, source_size, target, row_number() OVER () AS i, sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id, size ROWS UNBOUNDED PRECEDING) AS e
+   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+ v AS (SELECT *, unnest([e, source_size + e, 2 * source_size + e]) AS fin FROM q WHERE target > 0),
+ g AS (SELECT *, sum(size) OVER (ORDER BY fin / target, source NULLS LAST, o, i ROWS UNBOUNDED PRECEDING) AS total FROM v WHERE fin - size / 2 <= target),
+ n AS (SELECT i, count(*) AS n FROM g WHERE total <= (SELECT sum(size) FROM d) GROUP BY i)
+ SELECT doc_id, size, source_size, target, (coalesce(n, 0) * size)::BIGINT AS taken FROM q LEFT JOIN n USING (i)"""
 
 OP6 = """WITH p AS (SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
  x AS (SELECT page_id, first, octet_length(encode(h)) AS n, sha1(h) AS hex FROM p),
