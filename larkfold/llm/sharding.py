@@ -4,8 +4,13 @@ A topology is a tree of regions, racks and shards with a weight on every node. A
 descends it level by level; at each level every child draws ``-ln(u) / weight`` with u
 hashed from (key, child) and the smallest draw wins. A child's share is its weight, and
 its draws depend on no sibling, so changing weights moves keys only into or out of the
-subtrees whose weights change. A shard added as a branch of its own takes keys from
-all over, and no key moves between the others.
+subtrees whose weights change.
+
+Law ``key``, at any count: regions and racks have weights of their own, not the sum of what they hold,
+and a further shard comes as one new child of one node: a region with one rack with one shard while regions
+are wanted, then a rack with one shard, then a shard of a rack. So it takes keys from that node's children only, and
+only into itself. What that costs is balance between counts that fill the tree: a rack with five shards gives each a fifth of a
+rack where others give a fourth.
 
 Defined cases: a null key hashes as a constant and lands in one shard; a null text has
 size 8 and a null crc; repeated rows share a shard and take a slot each; an empty table
@@ -17,38 +22,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Levels of the production tree below the root: regions, racks a region, shards a rack.
-FANOUT = (2, 3, 4)
+#: Regions, and racks a region; racks take any number of shards (the production count fills them with four each).
+FANOUT = (2, 3)
 #: Ranks inside a shard are counted over so many hash ranges, so that no task ranks a whole shard.
 RANGES = 1024
 
 Tree = dict[int, list[tuple[int, float]]]
 
 
-def topology(shards: int, fanout: tuple[int, int, int] = FANOUT) -> tuple[Tree, dict[int, int]]:
-    """Children with weights by node (0 is the root), and the shard of each leaf.
+def topology(shards: int, fanout: tuple[int, int] = FANOUT, weights: dict[int, float] | None = None) -> tuple[Tree, dict[int, int]]:
+    """Children with weights by node (0 is the root), and the shard of each leaf. The tree of n shards is that of n - 1 with one node more at one level.
 
-    The full tree takes the first ``prod(fanout)`` shards (those beyond ``shards`` are left
-    out); each further shard is a region of its own with one rack, so that adding one
-    changes the root's draws only.
+    weights: of nodes (``region``, ``rack``, ``leaf`` number them); 1 for others.
     """
     if shards < 1:
         raise ValueError("at least one shard")
-    regions, racks, width = fanout
+    regions, racks = fanout
     tree: dict[int, dict[int, float]] = {0: {}}
     leaves: dict[int, int] = {}
-    full = regions * racks * width
     for s in range(shards):
-        region = s // (racks * width) if s < full else regions + s - full
-        rack = s // width % racks if s < full else 0
-        a, b, c = 1 + region, 1_000_000 + region * 1000 + rack, 1_000_000_000 + s
-        for parent, child in ((0, a), (a, b), (b, c)):
-            tree.setdefault(parent, {})
-            tree[parent][child] = tree[parent].get(child, 0.0) + 1.0
-        leaves[c] = s
+        where = s % regions, s // regions % racks
+        path = (0, region(where[0]), rack(*where), leaf(s))
+        for parent, child in zip(path, path[1:], strict=False):
+            tree.setdefault(parent, {})[child] = (weights or {}).get(child, 1.0)
+        leaves[path[-1]] = s
     return {k: sorted(v.items()) for k, v in tree.items()}, leaves
 
 
+def region(number: int) -> int:
+    return 1 + number
+
+
+def rack(region_number: int, number: int) -> int:
+    return 1_000_000 + region_number * 1000 + number
+
+
+def leaf(shard: int) -> int:
+    return 1_000_000_000 + shard
+
+
 def _uniform(*parts: Column) -> Column:
     """A hash in (0, 1)."""
     bits = F.shiftrightunsigned(F.xxhash64(*parts), 11)
