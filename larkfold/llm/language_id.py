@@ -7,13 +7,13 @@ weights over them; a batch of texts is scored by two matrix products, (texts x g
 (grams x landmarks) by (landmarks x languages).
 
 The model is fitted on the driver from a bounded sample of labelled rows: at most
-``SAMPLE`` a language, drawn by hash, each as the packed bits of its gram set (under 2 KB whatever the
+``SAMPLE`` a language, drawn by a hash of the id (rows that share a draw count as one), each as the packed bits of its gram set (under 2 KB whatever the
 text's length). Scoring reads whole texts, long ones in pieces that overlap.
 
 Defined cases: a null text, and one without a letter, is ``und`` with score 0; with no labelled rows to
 learn from everything is ``und``; a null id is not held out and not learned from; repeated rows are
-scored alike; ties between languages go to the first by name; an empty table gives an
-empty result.
+scored alike; ties between languages go to the first by name; more than ``LANGUAGES`` languages among the labels are an error; an empty table gives an
+empty result; extra columns are ignored, or kept as one struct.
 """
 
 from __future__ import annotations
@@ -25,6 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+
+from larkfold.llm.common import whole_row
 
 #: Labelled rows and landmarks a language, at most, and the number of languages the model takes.
 SAMPLE, LANDMARKS, LANGUAGES = 400, 48, 1000
@@ -73,8 +76,8 @@ def gram_sets(texts: list[str | None]) -> np.ndarray:
         codes = np.frombuffer("\n".join(low).encode("utf-32-le", "replace") + b"\n\0\0\0", np.uint32)
         c = letter_classes()[codes]
         base = np.repeat(np.array(rows, np.int64) * GRAMS, [len(s) + 1 for s in low])
-        keep = np.ones(len(c), bool)
-        keep[1:] = (c[1:] | c[:-1]) != 0
+        keep = c != 0
+        keep[1:] |= c[:-1] != 0
         c, base = c[keep].astype(np.int64), base[keep]
         flat[base[c > 0] + c[c > 0]] = 1
         if len(c) < 3:
@@ -157,7 +160,8 @@ def fit_language_model(
                 bits = [row.tobytes() for row in np.packbits(gram_sets(part.column("text").to_pylist()), axis=1)]
                 yield pa.RecordBatch.from_arrays([part.column("draw"), part.column("lang"), pa.array(bits, pa.binary())], names=["draw", "lang", "bits"])
 
-    rows = sorted(tuple(r) for r in drawn.mapInArrow(packed, "draw long, lang string, bits binary").collect())
+    sample_rows = drawn.mapInArrow(packed, "draw long, lang string, bits binary").groupBy("draw", "lang").agg(F.min("bits").alias("bits"))
+    rows = sorted(tuple(r) for r in sample_rows.collect())
     taken: dict[str, int] = {}
     chosen = []
     for _, name, bits in rows:
@@ -171,26 +175,45 @@ def fit_language_model(
     return NystromModel.fit(grams[keep], [n for (n, _), k in zip(chosen, keep, strict=True) if k], landmarks)
 
 
-def identify(docs: DataFrame, model: NystromModel | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(*keep, lang_pred, score) of every row."""
+def identify(docs: DataFrame, model: NystromModel | None, text: str = "text", key: str | None = "doc_id") -> DataFrame:
+    """(key, lang_pred, score) of every row, or (row, lang_pred, score) with the whole row if ``key`` is None."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # landmarks times grams bytes: 12 KB for each landmark
-    kinds = dict(docs.dtypes)
-    read = text if text in keep else "_text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in batches:
-            texts = batch.column(read).to_pylist()
+            texts = (batch.column(1) if key else batch.column(0).field(text)).to_pylist()
             names, scores = m.predict(texts) if m else (["und"] * len(texts), [0.0] * len(texts))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["kept", "lang_pred", "score"])
 
-    source = docs.select(*[F.col(c) for c in keep], *([] if text in keep else [F.col(text).alias(read)]))
-    return source.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double")
+    source = docs.select(F.col(key).alias("kept"), F.col(text).alias("text")) if key else docs.select(whole_row(docs).alias("kept"))
+    schema = StructType([source.schema["kept"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return source.mapInArrow(run, schema).withColumnRenamed("kept", key or "row")
 
 
 def language_id(docs: DataFrame, model: NystromModel | None = None, key: str = "doc_id") -> DataFrame:
     """(key, held_out, lang_pred, score), with a model fitted on the table itself unless one is given."""
     model = model or fit_language_model(docs, key)
-    return identify(docs, model, keep=(key,)).select(key, held_out(key).alias("held_out"), "lang_pred", "score")
+    return identify(docs, model, key=key).select(key, held_out(key).alias("held_out"), "lang_pred", "score")
+
+
+def brute_force(texts: list[str | None], model: NystromModel) -> list[tuple[str, float]]:
+    """Predictions straight from the definition, for tests: the kernel of every text with every landmark, gram by gram."""
+    out = []
+    for text in texts:
+        letters = [letter_classes()[ord(c)] for c in (text or "").lower()]
+        runs = [int(c) for i, c in enumerate(letters) if c or (i and letters[i - 1])]  # other characters are one gap
+        runs += [0] if runs and runs[-1] else []
+        grams = {c for c in runs if c}
+        grams |= {CLASSES + a * CLASSES + b for a, b in zip(runs, runs[1:], strict=False)}
+        grams |= {CLASSES + CLASSES**2 + ((a * CLASSES + b) * CLASSES + c) * 40503 // 16 % TRIGRAMS for a, b, c in zip(runs, runs[1:], runs[2:], strict=False) if b}
+        score = model.weights[-1].astype(float)
+        for mark, weight in zip(model.landmarks, model.weights[:-1], strict=True):
+            own = {int(i) for i in mark.nonzero()[0]}
+            score = score + len(grams & own) / (max(len(grams), 1) * max(len(own), 1)) ** 0.5 * weight
+        if any(c < CLASSES for c in grams):
+            top = int(score.argmax())
+            out.append((model.languages[top], float(min(max(MIDDLE + score[top] / 2, 0), 1))))
+        else:
+            out.append(("und", 0.0))
+    return out
