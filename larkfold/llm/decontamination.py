@@ -8,16 +8,18 @@ offsets are mapped back to words and to characters of the original.
 
 The automaton goes to the executors as a broadcast of at most ``max_windows`` windows;
 a larger benchmark is scanned in blocks of that many, one automaton and one pass over the
-documents each. The documents are never shuffled.
+documents each. The driver reads the benchmark partition by partition and holds one block. A worker builds an automaton once and
+keeps it until it gets another. The documents are never shuffled.
 
 Defined cases: a null or wordless text has no words and no hits; a null or wordless
 item is never found; an item id that comes twice counts once; items with a null id are found, as one item with a null id, last in ``item_ids``;
-empty tables give no rows (documents) or no hits (benchmark).
+rows that repeat an id are scanned each; empty tables give no rows (documents) or no hits (benchmark); extra columns are ignored, or kept as one struct.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -25,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from larkfold.llm.common import ALNUM_TABLE, cut
+from larkfold.llm.common import ALNUM_TABLE, cut, whole_row
 
 WINDOW = 10
 #: Windows in one automaton: at about 1 KB of trie for a window, half a GB at most.
@@ -57,7 +60,7 @@ def blocks(items: Iterable[tuple[str | None, bytes]], max_windows: int, n: int =
 
 
 class Scanner:
-    """One automaton, built once in each Python worker."""
+    """One automaton."""
 
     def __init__(self, block: dict[bytes, set[str]]):
         self.auto = ahocorasick.Automaton()
@@ -90,6 +93,17 @@ class Scanner:
         return len(w), [tuple(map(int, e)) for e in edges.reshape(-1, 2)], found
 
 
+_latest: dict[str, Scanner] = {}
+
+
+def _scanner(name: str, block) -> Scanner:
+    """The automaton of a block, built once in each Python worker."""
+    if name not in _latest:
+        _latest.clear()
+        _latest[name] = Scanner(block.value)
+    return _latest[name]
+
+
 def word_offsets(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Byte offsets in the original at which words start and end (normalising keeps lengths)."""
     on = np.concatenate(([0], (np.frombuffer(text.translate(ALNUM_TABLE), np.uint8) != 32).astype(np.int8), [0]))
@@ -99,19 +113,19 @@ def word_offsets(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 WORD_SPANS = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
 CHAR_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+FOUND = ("n_words", "word_spans", "char_spans", "item_ids")
 SCHEMA = "n_words long, word_spans array<struct<first:int,end:int>>, char_spans array<struct<start:int,end:int>>, item_ids array<string>"
 
 
 def scan_documents(
     docs: DataFrame,
     benchmark: DataFrame,
-    key: str = "doc_id",
+    key: str | None = "doc_id",
     text: str = "text",
     window: int = WINDOW,
     max_windows: int = MAX_WINDOWS,
-    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(key, *keep, n_words, word_spans, char_spans, item_ids) for every row.
+    """(key, n_words, word_spans, char_spans, item_ids) for every row; with ``key`` None, the whole row as ``row`` in its place.
 
     ``word_spans``: runs of hit words, by word number. ``char_spans``: the same runs as
     character offsets of the original text. ``item_ids``: sorted ids of the items found.
@@ -124,22 +138,21 @@ def scan_documents(
         .orderBy("item_id")
         .toLocalIterator()
     )
-    wanted = [key, *(c for c in keep if c != key)]
-    out = docs.select(*wanted, *([] if text in wanted else [text]))
+    out = docs.select(F.col(key).alias("kept"), F.col(text).alias("text")) if key else docs.select(whole_row(docs).alias("kept"))
     for i, block in enumerate(blocks(items, max_windows, window)):
-        out = _pass(cut(out, "decontamination") if i else out, text, spark.sparkContext.broadcast(block))
-    return out.select(*wanted, "n_words", "word_spans", "char_spans", "item_ids")
+        out = _pass(cut(out, "decontamination") if i else out, None if key else text, spark.sparkContext.broadcast(block), again=i > 0)
+    return out.select(F.col("kept").alias(key or "row"), *FOUND)
 
 
-def _pass(df: DataFrame, text: str, block) -> DataFrame:
-    """Scans every text for one block of windows and merges what it finds with what earlier passes found."""
-    names = [c for c in df.columns if c not in ("n_words", "word_spans", "char_spans", "item_ids")]
-    again = len(names) < len(df.columns)
+def _pass(df: DataFrame, inner: str | None, block, again: bool) -> DataFrame:
+    """Scans every text for one block of windows and merges what it finds with what earlier passes found. inner: the text's name in the kept row."""
+    own = df.columns[: 1 if inner else 2]
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(block.value)
+        scanner = _scanner(name, block)
         for batch in batches:
-            texts = batch.column(text).cast(pa.binary()).to_pylist()
+            texts = (batch.column(0).field(inner) if inner else batch.column("text")).cast(pa.binary()).to_pylist()
             n_words, spans, chars, ids = [], [], [], []
             for i, t in enumerate(texts):
                 n, runs, found = scanner.scan(t or b"")
@@ -151,13 +164,11 @@ def _pass(df: DataFrame, text: str, block) -> DataFrame:
                 chars.append(character_spans(t, runs) if runs else [])
                 ids.append(sorted(found - {None}) + [None] * (None in found))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in names]
-                + [pa.array(n_words, pa.int64()), pa.array(spans, WORD_SPANS), pa.array(chars, CHAR_SPANS), pa.array(ids, pa.list_(pa.string()))],
-                names=[*names, "n_words", "word_spans", "char_spans", "item_ids"],
+                [batch.column(c) for c in own] + [pa.array(n_words, pa.int64()), pa.array(spans, WORD_SPANS), pa.array(chars, CHAR_SPANS), pa.array(ids, pa.list_(pa.string()))],
+                names=[*own, *FOUND],
             )
 
-    kinds = dict(df.dtypes)
-    return df.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", " + SCHEMA)
+    return df.mapInArrow(run, StructType([*(df.schema[c] for c in own), *StructType.fromDDL(SCHEMA)]))
 
 
 def merge(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
