@@ -2,24 +2,30 @@
 
 Every source is a queue of its documents in shuffled (hashed) order. A document's virtual
 finish time is the cumulative size of its source up to it, divided by the source's target;
-a source short of its target is queued again from the start, up to ``max_repeats`` times.
-Serving all queues by finish time and stopping at the total budget takes what finishes by
-time 1. The document that straddles the end of its source is taken if most of it fits.
+a source short of its target is queued again from the start, up to ``max_repeats`` times, and its last
+document is served if most of it fits its target. All services, sorted by finish time over all sources, are truncated at the
+total budget, the sum of all sizes.
+
+The truncation needs no running total over all rows. What finishes by time 1 is within every source's target, so within the
+budget; later than that a source finishes one service at most, that of the document that straddles its target. So the total
+at time 1, a sum over sources, and the straddlers' sizes in order of finish time, one row a source, say which straddlers the
+budget holds. ``mix_sources`` range-sorts what is left by finish time.
 
 Cumulative sums run in two steps (sums over hash ranges of a source, then inside a range),
 so a source with a third of all rows is never in one task.
 
 Defined cases: a null source is a source of its own, ranked last; a null text has size 0
 and takes part with its zero words; rows with a null key come last in the queue of their source, by size; equal rows follow each
-other in the queue; an empty table gives an empty result.
+other in the queue; an empty table gives an empty result; kept columns travel as one struct, so their names clash with nothing.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-from larkfold.llm.common import word_count
+from larkfold.llm.common import cut, whole_row, word_count
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -64,6 +70,28 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_r
     )
 
 
+def _straddlers(rows: DataFrame, starts: DataFrame, inside: WindowSpec, size: Column, max_repeats: int) -> DataFrame:
+    """(_k, over): for each source whose target falls inside a document, when that service finishes past the target, if the
+    total budget holds it. rows: (row, _k, _r, _o, _id); starts: (_k, _r, _start, _s, source_size, target)."""
+    turn = F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_repeats))
+    starts = starts.where("target > 0").withColumns({"_turn": turn, "_x": F.col("target") - turn * F.col("source_size")})
+    crossed = starts.where((F.col("_start") < F.col("_x")) & (F.col("_x") < F.col("_start") + F.col("_s")))
+    crossed = cut(crossed, "mixing-crossed")  # one range a source at most; written, so that its size is known and decides how the rows meet it
+    # sizes are taken again, of the few rows only that are in such a range
+    met = rows.join(crossed, ["_k", "_r"])
+    rows = met.select("row.*", F.struct(*[c for c in met.columns if c != "row"]).alias("_mixing")).select(size.alias("size"), "_mixing.*")
+    rows = rows.withColumn("_end", F.col("_start") + F.sum("size").over(inside)).where((F.col("_end") - F.col("size") < F.col("_x")) & (F.col("_x") < F.col("_end")))
+    crossing = rows.select("_k", (F.col("_x") - F.col("_end") + F.col("size")).alias("short"), (F.col("_turn") * F.col("source_size") + F.col("_end")).alias("over"), "size", "_end", "_x")
+    # one row a source from here on
+    targets = starts.select("_k", "target").distinct().join(crossing, "_k", "left")
+    served = F.round(F.sum(F.col("target") - F.coalesce("short", F.lit(0.0))).over(Window.partitionBy())).cast("long")
+    most_fits = F.coalesce(F.col("_end") - F.col("size") / 2 <= F.col("_x"), F.lit(False))
+    order = Window.orderBy(~F.col("_most"), F.col("over") / F.col("target"), F.col("_k") == "n", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    budget = F.round(F.sum("target").over(Window.partitionBy())).cast("long")
+    ranked = targets.withColumns({"_most": most_fits, "_served": served, "_budget": budget}).withColumn("_total", F.col("_served") + F.sum(F.when(F.col("_most"), F.col("size")).otherwise(0)).over(order))
+    return ranked.where(F.col("_most") & (F.col("_total") <= F.col("_budget"))).select("_k", F.col("over").cast("long").alias("over"))
+
+
 def fair_queue(
     docs: DataFrame,
     size: Column | None = None,
@@ -72,37 +100,41 @@ def fair_queue(
     weights: tuple[float, ...] = WEIGHTS,
     max_repeats: int = MAX_REPEATS,
     ranges: int = RANGES,
-    keep: tuple[str, ...] = (),
+    keep: bool = False,
 ) -> DataFrame:
     """Every row as (key, source, size, source_size, target, finish): ``finish`` holds the
-    virtual finish times of the repeats that are taken, at most 1 but for the straddler."""
+    virtual finish times of the repeats that are taken, at most 1 but for a straddler. With ``keep``, a last column ``row`` holds the whole row."""
     size = word_count(F.col("text")) if size is None else size
-    order = F.md5(F.col(key).cast("string"))
-    rows = docs.select(
-        F.col(key), F.col(source).alias("source"), size.cast("long").alias("size"), *[F.col(c) for c in keep]
-    ).withColumns({"_o": F.coalesce(order, F.lit("g")), "_k": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))})
+    size = size.cast("long")
+    rows = docs.select(whole_row(docs), F.col(key).alias("_id"), F.col(source).alias("source"), size.alias("size"))
+    order = F.md5(F.col("_id").cast("string"))
+    rows = rows.withColumns({"_o": F.coalesce(order, F.lit("g")), "_k": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))})
     of_hash = (F.conv(F.substring("_o", 1, 4), 16, 10).cast("int") * ranges / 65536).cast("int")
     # rows without a key are queued by size, and so are their ranges: many of them aren't one range
     of_size = F.lit(ranges) + F.least(F.coalesce("size", F.lit(0)), F.lit(LARGEST)).cast("int")
-    rows = rows.withColumn("_r", F.when(F.col(key).isNull(), of_size).otherwise(of_hash))
-    sums = rows.groupBy("_k", "source", "_r").agg(F.sum("size").alias("_s"))
+    rows = rows.withColumn("_r", F.when(F.col("_id").isNull(), of_size).otherwise(of_hash))
+    slim = rows.drop("row")
+    sums = slim.groupBy("_k", "source", "_r").agg(F.sum("size").alias("_s"))
     targets = source_targets(sums.groupBy("source").agg(F.sum("_s").alias("source_size")), weights, max_repeats).select(
         F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_k"), "source_size", "target"
     )
     before = Window.partitionBy("_k").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("_k", "_r", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_start")).join(targets, "_k")
-    inside = Window.partitionBy("_k", "_r").orderBy("_o", key, "size").rowsBetween(Window.unboundedPreceding, 0)
-    queued = rows.join(starts, ["_k", "_r"]).withColumn("_end", F.col("_start") + F.sum("size").over(inside))
+    starts = sums.select("_k", "_r", "_s", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_start")).join(targets, "_k")
+    starts = cut(starts, "mixing-starts")  # ``ranges`` rows a source
+    inside = Window.partitionBy("_k", "_r").orderBy("_o", "_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    over = _straddlers(rows.drop("source", "size"), starts, inside, size, max_repeats)
+    queued = (rows if keep else slim).join(starts.join(over, "_k", "left").drop("_s"), ["_k", "_r"]).withColumn("_end", F.col("_start") + F.sum("size").over(inside))
     ends = F.transform(F.sequence(F.lit(0), F.lit(max_repeats - 1)), lambda e: e * F.col("source_size") + F.col("_end"))
-    taken = F.filter(ends, lambda end: end - F.col("size") / 2 <= F.col("target"))
+    taken = F.filter(ends, lambda end: (end <= F.col("target")) | F.coalesce((end == F.col("over")) & (end - F.col("size") < F.col("target")), F.lit(False)))
     finish = F.when(F.col("target") > 0, F.transform(taken, lambda end: end / F.col("target"))).otherwise(
         F.array().cast("array<double>")
     )
-    return queued.select(key, "source", "size", "source_size", "target", finish.alias("finish"), *keep)
+    return queued.select(F.col("_id").alias(key), "source", "size", "source_size", "target", finish.alias("finish"), *(["row"] if keep else []))
 
 
 def mix_sources(docs: DataFrame, partitions: int | None = None, **options) -> DataFrame:
-    """The mix itself: one row for each time a document is taken, range-sorted by virtual finish time."""
+    """The mix itself: the rows of ``docs``, each as often as it is taken, range-sorted by virtual finish time."""
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    served = fair_queue(docs, **options).withColumn("finish_time", F.explode("finish")).drop("finish")
-    return served.repartitionByRange(n, "finish_time", options.get("key", "doc_id")).sortWithinPartitions("finish_time", options.get("key", "doc_id"))
+    order = ("_finish", f"row.{options.get('key', 'doc_id')}")
+    served = fair_queue(docs, keep=True, **options).select("row", F.explode("finish").alias("_finish"))
+    return served.repartitionByRange(n, *order).sortWithinPartitions(*order).select("row.*")
