@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkfold.llm.common import fresh_path
+from larkfold.llm.common import drop_at_end, fresh_path
 
 #: Digits of base 32 as Spark's conv writes them, and as RFC 4648 does.
 CONV_DIGITS, RFC_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -75,15 +75,18 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     ).select("sha256", "payload").write.parquet(f"{path}/payloads")
 
 
+def verified(payloads: DataFrame) -> DataFrame:
+    """Payloads held against their digests; one that doesn't match fails the query."""
+    sound = F.sha2(F.col("payload"), 256) == F.col("sha256")
+    return payloads.withColumn("payload", F.when(sound, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("corrupt payload "), "sha256")).cast("binary")))
+
+
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """The records: (page_id, record_type, refers_to, payload_digest, payload_bytes, payload, record), with
     ``record`` the WARC bytes (a revisit has no block) and ``payload`` the verified full payload.
     A payload that doesn't match its digest fails the query."""
     headers, payloads = spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads")
-    sound = F.sha2(F.col("payload"), 256) == F.col("sha256")
-    payloads = payloads.withColumn(
-        "payload", F.when(sound, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("corrupt payload "), "sha256")).cast("binary"))
-    )
+    payloads = verified(payloads)
     block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
     return headers.join(payloads, "sha256").select(
         "page_id", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload",
@@ -92,21 +95,27 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive_digest(spark: SparkSession, pages: DataFrame, path: str | None = None) -> DataFrame:
-    """Writes the archive, reads it back and describes each record from the bytes read."""
+    """Writes the archive, reads it back and describes each record from what is read: its header's lines, and length and digest of its payload.
+
+    The payloads are verified and digested where they lie, once each; only lengths and digests travel to the headers, so a payload that many records
+    have is no hot row of bytes."""
+    own = path is None  # an archive nobody asked to keep
     path = path or fresh_path(spark, "warc")
     write_archive(pages, path)
-    got = read_archive(spark, path)
-    lines = F.split(F.decode(F.substring(F.col("record"), 1, F.octet_length("record") - F.col("block_bytes") - 4), "UTF-8"), "\r\n")
-    got = got.withColumn("block_bytes", F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(0).cast("int"))
+    if own:
+        drop_at_end(spark, path)
+    headers, payloads = spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads")
+    held = verified(payloads).select("sha256", F.octet_length("payload").cast("long").alias("held_bytes"), base32_sha1(F.col("payload")).alias("held_digest"))
+    got = headers.select("page_id", "sha256", F.split("header", "\r\n").alias("lines")).join(held, "sha256")
     field = lambda name: F.element_at(
         F.filter("lines", lambda x: x.startswith(name + ": ")), 1
     ).substr(F.lit(len(name) + 3), F.lit(1 << 20))
     refers = F.filter("lines", lambda x: x.startswith("WARC-Refers-To: "))
-    return got.withColumn("lines", lines).select(
+    return got.select(
         "page_id",
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        base32_sha1(F.col("payload")).alias("payload_digest"),
+        F.col("held_bytes").alias("payload_bytes"),
+        F.col("held_digest").alias("payload_digest"),
         field("WARC-Type").alias("record_type"),
         F.when(F.size(refers) > 0, F.regexp_extract(F.get(refers, F.lit(0)), r"<urn:page:(-?\d+)>", 1).cast("long")).alias("refers_to"),
-        (F.concat(F.lit("sha1:"), base32_sha1(F.col("payload"))) == field("WARC-Payload-Digest")).alias("digest_verified"),
+        (F.concat(F.lit("sha1:"), F.col("held_digest")) == field("WARC-Payload-Digest")).alias("digest_verified"),
     )
