@@ -307,8 +307,9 @@ def _differences(left: DataFrame, sets: DataFrame) -> DataFrame:
     free = minor.join(other, "bucket").where(across & once & near).select(F.least("id", "id_y").alias("a"), F.greatest("id", "id_y").alias("b"))
 
     # pairs that need shingles which the reference doesn't have
-    least = apart.groupBy("ref").agg(F.min("n").alias("least_n"))
-    base = apart.join(least, "ref").withColumn("lacks", need(F.col("n"), F.greatest(F.col("least_n"), F.ceil(F.col("n") * t / 100))) - F.col("ref_n") + F.col("missing"))
+    least = apart.groupBy("ref").agg(F.min("n").alias("least_n")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    salted = apart.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    base = salted.join(least, ["ref", "salt"]).withColumn("lacks", need(F.col("n"), F.greatest(F.col("least_n"), F.ceil(F.col("n") * t / 100))) - F.col("ref_n") + F.col("missing"))
     extra = base.select("id", "ref", "n", "most", "component", "missing", "ref_n", F.greatest("lacks", F.lit(1)).alias("lacks"), F.explode("extra").alias("shingle"))
     common = extra.groupBy("ref", "shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("often")).where("lo != hi")
     shared = extra.join(common.select("ref", "shingle", "often"), ["ref", "shingle"])
