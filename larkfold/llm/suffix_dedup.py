@@ -428,8 +428,11 @@ class Parts:
         for g in grams:
             counts[g] = counts.get(g, 0) + 1
         hot = {g: 2 * c * parts / len(grams) for g, c in counts.items() if c >= OFTEN and 2 * c * parts >= len(grams)}
+        # half of the ranges by all grams, half by those that repeat in the sample: a few families of copies may be most of what is dealt
+        half = -(-ranges // 2)
         rest = [g for g in grams if g not in hot]
-        self.bounds = np.array(sorted({rest[len(rest) * i // ranges] for i in range(1, ranges)}) if rest else [], f"S{GRAM}")
+        again = [g for g in rest if counts[g] > 1]
+        self.bounds = np.array(sorted({x[len(x) * i // half] for x in (rest, again) if x for i in range(1, half)}), f"S{GRAM}")
         self.hot = np.array(sorted(hot), f"S{GRAM}")
         self.width = np.array([max(2, math.ceil(hot[g])) for g in sorted(hot)], np.int64)
         self.first = (len(self.bounds) + 1) * self.subs + np.concatenate(([0], np.cumsum(2 * self.width))).astype(np.int64)
@@ -593,7 +596,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     every = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = every.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     n, size = text_bytes(rows)
-    parts = max(8, -(-size // RANGE_BYTES))
+    parts = max(16, -(-size // RANGE_BYTES))
     dealt = pack(every, parts)  # used twice; Spark reuses the exchange
     blocks = rows.mapInArrow(_hash_blocks(parts), "part int, known boolean, block binary")
     places = blocks.groupBy("part").applyInArrow(_repeated(parts), "g int, places binary")
