@@ -87,3 +87,45 @@ OP10 = rf"""WITH i AS (SELECT item_id::VARCHAR AS item_id, regexp_extract_all({F
  hi AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS s FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
  SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(s, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
  FROM d LEFT JOIN hw ON d.doc_id = hw.doc_id LEFT JOIN hi ON d.doc_id = hi.doc_id"""
+
+_NEAREST = """arg_min(e, list_sum(list_transform(range(1, len(v) + 1), lambda j: (v[j] - c[j]) * (v[j] - c[j])))::HUGEINT * 64 + e)"""
+
+
+def _assigned(books: str) -> str:
+    return f"SELECT i, p.part, any_value(v) AS v, {_NEAREST} AS e FROM p JOIN {books} b ON p.part = b.part GROUP BY i, p.part"
+
+
+def _moved(assigned: str, books: str) -> str:
+    """The codebook after one more round: floors of means, entries without parts as they were."""
+    floor = "(s - ((s % n) + n) % n) // n"
+    return f"""SELECT b.part, b.e, coalesce(m.c, b.c) AS c FROM {books} b LEFT JOIN (SELECT part, e, list({floor} ORDER BY j) AS c FROM
+   (SELECT part, e, j, sum(v[j]) AS s, count(*) AS n FROM {assigned}, range(1, (SELECT w FROM width) + 1) AS g(j) GROUP BY part, e, j) GROUP BY part, e) m ON b.part = m.part AND b.e = m.e"""
+
+
+OP12 = f"""WITH q AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::HUGEINT) AS q FROM embeddings
+   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ d AS (SELECT len(q) AS n FROM q WHERE len(q) > 0 AND len(q) % 16 = 0 GROUP BY 1 ORDER BY count(*) DESC, n DESC LIMIT 1), width AS (SELECT n // 16 AS w FROM d),
+ k AS (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, q) AS i FROM q WHERE len(q) = (SELECT n FROM d)),
+ p AS (SELECT i, part, q[part * w + 1:(part + 1) * w] AS v FROM k, width, range(16) AS g(part)),
+ c0 AS (SELECT part, i - 1 AS e, v AS c FROM p WHERE i <= 64), a0 AS MATERIALIZED ({_assigned("c0")}), c1 AS MATERIALIZED ({_moved("a0", "c0")}),
+ a1 AS MATERIALIZED ({_assigned("c1")}), c2 AS MATERIALIZED ({_moved("a1", "c1")}), a2 AS MATERIALIZED ({_assigned("c2")}),
+ s AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM c2),
+ r AS (SELECT i, string_agg(printf('%02x', a2.e), '' ORDER BY a2.part) AS code, sum(list_sum(list_transform(range(1, len(v) + 1), lambda j: (v[j] - c[j]) * (v[j] - c[j]))))::BIGINT AS error
+   FROM a2 JOIN c2 ON a2.part = c2.part AND a2.e = c2.e GROUP BY i)
+ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM r JOIN k USING (i), s"""
+
+# DuckDB has no crc32: its bits are taken one by one from the table-free definition
+_CRC = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT)),
+   lambda x, y: list_reduce([xor(x, y), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: xor(a >> 1, (a & 1) * 3988292384)))"""
+
+OP13 = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+ l AS (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn NULLS FIRST, sha256(octet_length(encode(role)) || ':' || role || text)) AS l FROM t GROUP BY conv_id),
+ h AS (SELECT conv_id, l, xor({_CRC}, 4294967295) % 9 AS h FROM l),
+ r AS (SELECT a.conv_id, list_concat(coalesce(b.l[1:a.h], []), a.l[a.h + 1:]) AS l FROM h a LEFT JOIN l b ON b.conv_id = a.conv_id - a.conv_id % 5),
+ m AS (SELECT conv_id, len(l) AS n, d AS depth, l[1:d] AS k, CASE WHEN d = 0 THEN 0 ELSE octet_length(encode(l[d].text)) END AS bytes FROM (SELECT *, unnest(range(len(l) + 1)) AS d FROM r)),
+ n AS (SELECT min(conv_id) AS conv_id, depth, k, count(*) AS n_convs, max(n) > depth AS goes_on, (count(*) - 1) * max(bytes) AS own,
+   sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256 FROM m GROUP BY depth, k),
+ s AS (SELECT a.depth, a.conv_id, sum((NOT b.goes_on)::INT)::BIGINT AS n_leaves, sum(b.own)::BIGINT AS saved_tokens, sum((b.depth = a.depth + 1)::INT)::BIGINT AS n_children
+   FROM n a JOIN n b ON b.depth >= a.depth AND b.k[1:a.depth] = a.k GROUP BY a.depth, a.conv_id)
+ SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, s.n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+ FROM n JOIN s ON n.depth = s.depth AND n.conv_id = s.conv_id LEFT JOIN n u ON n.depth = u.depth + 1 AND u.k = n.k[1:u.depth]"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkfold.llm import decontamination, image_copies, language_id, lm_scoring, mixing, oracles, setsketch, sharding, suffix_dedup, url_filter, warc
+from larkfold.llm import decontamination, image_copies, language_id, lm_scoring, mixing, oracles, prefix_trie, setsketch, sharding, suffix_dedup, url_filter, vector_codes, warc
 from larkfold.llm.common import table
 
 
@@ -61,6 +61,16 @@ def op10_aho_corasick_decontamination(spark: SparkSession, sf_dir: str) -> DataF
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_segment_mean_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_doubling_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations take their first turns from the one their group of five is named by."""
+    turns = prefix_trie.turns_in_order(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(turns))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_reputation": op1_url_reputation,
     "op2_image_descriptor_copies": op2_image_descriptor_copies,
@@ -72,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_string_kernel_language": op8_string_kernel_language,
     "op9_cross_entropy_difference": op9_cross_entropy_difference,
     "op10_aho_corasick_decontamination": op10_aho_corasick_decontamination,
+    "op12_segment_mean_codes": op12_segment_mean_codes,
+    "op13_prefix_doubling_trie": op13_prefix_doubling_trie,
 }
 
 #: The other queries can't be put in SQL; tests hold them against brute-force versions.
@@ -81,4 +93,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_weighted_fair_mix": oracles.OP4,
     "op6_content_addressed_warc": oracles.OP6,
     "op10_aho_corasick_decontamination": oracles.OP10,
+    "op12_segment_mean_codes": oracles.OP12,
+    "op13_prefix_doubling_trie": oracles.OP13,
 }
