@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkfold.llm import decontamination, image_copies, language_id, lm_scoring, mixing, oracles, prefix_trie, setsketch, sharding, suffix_dedup, url_filter, vector_codes, warc
+from larkfold.llm import decontamination, image_copies, language_id, lm_scoring, mixing, oracles, prefix_trie, setsketch, sharding, suffix_dedup, toxicity, url_filter, vector_codes, warc
 from larkfold.llm.common import table
 
 
@@ -61,6 +61,10 @@ def op10_aho_corasick_decontamination(spark: SparkSession, sf_dir: str) -> DataF
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_segment_mean_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
 
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_string_kernel_language": op8_string_kernel_language,
     "op9_cross_entropy_difference": op9_cross_entropy_difference,
     "op10_aho_corasick_decontamination": op10_aho_corasick_decontamination,
+    "op11_counterfactual_toxicity": op11_counterfactual_toxicity,
     "op12_segment_mean_codes": op12_segment_mean_codes,
     "op13_prefix_doubling_trie": op13_prefix_doubling_trie,
 }
