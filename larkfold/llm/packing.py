@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,12 +23,24 @@ def group_of(ids: np.ndarray, groups: int) -> np.ndarray:
     return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % groups
 
 
+def _groups(batch: pa.RecordBatch, groups: int) -> np.ndarray:
+    """The group of each row: by its id, without one by a hash of its text."""
+    ids = batch.column(0)
+    if not ids.null_count:
+        return group_of(ids.to_numpy(), groups)
+    keys = ids.fill_null(0).to_numpy().copy()
+    if batch.num_columns > 1:
+        none = np.flatnonzero(ids.is_null().to_numpy(zero_copy_only=False))
+        keys[none] = [xxhash.xxh3_64_intdigest(t or b"") >> 1 for t in batch.column(1).take(pa.array(none)).cast(pa.binary()).to_pylist()]
+    return group_of(keys, groups)
+
+
 def pack(df: DataFrame, groups: int) -> DataFrame:
-    """(g int, block binary) from rows whose first column is a long id (null goes to group 0)."""
+    """(g int, block binary) from rows whose first column is a long id and whose second one, if any, is a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 4096) for b in batches for i in range(0, b.num_rows, 4096)):
-            of = group_of(batch.column(0).fill_null(0).to_numpy(), groups)
+            of = _groups(batch, groups)
             order = np.argsort(of, kind="stable")
             batch = batch.take(pa.array(order))
             edges = np.flatnonzero(np.concatenate(([True], np.diff(of[order]) != 0, [True])))

@@ -22,8 +22,9 @@ entries are dealt twice, by the 34 bytes to the right (for the splits with up to
 others). What a run settles for all splits of a side isn't sent to that side.
 
 Defined cases: a null text is empty; texts under ``LENGTH`` bytes keep all; a row with a null id keeps all and
-is not compared; rows that repeat an id are taken as one document (equal rows get equal results); an empty
-table gives an empty result; extra columns are ignored.
+is not compared, nor does it travel; equal rows are one document and get equal results; rows with one id and unlike texts are
+documents of their own, in the order of their texts' digests (no row loses bytes that only stand elsewhere in another one's
+text); an empty table gives an empty result; extra columns are ignored. Long texts are read in pieces.
 """
 
 from __future__ import annotations
@@ -38,7 +39,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkfold.llm.common import cut
 from larkfold.llm.packing import group_of, pack, squeeze, text_bytes, unsqueeze
+from larkfold.operators.series import ordinal
 
 LENGTH, GRAM = 100, 32
 WINDOW = LENGTH - GRAM + 1
@@ -49,6 +52,8 @@ PIECE, BLOCK, RUN = 1 << 18, 1 << 16, 1 << 14
 RANGE_BYTES = 4 << 20
 #: Documents in the sample that places the range bounds, and grams from each; suffix ranges at most (beyond that, a range is dealt by a hash of its grams).
 SAMPLE_DOCS, SAMPLE_GRAMS, RANGES = 4000, 16, 4096
+#: Equal rows that are written out at once.
+COPIES = 65_536
 #: Context that the two sides of a hot gram are dealt by. A gram is hot if it comes so often in the sample, and fills half a range.
 HALF, OFTEN = LEFT // 2, 4
 #: Entries of a run that are decoded at once.
@@ -594,7 +599,33 @@ def _parts(docs: DataFrame, rows: int, parts: int) -> Parts:
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256, spans) of every row; spans: packed int32 pairs (start, end) of removed bytes."""
     every = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = every.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    known = every.where("doc_id is not null")
+    if known.groupBy("doc_id").count().where("count > 1").isEmpty():
+        out = _remove(known)
+    else:
+        out = _remove_by_row(known)
+    no, zero = every.where("doc_id is null"), F.lit(0).cast("long")
+    whole = F.coalesce("text", F.lit(""))
+    alone = no.select("doc_id", F.octet_length(whole).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(whole, 256).alias("kept_sha256"), F.unhex(F.lit("")).alias("spans"))
+    return out.unionByName(alone).withColumnRenamed("doc_id", key)
+
+
+def _remove_by_row(rows: DataFrame) -> DataFrame:
+    """Ids repeat: distinct (id, text) are numbered in order and taken as documents, and each row gets the result of its own."""
+    order = ["doc_id", "digest"]
+    same = rows.groupBy("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")).agg(F.first("text").alias("text"), F.count("*").alias("n"))
+    same = cut(same, "repeats-rows")
+    placed = cut(same.select(*order, "n").repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "repeats-order")
+    numbers = cut(ordinal(placed.withColumn("all", F.lit(0)), ["all"], order, F.col("range"), "number").drop("all"), "repeats-numbers")
+    out = _remove(same.join(numbers.drop("n"), order).select(F.col("number").alias("doc_id"), "text")).withColumnRenamed("doc_id", "number")
+    each = out.join(numbers, "number").withColumn("piece", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / COPIES).cast("int"))))
+    each = each.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("n") - F.col("piece") * COPIES, F.lit(COPIES)).cast("int"))))
+    return each.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
+
+
+def _remove(every: DataFrame) -> DataFrame:
+    """The rows of ids that don't repeat."""
+    rows = every.where(F.col("text").isNotNull())
     n, size = text_bytes(rows)
     parts = max(16, -(-size // RANGE_BYTES))
     dealt = pack(every, parts)  # used twice; Spark reuses the exchange
@@ -603,10 +634,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     dealing = _parts(rows, n, parts)
     runs = dealt.groupBy("g").cogroup(places.groupBy("g")).applyInArrow(_sorted_runs(dealing), "part int, known boolean, block binary")
     spans = runs.groupBy("part").applyInArrow(_merged(parts, dealing), "g int, spans binary")
-    out = dealt.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(
+    return dealt.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(
         _removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans binary"
     )
-    return out.withColumnRenamed("doc_id", key)
 
 
 def kept(text: bytes, cuts: list[list[int]]) -> bytes:
