@@ -95,3 +95,17 @@ def with_entries(blocks: DataFrame, keys: list[str], leave: Callable[[dict, list
             return blocks.join(known.select(*keys, "_b", "entry"), [*keys, "_b"])
         again = each_block(blocks.join(stale, [*keys, "_b"]), ends, pairs)
         known = written(known.join(stale.select(*keys, "_b"), [*keys, "_b"], "left_anti").unionByName(again), "block-ends")
+
+
+def pack_with_past(df: DataFrame, keys: list[str], order: list[str], bucket: Column, columns: dict[str, Column | str], past: int, block: int = BLOCK) -> DataFrame:
+    """As ``pack``, each block with up to ``past`` rows before it in front; ``_own`` is where its own rows start, ``_first`` the ordinal of the first one."""
+    of = {n: F.col(c) if isinstance(c, str) else c for n, c in columns.items()}
+    rows = ordinal(df, keys, order, bucket).select(*keys, "_rn", *[c.alias(n) for n, c in of.items()])
+    b, at = (F.col("_rn") / block).cast("long"), F.col("_rn") % block
+    reach = -(-past // block)  # blocks that a row is past of
+    after = [F.when(at >= k * block - past, b + k) for k in range(1, reach + 1)]
+    rows = rows.withColumn("_b", F.explode(F.array_compact(F.array(b, *after))))
+    packed = rows.groupBy(*keys, "_b").agg(F.array_sort(F.collect_list(F.struct("_rn", F.struct(*of).alias("_v")))).alias("_rows"))
+    own = F.col("_rows._rn")
+    packed = packed.withColumn("_own", F.size(F.filter(own, lambda r: r < F.col("_b") * block))).where(F.col("_own") < F.size("_rows"))
+    return packed.select(*keys, "_b", "_own", own[0].alias("_first"), *[F.col(f"_rows._v.{n}").alias(n) for n in of])
