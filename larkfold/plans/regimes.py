@@ -219,10 +219,10 @@ _TR1 = "CASE WHEN p IS NOT NULL THEN greatest(high - low, abs(high - p), abs(low
  c AS (SELECT *, count(tr) OVER {rows(100)} AS n, avg(tr) OVER {rows(100)} AS atr, max(high) OVER {rows(2)} AS hi, min(low) OVER {rows(2)} AS lo FROM b),
  e AS (SELECT symbol, day, close, CASE WHEN n >= 100 THEN atr END AS atr, CASE WHEN n >= 100 THEN hi - atr * 1.5 END AS upper, CASE WHEN n >= 100 THEN lo + atr * 1.5 END AS lower FROM c),
  f AS (SELECT *, CASE WHEN close > upper THEN 'UP' WHEN close < lower THEN 'DOWN' ELSE 'FLAT' END AS trend FROM e)
- SELECT symbol, day, trend, round(upper, 2) AS upper, round(lower, 2) AS lower, round(coalesce(CASE WHEN atr > 0 THEN least(CASE trend WHEN 'UP' THEN abs(close - upper) / atr WHEN 'DOWN' THEN abs(lower - close) / atr END, 3) END, 0), 6) AS strength FROM f""")
+ SELECT symbol, day, trend, round(upper, 6) AS upper, round(lower, 6) AS lower, round(coalesce(CASE WHEN atr > 0 THEN least(CASE trend WHEN 'UP' THEN abs(close - upper) / atr WHEN 'DOWN' THEN abs(lower - close) / atr END, 3) END, 0), 6) AS strength FROM f""")
 def k11(spark: SparkSession, d: str) -> DataFrame:
     out = M.halftrend(daily_bars(spark, d), KEYS, ORDER, bar_bucket())
-    return out.select("symbol", "day", "trend", F.round("upper", 2).alias("upper"), F.round("lower", 2).alias("lower"), F.round("strength", 6).alias("strength"))
+    return out.select("symbol", "day", "trend", F.round("upper", 6).alias("upper"), F.round("lower", 6).alias("lower"), F.round("strength", 6).alias("strength"))
 
 
 def _ema_sql(name: str, n: int) -> str:
