@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from larkfold.llm.common import LOWER, UPPER
 from larkfold.llm.url_filter import MAX_BAD_RATE, RULES, STRONGEST, SUFFIX_RULES, TAIL, WEAKEST
+from larkfold.llm.warc import DATE
 
 FOLD = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -71,12 +72,15 @@ OP4 = rf"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(tex
  n AS (SELECT i, count(*) AS n FROM g WHERE total <= (SELECT sum(size) FROM d) GROUP BY i)
  SELECT doc_id, size, source_size, target, (coalesce(n, 0) * size)::BIGINT AS taken FROM q LEFT JOIN n USING (i)"""
 
-OP6 = """WITH p AS (SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
- x AS (SELECT page_id, first, octet_length(encode(h)) AS n, sha1(h) AS hex FROM p),
- b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][strpos('0123456789abcdef', substr(hex, i, 1))]), '') AS bits FROM x)
- SELECT page_id, n AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * (substr(bits, i * 5 + 1, 1) = '1')::INT + 8 * (substr(bits, i * 5 + 2, 1) = '1')::INT
-   + 4 * (substr(bits, i * 5 + 3, 1) = '1')::INT + 2 * (substr(bits, i * 5 + 4, 1) = '1')::INT + (substr(bits, i * 5 + 5, 1) = '1')::INT, 1)), '') AS payload_digest,
- CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM b"""
+OP6 = f"""WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+ x AS (SELECT page_id, url, h, CASE WHEN page_id <> first THEN first END AS refers_to, octet_length(encode(h)) AS n, sha1(h) AS hex FROM p),
+ b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][strpos('0123456789abcdef', substr(hex, i, 1))]), '') AS bits FROM x),
+ d AS (SELECT *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * (substr(bits, i * 5 + 1, 1) = '1')::INT + 8 * (substr(bits, i * 5 + 2, 1) = '1')::INT
+   + 4 * (substr(bits, i * 5 + 3, 1) = '1')::INT + 2 * (substr(bits, i * 5 + 4, 1) = '1')::INT + (substr(bits, i * 5 + 5, 1) = '1')::INT, 1)), '') AS digest, chr(13) || chr(10) AS eol, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS kind FROM b)
+ SELECT page_id, n AS payload_bytes, digest AS payload_digest, kind AS record_type, refers_to,
+  sha256('WARC/1.1' || eol || 'WARC-Type: ' || kind || eol || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>' || eol || 'WARC-Date: {DATE}' || eol || 'WARC-Target-URI: ' || replace(replace(url, chr(13), '%0D'), chr(10), '%0A')
+   || eol || 'WARC-Payload-Digest: sha1:' || digest || coalesce(eol || 'WARC-Refers-To: <urn:page:' || refers_to || '>', '') || eol || 'Content-Type: text/html' || eol || 'Content-Length: ' || CASE WHEN kind = 'response' THEN n ELSE 0 END
+   || eol || eol || CASE WHEN kind = 'response' THEN h ELSE '' END || eol || eol) AS record_sha256 FROM d"""
 
 OP10 = rf"""WITH i AS (SELECT item_id::VARCHAR AS item_id, regexp_extract_all({FOLD}, '{ALNUM}') AS w FROM benchmark),
  win AS (SELECT DISTINCT item_id, least(10, len(w)) AS k, unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2), lambda x: array_to_string(w[x:x + least(10, len(w)) - 1], ' '))) AS g FROM i WHERE len(w) > 0),

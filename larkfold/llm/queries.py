@@ -39,7 +39,7 @@ def op5_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return warc.archive_digest(spark, pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.archive_digest(spark, pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_sha256")
 
 
 def op7_merge_sorted_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

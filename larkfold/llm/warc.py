@@ -7,21 +7,24 @@ shared folder: ``payloads`` (each distinct payload once, by its SHA-256 digest)
 payload against its digest. Of the records with one payload, that of the largest page id is the
 response and the others are revisits of it.
 
-Payload bytes are never shuffled to find copies: rows are grouped by digest without the
-payload, and only the response rows keep theirs.
+Payloads are grouped by digest, copies in a task first, and written in buckets of the digest, so that the join that rebuilds
+records moves no payload. A record with a block (a response) is rebuilt from its header and the payload of its digest; a revisit has no
+block, and meets only the length and digest that its payload was found to have.
 
 Defined cases: a null html is an empty payload; a null url is written as an empty target;
-rows repeated with one page id and payload give one record each, and one of them holds the
-payload; a record with a null page id is a response whatever has its payload, and holds it in the archive if no other does; CR and LF in a url are percent-encoded in its header line; an empty table gives
-empty tables.
+rows repeated with one page id and payload give one record each; a record with a null page id is a response whatever has its payload;
+of equal page ids the largest is one of them, and all are responses; CR and LF in a url are percent-encoded in its header line; a payload of any length
+is one value; extra columns are ignored, whatever their names; an empty table gives empty tables.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkfold.llm.common import drop_at_end, fresh_path
+from larkfold.llm.common import cut, drop_at_end, fresh_path
 
 #: Digits of base 32 as Spark's conv writes them, and as RFC 4648 does.
 CONV_DIGITS, RFC_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -50,8 +53,8 @@ def header_block(page_id: Column, url: Column, kind: Column, digest: Column, n:
     )
 
 
-def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
-    """Writes ``path``/payloads and ``path``/headers. Payloads under ``min_bytes`` are responses all."""
+def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, table: str | None = None) -> None:
+    """Writes ``path``/payloads and ``path``/headers. Payloads under ``min_bytes`` are responses all. ``table``: a name under which the session knows the payloads' buckets."""
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     rows = pages.select(
         "page_id", "url", payload.alias("payload"), F.sha2(payload, 256).alias("sha256"), F.octet_length(payload).cast("long").alias("payload_bytes")
@@ -67,12 +70,13 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
         "page_id", "sha256", "payload_bytes", "payload_digest", kind.alias("record_type"), "refers_to",
         header_block(F.col("page_id"), F.col("url"), kind, F.col("payload_digest"), F.col("payload_bytes"), F.col("refers_to")).alias("header"),
     ).write.parquet(f"{path}/headers")
-    # one row a digest: the page that responds, without the others' payloads
-    named = [F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("name"), F.col("page_id").isNull().alias("none"), "sha256"]  # null equals null
-    keep = first.withColumnRenamed("response_id", "page_id").select(*named)
-    rows.select(*named, "payload").join(keep, ["name", "none", "sha256"], "left_semi").dropDuplicates(
-        ["name", "none", "sha256"]
-    ).select("sha256", "payload").write.parquet(f"{path}/payloads")
+    once = rows.groupBy("sha256").agg(F.first("payload").alias("payload"))
+    if table:
+        # as many buckets as the exchange has partitions: a task writes its own buckets only
+        buckets = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        once.write.format("parquet").option("path", f"{path}/payloads").bucketBy(buckets, "sha256").saveAsTable(table)
+    else:
+        once.write.parquet(f"{path}/payloads")
 
 
 def verified(payloads: DataFrame) -> DataFrame:
@@ -95,18 +99,23 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive_digest(spark: SparkSession, pages: DataFrame, path: str | None = None) -> DataFrame:
-    """Writes the archive, reads it back and describes each record from what is read: its header's lines, and length and digest of its payload.
-
-    The payloads are verified and digested where they lie, once each; only lengths and digests travel to the headers, so a payload that many records
-    have is no hot row of bytes."""
+    """Writes the archive, rebuilds every record from what is read, and describes it from its own bytes, with ``record_sha256``, the record's digest."""
     own = path is None  # an archive nobody asked to keep
-    path = path or fresh_path(spark, "warc")
-    write_archive(pages, path)
+    path, name = path or fresh_path(spark, "warc"), f"warc_payloads_{uuid.uuid4().hex}"
+    write_archive(pages, path, table=name)
     if own:
         drop_at_end(spark, path)
-    headers, payloads = spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads")
-    held = verified(payloads).select("sha256", F.octet_length("payload").cast("long").alias("held_bytes"), base32_sha1(F.col("payload")).alias("held_digest"))
-    got = headers.select("page_id", "sha256", F.split("header", "\r\n").alias("lines")).join(held, "sha256")
+    headers, payloads = spark.read.parquet(f"{path}/headers"), verified(spark.table(name))
+    end = F.lit(b"\r\n\r\n")
+    head = F.encode(F.col("header"), "UTF-8")
+    # responses get their block; the payload's bytes stay in their bucket
+    whole = headers.where("record_type = 'response'").join(payloads, "sha256").select("page_id", F.concat(head, F.col("payload"), end).alias("record"), F.octet_length(head).alias("skip"))
+    block = F.substring(F.col("record"), F.col("skip") + 1, F.octet_length("record") - F.col("skip") - 4)
+    responses = whole.select("page_id", "record", F.decode(F.substring(F.col("record"), F.lit(1), F.col("skip")), "UTF-8").alias("header"), F.octet_length(block).cast("long").alias("held_bytes"), base32_sha1(block).alias("held_digest"))
+    found = payloads.select("sha256", F.octet_length("payload").cast("long").alias("held_bytes"), base32_sha1(F.col("payload")).alias("held_digest"))
+    found = cut(found, "warc-found")  # small, so that a digest that many records have is a join that Spark splits
+    revisits = headers.where("record_type = 'revisit'").join(found, "sha256").select("page_id", F.concat(head, end).alias("record"), "header", "held_bytes", "held_digest")
+    got = responses.unionByName(revisits).select("page_id", F.sha2("record", 256).alias("record_sha256"), F.split("header", "\r\n").alias("lines"), "held_bytes", "held_digest")
     field = lambda name: F.element_at(
         F.filter("lines", lambda x: x.startswith(name + ": ")), 1
     ).substr(F.lit(len(name) + 3), F.lit(1 << 20))
@@ -118,4 +127,5 @@ def archive_digest(spark: SparkSession, pages: DataFrame, path: str | None = Non
         field("WARC-Type").alias("record_type"),
         F.when(F.size(refers) > 0, F.regexp_extract(F.get(refers, F.lit(0)), r"<urn:page:(-?\d+)>", 1).cast("long")).alias("refers_to"),
         (F.concat(F.lit("sha1:"), F.col("held_digest")) == field("WARC-Payload-Digest")).alias("digest_verified"),
+        "record_sha256",
     )
