@@ -19,8 +19,8 @@ from pyspark.sql.types import StructType
 from larkfold.operators.series import ordinal
 from larkfold.scratch import written
 
-#: Rows of a block.
-BLOCK = 65_536
+#: Rows of a block, and bytes of what blocks give that are handed on together.
+BLOCK, HELD = 65_536, 8 << 20
 
 
 def pack(df: DataFrame, keys: list[str], order: list[str], bucket: Column, columns: dict[str, Column | str], block: int = BLOCK) -> DataFrame:
@@ -37,11 +37,18 @@ def each_block(blocks: DataFrame, walk: Callable[[dict], dict], fields: str) ->
     schema = to_arrow_schema(StructType.fromDDL(fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, size = [], 0
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {n: c[i] for n, c in zip(batch.schema.names, batch.columns, strict=True)}
                 made = walk({n: v.values if isinstance(v, pa.ListScalar) else v.as_py() for n, v in row.items()})
-                yield pa.RecordBatch.from_arrays([_array(made[f.name], f.type) for f in schema], schema=schema)
+                done.append(pa.RecordBatch.from_arrays([_array(made[f.name], f.type) for f in schema], schema=schema))
+                size += done[-1].nbytes
+                if size > HELD or len(done) == 4096:
+                    yield from pa.Table.from_batches(done).combine_chunks().to_batches()
+                    done, size = [], 0
+        if done:
+            yield from pa.Table.from_batches(done).combine_chunks().to_batches()
 
     return blocks.mapInArrow(run, fields)
 

@@ -21,7 +21,7 @@ from larkfold.operators.blocks import each_block, kinds, numbers, pack
 from larkfold.operators.series import rolling
 from larkfold.scratch import written
 
-PIECE, LEAST = 4096, 10
+PIECE, LEAST = 512, 10
 
 
 @dataclass(frozen=True)

@@ -11,6 +11,7 @@ from larkfold.operators import monte_carlo as C
 from larkfold.plans.core import tick_bucket
 from larkfold.plans.registry import query
 from larkfold.plans.series import KEYS, ORDER, bar_bucket, over_bars
+from larkfold.scratch import written
 from larkfold.sources.adapters import daily_bars, table, ticks
 
 
@@ -62,10 +63,10 @@ def results(spark: SparkSession, d: str) -> DataFrame:
 @query("a24_path_summary")
 def a24_paths(spark: SparkSession, d: str) -> DataFrame:
     """Block bootstrap, mirrored pairs, heavier losses and geometric Brownian motion (random, but the same on each run; a test holds paths against plain loops)."""
-    out = None
+    out, pnl = None, written(results(spark, d), "pnl")
     for name, spec in (("block", C.PathSpec(paths=60)), ("antithetic", C.PathSpec("antithetic", paths=60)), ("stress", C.PathSpec(paths=60, worse=1.5)), ("gbm", C.PathSpec("gbm", paths=60))):
-        made = C.equity_pieces(results(spark, d), KEYS, ORDER, bar_bucket(), "pnl", spec)
-        s = C.summary(C.path_results(made, KEYS, spec), KEYS, spec).withColumn("method", F.lit(name))
+        made = C.equity_pieces(pnl, KEYS, ORDER, bar_bucket(), "pnl", spec)
+        s = C.summary(written(C.path_results(made, KEYS, spec), "paths"), KEYS, spec).withColumn("method", F.lit(name))
         out = s if out is None else out.unionByName(s)
     return out.select("symbol", "method", *[F.round(c, 4).alias(c) for c in out.columns if c not in ("symbol", "method")])
 
@@ -73,7 +74,7 @@ def a24_paths(spark: SparkSession, d: str) -> DataFrame:
 @query("a24_equity_curves")
 def a24_curves(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles of equity over paths after each step (a test holds it against plain loops)."""
-    out = C.curves(C.equity_pieces(results(spark, d), KEYS, ORDER, bar_bucket(), "pnl", C.PathSpec(paths=60)), KEYS)
+    out = C.curves(C.equity_pieces(written(results(spark, d), "pnl"), KEYS, ORDER, bar_bucket(), "pnl", C.PathSpec(paths=60)), KEYS)
     return out.select("symbol", "step", *[F.round(c, 4).alias(c) for c in out.columns if c.startswith("equity")])
 
 

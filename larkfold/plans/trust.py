@@ -52,7 +52,7 @@ DATA_SQL = f"""{BARS_SQL}, data AS (SELECT symbol, day, tick_count, (tick_count
   unnest([CASE WHEN coverage = 0 THEN 'failed' ELSE 'passed' END, CASE WHEN integrity = 0 THEN 'failed' ELSE 'passed' END, CASE WHEN leakage = 0 THEN 'failed' ELSE 'passed' END, 'passed', CASE WHEN missing = 0 THEN 'failed' WHEN m > 7.5 THEN 'warning' ELSE 'passed' END, 'passed',
    CASE WHEN label = 0 THEN 'failed' WHEN label = 80 THEN 'warning' ELSE 'passed' END, CASE WHEN source < 60 THEN 'failed' WHEN source < 75 THEN 'warning' ELSE 'passed' END, 'passed', 'passed',
    CASE WHEN total >= 80 AND coverage >= 85 AND leakage = 100 AND integrity = 100 AND round((200 + missing) / 3, 4) >= 80 AND missing > 0 AND label >= 80 AND source >= 60 THEN 'accepted' ELSE 'rejected' END]) AS status FROM x)
- SELECT "check", status, round(score, 4) AS score FROM o""")
+ SELECT "check", status, round(score, 2) AS score FROM o""")
 def x05_gate(spark: SparkSession, d: str) -> DataFrame:
     """The ten checks over a dataset and its sources, and the decision."""
     t = ticks(spark, d)
@@ -63,7 +63,7 @@ def x05_gate(spark: SparkSession, d: str) -> DataFrame:
     spec = T.GateSpec(("symbol",), "day", FAMILIES, ("label_5",), sources=("a", "b"))
     report = T.gate(dataset(spark, d), spec, T.Built(lineage=dict.fromkeys(T.LINEAGE, 1)), raw, days)
     made = [(c.name, c.status, c.score) for c in report.checks] + [("total", "accepted" if report.accepted else "rejected", report.scores["total"])]
-    return spark.createDataFrame(made, "check string, status string, score double")
+    return spark.createDataFrame(made, "check string, status string, score double").withColumn("score", F.round("score", 2))
 
 
 def _family_sql(f: T.Family) -> str:
