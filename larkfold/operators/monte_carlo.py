@@ -60,7 +60,8 @@ def sizes(df: DataFrame, keys: list[str], order: list[str], bucket: Column, valu
 
 
 def pieces(known: DataFrame, keys: list[str], spec: PathSpec) -> DataFrame:
-    """(keys, _path, _step, _take, _from, _mirror): a row a piece. ``_from`` is where it starts in the series, ``_mirror`` whether it is mirrored."""
+    """(keys, _path, _step, _take, _from, _mirror, _group): a row a block of a path, or a part of up to ``PIECE`` steps of one. ``_from`` is where it starts in the
+    series, ``_mirror`` whether it is mirrored, ``_group`` the first step of the piece it belongs to: as many blocks as fit."""
     half = -(-spec.paths // 2)
     path = F.col("_path")
     drawn = path % half if spec.method == "antithetic" else path
@@ -70,12 +71,15 @@ def pieces(known: DataFrame, keys: list[str], spec: PathSpec) -> DataFrame:
     of_block = F.least(length, n - F.col("_k") * length)
     out = out.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((of_block - 1) / PIECE))))
     start = F.pmod(F.xxhash64(F.lit(spec.seed), *keys, drawn, "_k"), n)
+    step = F.col("_k") * length + F.col("_c") * PIECE
+    fit = F.floor(F.lit(PIECE) / length)
+    group = F.when(fit > 0, F.floor(F.col("_k") / F.greatest(fit, F.lit(1))) * fit * length).otherwise(step).cast("long")
     mirror = (path >= half) if spec.method == "antithetic" else F.lit(False)
-    return out.select(*keys, "_n", "_mean", "_sd", "_path", (F.col("_k") * length + F.col("_c") * PIECE).alias("_step"), F.least(F.lit(PIECE), of_block - F.col("_c") * PIECE).cast("int").alias("_take"), F.pmod(start + F.col("_c") * PIECE, n).alias("_from"), mirror.alias("_mirror"))
+    return out.select(*keys, "_n", "_mean", "_sd", "_path", step.alias("_step"), F.least(F.lit(PIECE), of_block - F.col("_c") * PIECE).cast("int").alias("_take"), F.pmod(start + F.col("_c") * PIECE, n).alias("_from"), mirror.alias("_mirror"), group.alias("_group"))
 
 
 def _fetched(rows: DataFrame, series: DataFrame, keys: list[str]) -> DataFrame:
-    """Pieces with their results ``_r``: up to three runs of a packed block each (the series is a circle)."""
+    """(keys, _path, _step, _mean, _mirror, _r) of pieces: the results of their blocks in order, each up to three runs of a packed block (the series is a circle)."""
     n, runs, at, left = F.col("_n"), [], F.col("_from"), F.col("_take").cast("long")
     for i in range(3):
         run = F.least(left, (F.floor(at / PIECE) + 1) * PIECE - at, n - at)
@@ -85,9 +89,8 @@ def _fetched(rows: DataFrame, series: DataFrame, keys: list[str]) -> DataFrame:
     each = each.withColumn("_b", F.floor(F.col("_run.a") / PIECE).cast("long"))
     met = each.join(series.select(*keys, "_b", "_x"), [*keys, "_b"])
     part = F.slice("_x", (F.col("_run.a") % PIECE + 1).cast("int"), F.col("_run.l").cast("int"))
-    names = [c for c in rows.columns if c not in keys and c not in ("_path", "_step")]
-    parts = met.groupBy(*keys, "_path", "_step").agg(F.array_sort(F.collect_list(F.struct(F.col("_run.i").alias("i"), part.alias("p"))))["p"].alias("_p"), *[F.first(c).alias(c) for c in names])
-    return parts.withColumn("_r", F.flatten("_p")).drop("_p")
+    parts = met.groupBy(*keys, "_path", F.col("_group")).agg(F.array_sort(F.collect_list(F.struct("_step", F.col("_run.i").alias("i"), part.alias("p"))))["p"].alias("_p"), F.first("_mean").alias("_mean"), F.first("_mirror").alias("_mirror"))
+    return parts.select(*keys, "_path", F.col("_group").alias("_step"), "_mean", "_mirror", F.flatten("_p").alias("_r"))
 
 
 def equity_pieces(df: DataFrame, keys: list[str], order: list[str], bucket: Column, value: str, spec: PathSpec) -> DataFrame:
