@@ -68,3 +68,23 @@ def align(bars: DataFrame, time: str, symbol: str, values: list[str], symbols: l
     return (
         bars.where(F.col(symbol).isin(symbols)).groupBy(time).agg(F.countDistinct(symbol).alias("_n"), *aggs).where(F.col("_n") == len(symbols)).drop("_n")
     )
+
+
+def prefixed(addition: DataFrame, existing: list[str], prefix: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Columns of ``addition`` whose names ``existing`` has too (case aside, as SQL sees them) get ``prefix_``, again until the name is free; ``keep`` stay as join keys."""
+    taken = {c.lower() for c in existing} | {c.lower() for c in addition.columns}
+    renamed = {}
+    for c in addition.columns:
+        if c in keep or c.lower() not in {e.lower() for e in existing}:
+            continue
+        name = f"{prefix}_{c}"
+        while name.lower() in taken:
+            name = f"{prefix}_{name}"
+        taken.add(name.lower())
+        renamed[c] = name
+    return addition.withColumnsRenamed(renamed)
+
+
+def prefixed_join(left: DataFrame, right: DataFrame, keys: list[str], prefix: str, how: str = "left") -> DataFrame:
+    """A join by equal names in which columns of the right side never clash with those of the left."""
+    return left.join(prefixed(right, left.columns, prefix, tuple(keys)), keys, how)
