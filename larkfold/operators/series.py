@@ -122,6 +122,45 @@ def linear_recurrences(df: DataFrame, keys: list[str], values: dict[str, str], d
     return own.join(carried, [*keys, "_b"]).withColumns(made).drop("_b", "_decay", "_left", *[f"{p}_{o}" for o in values for p in ("_own", "_carried")])
 
 
+def recurrences(df: DataFrame, keys: list[str], made: dict[str, tuple[Column, Column]], block: int = BLOCK) -> DataFrame:
+    """Adds y[0] = x[0]; y[i] = decay[i] * y[i-1] + x[i] for each {name: (x, decay)}, each with decays of its own. Needs ``_rn``.
+
+    As ``linear_recurrences``, but only keys, ordinals and the numbers go through Python: a block travels as one row of arrays, and comes back
+    as arrays that are zipped with the block's other columns.
+    """
+    count = len(made)  # what runs in Python mustn't hold columns
+    rest = [c for c in df.columns if c not in keys]
+    b = (F.col("_rn") / block).cast("long").alias("_b")
+    inputs = {f"_x{j}": x.cast("double") for j, (x, _) in enumerate(made.values())} | {f"_d{j}": d.cast("double") for j, (_, d) in enumerate(made.values())}
+    packed = df.groupBy(*keys, b).agg(F.array_sort(F.collect_list(F.struct("_rn", F.struct(*[F.col(c) for c in rest if c != "_rn"]).alias("_rest"), *[c.alias(n) for n, c in inputs.items()]))).alias("_rows"))
+
+    @F.pandas_udf("array<double>")
+    def own(x: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series([_scan(np.asarray(a, float), np.asarray(e, float))[0] for a, e in zip(x, d, strict=True)])
+
+    @F.pandas_udf("array<double>")
+    def left(x: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series([_scan(np.asarray(a, float), np.asarray(e, float))[1] for a, e in zip(x, d, strict=True)])
+
+    arrays = {f"_{part}{j}": f(F.col(f"_rows._x{j}"), F.col(f"_rows._d{j}")) for j in range(count) for part, f in (("own", own), ("left", left))}
+    packed = packed.withColumns(arrays)
+    ends = packed.select(*keys, "_b", *[F.element_at(f"_{part}{j}", -1).alias(f"_{part}{j}") for j in range(count) for part in ("own", "left")])
+
+    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_b", ignore_index=True)
+        for j in range(count):
+            y, _ = _scan(pdf[f"_own{j}"].to_numpy(float), pdf[f"_left{j}"].to_numpy(float))
+            pdf[f"_c{j}"] = np.concatenate(([0.0], y[:-1]))
+        return pdf[[*keys, "_b", *(f"_c{j}" for j in range(count))]]
+
+    kinds = dict(df.dtypes)
+    carried = ends.groupBy(*keys).applyInPandas(carry, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", _b long" + "".join(f", `_c{j}` double" for j in range(count)))
+    zipped = F.arrays_zip("_rows", *arrays)
+    out = packed.join(carried, [*keys, "_b"]).select(*keys, F.explode(zipped).alias("_z"), *[f"_c{j}" for j in range(count)])
+    values = [(F.col(f"_z._own{j}") + F.col(f"_z._left{j}") * F.col(f"_c{j}")).alias(name) for j, name in enumerate(made)]
+    return out.select(*keys, *[F.col("_z._rows._rn" if c == "_rn" else f"_z._rows._rest.{c}").alias(c) for c in rest], *values)
+
+
 def _scan(x: np.ndarray, decay: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """y[i] = decay[i] * y[i-1] + x[i] from y[-1] = 0, and the products of the decays so far: steps are composed in pairs, fours, eights and so on."""
     y, left, step = x.astype(float), decay.astype(float), 1
