@@ -7,7 +7,7 @@ weights over them; a batch of texts is scored by two matrix products, (texts x g
 (grams x landmarks) by (landmarks x languages).
 
 The model is fitted on the driver from a bounded sample of labelled rows: at most
-``SAMPLE`` a language, drawn by a hash of the id (rows that share a draw count as one), each as the packed bits of its gram set (under 2 KB whatever the
+``SAMPLE`` a language and ``ROWS`` together, drawn by a hash of the id (rows that share a draw count as one), each as the packed bits of its gram set (under 2 KB whatever the
 text's length). Scoring reads whole texts, long ones in pieces that overlap.
 
 Defined cases: a null text, and one without a letter, is ``und`` with score 0; with no labelled rows to
@@ -31,6 +31,8 @@ from larkfold.llm.common import whole_row
 
 #: Labelled rows and landmarks a language, at most, and the number of languages the model takes.
 SAMPLE, LANDMARKS, LANGUAGES = 400, 48, 1000
+#: Rows and landmarks of all languages together, at most: with more than 50 languages each has fewer. 12 KB a row on the driver, 12 KB a landmark in the broadcast.
+ROWS, MARKS = 20_000, 2_400
 RIDGE = 1e-3
 CLASSES = 64
 TRIGRAMS = 8192
@@ -148,6 +150,7 @@ def fit_language_model(
         raise ValueError(f"more than {LANGUAGES} languages")
     if not counts:
         return None
+    sample, landmarks = (min(each, max(total // len(counts), 1)) for each, total in ((sample, ROWS), (landmarks, MARKS)))
     # twice the sample is expected below the bound, so that it is filled; what is above it is left at the end
     bound = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int((1 << 30) * min(1.0, 2 * sample / n)))])
     draw = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30))

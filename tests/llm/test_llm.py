@@ -529,6 +529,20 @@ def test_language_held_out_accuracy(spark, sf):
     assert sum(x["lang"] == x["lang_pred"] for x in r) >= 0.97 * len(r)
 
 
+def test_language_model_is_bounded_over_all_languages(spark, monkeypatch):
+    from larkfold.llm import language_id as LI
+
+    rows = [(i, f"{w} {w}{w} {w} {i}", f"l{j}") for j, w in enumerate(("abc", "mno", "xyz", "ghj")) for i in range(j * 100, j * 100 + 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(LI.fit_language_model(docs, landmarks=5).landmarks) == 20
+    monkeypatch.setattr(LI, "MARKS", 8)
+    monkeypatch.setattr(LI, "ROWS", 40)
+    model = LI.fit_language_model(docs)
+    assert len(model.landmarks) == 8 and model.languages == ["l0", "l1", "l2", "l3"]
+    got = LI.identify(docs, model).join(docs, "doc_id").where("lang_pred = lang").count()
+    assert got == len(rows)
+
+
 def test_language_of_odd_documents(docs, none):
     got = {r["doc_id"]: r for r in language_id.language_id(docs).collect()}
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0.0 for i in (0, 1, 2, 15))
