@@ -27,6 +27,18 @@ def finite_or_null(x: Column | str) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), c)
 
 
+def ieee_log(x: Column | str) -> Column:
+    """Logarithm of a double that is -infinity at 0 and NaN below, where Spark's is null."""
+    c = _c(x)
+    return F.when(c > 0, F.log(c)).when(c == 0, F.lit(float("-inf"))).when(c < 0, F.lit(float("nan")))
+
+
+def ieee_ratio(num: Column | str, den: Column | str) -> Column:
+    """num / den of doubles; at a divisor of 0 infinite with the sign of num, or NaN."""
+    n, d = _c(num).cast("double"), _c(den).cast("double")
+    return F.when(d != 0, n / d).when(d == 0, n * F.lit(float("inf")))
+
+
 def clamp01(x: Column | str) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), _c(x)))
 

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkfold.functions.columns import ieee_log, ieee_ratio
 from larkfold.operators.series import rolling
 
 FLAG_BUY, FLAG_SELL = 32, 64
@@ -15,12 +16,15 @@ def floor_to(ms: str, step: int) -> Column:
     return F.floor(F.col(ms) / step) * step
 
 
-def build_bars(ticks: DataFrame, step_ms: int, tick_id: str = "event_id") -> DataFrame:
-    """Bars of the mid price with spread and source statistics and realised volatility: one lag, one aggregate, both shuffled on (symbol, bar)."""
+def build_bars(ticks: DataFrame, step_ms: int, tick_id: str = "event_id", ieee: bool = False) -> DataFrame:
+    """Bars of the mid price with spread and source statistics and realised volatility: one lag, one aggregate, both shuffled on (symbol, bar).
+
+    A price of 0 has no logarithm and divides nothing (null); with ``ieee`` its logarithm is -infinity, and ratios are infinite or NaN."""
+    log, ratio = (ieee_log, ieee_ratio) if ieee else (F.log, F.try_divide)
     mid = (F.col("bid") + F.col("ask")) / 2
     t = ticks.withColumns({"bar": floor_to("time_msc", step_ms), "mid": mid, "spread": F.col("ask") - F.col("bid")})
     w = Window.partitionBy("symbol", "bar").orderBy("time_msc", tick_id)
-    t = t.withColumn("_d", F.log("mid") - F.log(F.lag("mid").over(w)))
+    t = t.withColumn("_d", log(F.col("mid")) - log(F.lag("mid").over(w)))
     o = F.struct("time_msc", tick_id)
     bars = t.groupBy("symbol", "bar").agg(
         F.min_by("mid", o).alias("open"), F.max("mid").alias("high"), F.min("mid").alias("low"), F.max_by("mid", o).alias("close"),
@@ -28,7 +32,7 @@ def build_bars(ticks: DataFrame, step_ms: int, tick_id: str = "event_id") -> Dat
         F.avg("spread").alias("spread_mean"), F.max("spread").alias("spread_max"), F.min("spread").alias("spread_min"),
         F.countDistinct("broker").alias("source_count"), F.sqrt(F.coalesce(F.sum(F.col("_d") * F.col("_d")), F.lit(0.0))).alias("realized_vol"),
     )
-    return bars.withColumn("mid_return", F.try_divide("close", "open") - 1)
+    return bars.withColumn("mid_return", ratio("close", "open") - 1)
 
 
 def calendar_bars(bars: DataFrame, unit: str) -> DataFrame:
@@ -38,14 +42,15 @@ def calendar_bars(bars: DataFrame, unit: str) -> DataFrame:
     )
 
 
-def microstructure(ticks: DataFrame, step_ms: int = 300_000) -> DataFrame:
-    """Order-flow statistics of a bar: volumes by side bits, imbalance, tick rate, spread in basis points, summed squared returns."""
+def microstructure(ticks: DataFrame, step_ms: int = 300_000, ieee: bool = False) -> DataFrame:
+    """Order-flow statistics of a bar: volumes by side bits, imbalance, tick rate, spread in basis points, summed squared returns. ``ieee``: as in ``build_bars``."""
+    log, ratio = (ieee_log, ieee_ratio) if ieee else (F.log, F.try_divide)
     mid = (F.col("bid") + F.col("ask")) / 2
     t = ticks.withColumns({"bar": floor_to("time_msc", step_ms), "mid": mid})
     w = Window.partitionBy("symbol", "bar").orderBy("time_msc", "event_id")
     side = lambda bit: F.sum((F.col("flags").bitwiseAND(bit) > 0).cast("long"))
-    bps = F.try_divide(F.col("ask") - F.col("bid"), F.col("mid")) * 1e4  # null for a mid of 0
-    t = t.withColumn("_d", F.log("mid") - F.log(F.lag("mid").over(w)))
+    bps = ratio(F.col("ask") - F.col("bid"), F.col("mid")) * 1e4
+    t = t.withColumn("_d", log(F.col("mid")) - log(F.lag("mid").over(w)))
     out = t.groupBy("symbol", "bar").agg(
         F.count("*").alias("ticks"), side(FLAG_BUY).alias("buys"), side(FLAG_SELL).alias("sells"), F.avg(bps).alias("spread_bps_mean"), F.stddev_pop(bps).alias("spread_bps_std"),
         F.max(bps).alias("spread_bps_max"), F.coalesce(F.sum(F.col("_d") * F.col("_d")), F.lit(0.0)).alias("rv"),
