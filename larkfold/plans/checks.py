@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkfold.operators import joins, merge
+from larkfold.operators import merge
+from larkfold.operators.ranges import within
 from larkfold.operators.series import frame, rolling
 from larkfold.plans.core import HOUR, tick_bucket
 from larkfold.plans.merging import MERGE_SQL, RULES, quotes
@@ -75,13 +76,14 @@ def k25(spark: SparkSession, d: str) -> DataFrame:
 @query("k29_blackout_windows", f"""WITH {TICKS_SQL}, n AS (SELECT event_id, time_msc FROM ticks WHERE symbol = 'signup' AND bid > 150) SELECT t.event_id, EXISTS (SELECT 1 FROM n WHERE t.time_msc BETWEEN n.time_msc - 1800000 AND n.time_msc + 900000) AS blackout,
  CASE month(make_timestamp(t.time_msc * 1000)) WHEN 1 THEN 0.8 WHEN 9 THEN 0.7 WHEN 12 THEN 0.3 ELSE 0.0 END::DOUBLE AS seasonality FROM ticks t""")
 def k29(spark: SparkSession, d: str) -> DataFrame:
-    """No trades half an hour before and a quarter after a release (an interval semi-join), and a seasonality table by month."""
-    t = ticks(spark, d).withColumn("all", F.lit(0))
-    n = t.where("symbol = 'signup' and bid > 150").select("all", (F.col("time_msc") - 1_800_000).alias("a"), (F.col("time_msc") + 900_001).alias("b"))
-    hit = joins.interval_join(t.select("all", "event_id", "time_msc"), n, ["all"], "time_msc", "a", "b", HOUR).groupBy("event_id").agg(F.lit(True).alias("hit"))
+    """No trades half an hour before and a quarter after a release (counts of releases within both), and a seasonality table by month."""
+    t = ticks(spark, d).select(F.lit(0).alias("all"), "event_id", "time_msc", F.when((F.col("symbol") == "signup") & (F.col("bid") > 150), True).alias("_news"))
+    t = within(t, ["all"], "time_msc", 900_001, {"_past": ("count", F.col("_news"))})
+    t = within(t, ["all"], "time_msc", 1_800_001, {"_next": ("count", F.col("_news"))}, ahead=True)
+    hit = F.col("time_msc").isNotNull() & (F.col("_past") + F.col("_next") > 0)
     month = F.month(F.timestamp_millis("time_msc"))
     table_ = F.create_map(*[F.lit(x) for kv in ((1, 0.8), (9, 0.7), (12, 0.3)) for x in kv])
-    return t.join(hit, "event_id", "left").select("event_id", F.coalesce("hit", F.lit(False)).alias("blackout"), F.coalesce(F.try_element_at(table_, month), F.lit(0.0)).alias("seasonality"))
+    return t.select("event_id", hit.alias("blackout"), F.coalesce(F.try_element_at(table_, month), F.lit(0.0)).alias("seasonality"))
 
 
 @query("e05_sweeps", f"""WITH {BARS_SQL}, z AS (SELECT *, lag(close) OVER ({W}) AS pc, max(high) OVER p AS top, min(low) OVER p AS bottom, avg(tick_count) OVER p AS vol, count(*) OVER p AS n FROM bars WINDOW p AS ({W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
