@@ -10,15 +10,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that go out at once: a block of vectors of bounded size.
-BLOCK = 4096
+#: Queries that go out at once: a block of vectors of bounded size; and rows that meet a block in one product (a matrix of 8 MB).
+BLOCK, ROWS = 4096, 256
+
+
+def _best(found: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each query, in order, and the ids that they still name."""
+    found = found[:, np.lexsort((ids[found[2].astype(int)], -found[1], found[0]))]
+    start = np.searchsorted(found[0], found[0], "left")
+    found = found[:, np.arange(found.shape[1]) - start < k]
+    named, found[2] = np.unique(found[2].astype(int), return_inverse=True)
+    return found, ids[named]
 
 
 def top_k(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """(query_id, match_id, cosine, place): the k most similar other rows of each query; ties go to the smaller id.
 
-    Queries go out in blocks; a batch of rows meets a block in one matrix product and keeps its k best for each query, so what is
-    shuffled is k rows a query and batch. Exact.
+    Queries go out in blocks; ``ROWS`` rows meet a block in one matrix product, and a task keeps its k best for each query as it goes, so it holds one
+    product and k rows a query of a block, and what is shuffled is k rows a query and task. Exact.
     """
     spark = rows.sparkSession
     found = None
@@ -30,18 +39,24 @@ def top_k(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int) ->
 
         def near(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             q, qm = held.value
+            best = np.empty((3, 0))  # place of the query, similarity, and the place of the id in ``ids``
+            ids, least = np.empty(0, np.int64), np.full(len(q), -np.inf)
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own = batch.column(0).to_numpy()
-                x = np.array(batch.column(1).to_pylist(), np.float64)
-                sim = qm @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)).T
-                sim[q[:, None] == own[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(own, sim.shape), -sim), axis=1)[:, :k]
-                a = np.repeat(q, order.shape[1])
-                s = np.take_along_axis(sim, order, axis=1).ravel()
-                keep = np.isfinite(s)
-                yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(own[order].ravel()[keep]), pa.array(s[keep])], names=["query_id", "match_id", "cosine"])
+                for at in range(0, batch.num_rows, ROWS):
+                    some = batch.slice(at, ROWS)
+                    own = some.column(0).to_numpy()
+                    x = np.array(some.column(1).to_pylist(), np.float64)
+                    sim = qm @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)).T
+                    sim[q[:, None] == own[None, :]] = -np.inf
+                    a, b = np.nonzero((sim >= least[:, None]) & np.isfinite(sim))
+                    if not len(a):
+                        continue
+                    best, ids = _best(np.hstack([best, [a, sim[a, b], len(ids) + b]]), np.concatenate([ids, own]), k)
+                    of = best[0].astype(int)
+                    full = np.flatnonzero(np.bincount(of, minlength=len(q)) == k)
+                    least[full] = best[1][np.searchsorted(of, full, "right") - 1]
+            if best.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(q[best[0].astype(int)]), pa.array(ids[best[2].astype(int)]), pa.array(best[1])], names=["query_id", "match_id", "cosine"])
 
         part = rows.select(F.col(key).cast("long"), vector).mapInArrow(near, "query_id long, match_id long, cosine double")
         found = part if found is None else found.union(part)
