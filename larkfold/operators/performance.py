@@ -8,10 +8,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkfold.operators.clean import fill_forward
-from larkfold.operators.metrics import drawdowns
 from larkfold.operators.quantiles import quantiles
-from larkfold.operators.series import rolling, running
 from larkfold.scratch import written
 
 #: Fixed values of the deployment check: (reason, column, bound, whether the column must be at least the bound).
@@ -41,19 +38,48 @@ def expected_best(trials: int) -> float:
 
 def equity_curve(trades: DataFrame, keys: list[str], order: list[str], bucket: Column, capital: float) -> DataFrame:
     """Trades with ``equity`` after each, its ``peak`` (``capital`` at least), ``depth`` (share lost from the peak), ``streak`` (signed length of the run of
-    wins or losses), ``under`` (trades since the last peak) and ``episode`` (ordinal of that peak). All in two steps over buckets; ``order`` must be total."""
-    t = running(trades, keys, order, bucket, {"_sum": F.col("pnl")}).withColumn("equity", capital + F.col("_sum")).drop("_sum")
-    t = drawdowns(t, keys, order, "equity", bucket).withColumn("peak", F.greatest("peak", F.lit(capital)))
-    t = t.withColumns({"depth": (F.col("peak") - F.col("equity")) / F.col("peak"), "_sign": F.signum("pnl")}).drop("drawdown")
-
-    def columns(w):
-        same = F.coalesce(F.col("_sign") == F.lag("_sign").over(w), F.lit(False))
-        return {"_start": F.when(~same, F.col("_rn")), "episode": F.when(F.col("equity") >= F.col("peak"), F.col("_rn"))}
-
-    t = fill_forward(rolling(t, keys, order, bucket, columns, 1, keep_ordinal=True), keys, order, bucket, ["_start", "episode"])
-    episode = F.coalesce("episode", F.lit(-1))
-    streak = (F.col("_sign") * (F.col("_rn") - F.col("_start") + 1)).cast("long")
-    return t.withColumns({"streak": streak, "episode": episode, "under": F.col("_rn") - episode}).drop("_start", "_sign", "_rn")
+    wins or losses), ``under`` (trades since the last peak) and ``episode`` (ordinal of that peak); ``order`` must be total.
+
+    Trades are shuffled once, to buckets, and written; what the buckets before carry in is one row a bucket and is broadcast."""
+    own, c = trades.columns, F.col
+    df = trades.withColumn("_bucket", bucket)
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
+    upto = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    at = [*keys, "_bucket"]
+    sums = df.groupBy(*at).agg(F.sum("pnl").alias("_s"), F.count("*").alias("_n"))
+    sums = sums.select(*at, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_c"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    w = Window.partitionBy(*at).orderBy(*order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    df = df.join(F.broadcast(sums), at).withColumns({"_sign": F.signum("pnl"), "_rn": c("_start") + F.row_number().over(w) - 1, "equity": capital + (c("_c") + F.coalesce(F.sum("pnl").over(so_far), F.lit(0)))})
+    df = df.withColumns({"_top": F.max("equity").over(so_far), "_last": F.lag("_sign").over(w)})
+    df = df.withColumns({"_record": F.max(F.when(c("equity") >= c("_top"), c("_rn"))).over(so_far), "_fresh": F.max(F.when(c("_last").isNotNull() & (c("_sign") != c("_last")), c("_rn"))).over(so_far)})
+    local = written(df.select(*own, "_bucket", "equity", "_rn", "_sign", "_top", "_record", "_fresh"), "curve-buckets")
+    ends = local.groupBy(*at).agg(
+        F.max("_top").alias("_top"), F.max("_record").alias("_record"), F.max("_fresh").alias("_fresh"), F.min("_rn").alias("_from"), F.min_by("_sign", "_rn").alias("_first"), F.max_by("_sign", "_rn").alias("_final"),
+    )
+    by_bucket = Window.partitionBy(*keys).orderBy("_bucket")
+    ends = ends.withColumns({"_peak": F.greatest(F.max("_top").over(before), F.lit(capital)), "_goes_on": F.coalesce(F.lag("_final").over(by_bucket) == c("_first"), F.lit(False))})
+    ends = ends.withColumns({"_episode": F.when(c("_top") >= c("_peak"), c("_record")), "_run": F.coalesce("_fresh", F.when(~c("_goes_on"), c("_from")))})
+    # the start of the run that a bucket's first row is in, and the last peak of the buckets before
+    ends = ends.withColumns({"_run_in": F.when(~c("_goes_on"), c("_from")).otherwise(F.last("_run", ignorenulls=True).over(before)), "_episode_in": F.coalesce(F.max("_episode").over(before), F.lit(-1))})
+    carried = written(ends.select(*at, "_peak", "_run_in", "_episode_in"), "curve-carried")
+    t = local.join(F.broadcast(carried), at).withColumn("peak", F.greatest("_peak", "_top"))
+    episode = F.when(c("_top") >= c("_peak"), c("_record")).otherwise(c("_episode_in"))
+    streak = (c("_sign") * (c("_rn") - F.coalesce("_fresh", "_run_in") + 1)).cast("long")
+    return t.select(*own, "equity", "peak", ((c("peak") - c("equity")) / c("peak")).alias("depth"), streak.alias("streak"), episode.alias("episode"), (c("_rn") - episode).alias("under"))
+
+
+def _waits(curve: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Mean days from the end of the trade entered before to the start of a trade (no less than 0): months hand on their last row."""
+    c, at = F.col, [*keys, "_bucket"]
+    entered = ["entered", *order]
+    df = curve.select(*dict.fromkeys([*keys, "entered", "exited", *order]), F.trunc("entered", "month").alias("_bucket"))
+    last = df.groupBy(*at).agg(F.max_by("exited", F.struct(*entered)).alias("_end"))
+    last = last.select(*at, F.lag("_end").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_in"))  # one row a month
+    df = df.join(F.broadcast(last), at)
+    w = Window.partitionBy(*at).orderBy(*entered)
+    end = F.when(F.row_number().over(w) == 1, c("_in")).otherwise(F.lag("exited").over(w))
+    return df.select(*keys, F.greatest(F.datediff("entered", end), F.lit(0)).alias("_gap")).groupBy(*keys).agg(F.avg("_gap").alias("avg_days_between"))
 
 
 def _days(curve: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -72,7 +98,7 @@ def backtest_report(trades: DataFrame, keys: list[str], order: list[str], bucket
     that know skew and kurtosis. ``blocked_by`` lists the gates that fail (a null figure fails its gate), '' if ``approved``. Null profits are no trades; a table without rows gives none.
     """
     trades = trades.where(F.col("pnl").isNotNull())
-    curve = written(equity_curve(trades, keys, order, bucket, capital), "curve")  # six aggregates read it
+    curve = equity_curve(trades, keys, order, bucket, capital)
     p, win, loss = F.col("pnl"), F.when(F.col("pnl") > 0, F.col("pnl")), F.when(F.col("pnl") < 0, -F.col("pnl"))
     sums = curve.groupBy(*keys).agg(
         F.count("*").alias("n_trades"), F.count(win).alias("n_wins"), F.avg(win).alias("avg_win"), F.avg(loss).alias("avg_loss"), F.coalesce(F.sum(win), F.lit(0.0)).alias("gross_profit"),
@@ -95,8 +121,7 @@ def backtest_report(trades: DataFrame, keys: list[str], order: list[str], bucket
     tails = quantiles(days.where(r.isNotNull()), keys, "ret", {"_p95": 0.95, "_p05": 0.05}).select(*keys, F.abs(F.try_divide("_p95", "_p05")).alias("tail_ratio"))
     months = curve.groupBy(*keys, F.trunc("exited", "month").alias("_month")).agg(F.sum(p).alias("_pnl")).groupBy(*keys)
     months = months.agg(F.count("*").alias("months"), F.count_if(F.col("_pnl") > 0).alias("profitable_months"))
-    gaps = rolling(curve.select(*keys, *dict.fromkeys(["entered", "exited", *order])), keys, ["entered", *order], F.trunc("entered", "month"), lambda w: {"_gap": F.greatest(F.datediff("entered", F.lag("exited").over(w)), F.lit(0))}, 1)
-    gaps = gaps.groupBy(*keys).agg(F.avg("_gap").alias("avg_days_between"))
+    gaps = _waits(curve, keys, order)
     out = sums.join(by_day, keys)
     for part in (months, burke, tails, gaps):
         out = out.join(part, keys, "left")

@@ -125,3 +125,20 @@ def test_layouts(spark, tmp_path):
             layouts.location("/r", "bars", **bad)
     with pytest.raises(ValueError):
         layouts.save(old, root, "bars")
+
+
+def test_curve_shuffles_no_trades_twice(spark):
+    """Peaks and runs that last over many buckets, and a plan that only broadcasts what buckets carry in."""
+    moves = [5.0] * 7 + [-1.0] * 9 + [0.0, 0.0, 2.0, -3.0] + [1.0] * 12
+    df = spark.createDataFrame([("a", i, DAY, DAY + timedelta(i), m, 0.0, 0.0) for i, m in enumerate(moves)], FIELDS).repartition(3)
+    curve = P.equity_curve(df, ["book"], ["exited", "id"], F.floor(F.col("id") / 3), 100.0)
+    assert "hashpartitioning" not in curve._jdf.queryExecution().executedPlan().toString()
+    got = {r.id: (r.equity, r.peak, r.streak, r.under) for r in curve.collect()}
+    equity, peak, run, under, last = 100.0, 100.0, 0, 0, None
+    for i, m in enumerate(moves):
+        equity += m
+        peak = max(peak, equity)
+        sign = (m > 0) - (m < 0)
+        run = run + 1 if sign == last else 1
+        last, under = sign, 0 if equity >= peak else under + 1
+        assert got[i] == (equity, peak, sign * run, under)
