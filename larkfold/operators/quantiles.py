@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkfold.scratch import written
+
 #: Ranges a key's values are cut to, and the error of the sketch that cuts them (1 / ACCURACY of the rows). They balance the work; results don't depend on them.
 RANGES, ACCURACY = 256, 10_000
 
@@ -27,7 +29,7 @@ def quantiles(df: DataFrame, by: list[str], value: str, points: dict[str, float]
     if not by:
         return quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, points, nearest).drop("_all")
     v = F.col(value)
-    counted = df.where(v.isNotNull()).groupBy(*by, v.alias("_v")).agg(F.count("*").alias("_c"))
+    counted = written(df.where(v.isNotNull()).groupBy(*by, v.alias("_v")).agg(F.count("*").alias("_c")), "counts")  # read for the cuts, for the sums and for the walk
     placed = ranges(counted, by, "_v")
     sums = placed.groupBy(*by, "_range").agg(F.sum("_c").alias("_s"), F.count("*").alias("_d"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     of_key = Window.partitionBy(*by)

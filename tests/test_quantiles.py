@@ -33,3 +33,10 @@ def test_ranks_with_ties(spark):
     rows = [("k", i % 13 / 2) for i in range(200)]
     got = sorted((x["v"], x["place"]) for x in ranked(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect())
     assert got == sorted((v, 1 + sum(w > v for _, w in rows)) for _, v in rows)
+
+
+def test_values_are_counted_once(spark):
+    """Cuts, sums and the walk all read the written counts, not the rows."""
+    df = spark.range(5000).selectExpr("id % 3 AS k", "cast(id % 700 as double) AS v")
+    q = quantiles(df, ["k"], "v", {"median": 0.5})
+    assert "Range (" not in q._jdf.queryExecution().optimizedPlan().toString() and q.count() == 3
