@@ -4,7 +4,8 @@ Whether an observation passes the gate depends on the data, so steps don't compo
 (``blocks.with_entries``) and repeat where they started from the wrong state. The smoother is a chain of affine maps from a
 row's smoothed state to the one before; a block's maps are composed to one, and those of a series are composed backwards.
 
-Adaptive noise rests in a dead zone in which it keeps what it has, so it may not forget its past: then rounds go block by block.
+Adaptive noise rests in a dead zone in which it keeps what it has, so it doesn't forget its past: then laps of blocks are walked in
+order, each once and from its true start.
 
 Defined cases: a null or NaN observation only predicts; before the first observation all is null; an empty table gives an empty result.
 """
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkfold.operators.blocks import BLOCK, each_block, element, kinds, numbers, pack, with_entries
+from larkfold.operators.blocks import BLOCK, each_block, element, kinds, lapped, numbers, pack, with_entries
 from larkfold.scratch import written
 
 
@@ -46,51 +47,93 @@ class KalmanSpec:
 
 
 class Filter:
-    """One walk. The state is a list of numbers, so that a walk can go on where another ended."""
+    """One walk. The state is a list of numbers, so that a walk can go on where another ended. Matrices are written out in numbers, as
+    arrays of so few cost far more than their arithmetic; states that a spec doesn't have stay 0."""
 
     def __init__(self, spec: KalmanSpec, state: list[float] | None) -> None:
-        n = spec.states
-        self.spec, self.f = spec, spec.transition()
+        self.spec, self.f, self.n = spec, spec.transition(), spec.states
+        self.var: float | None = None
         if state is None:
-            self.x, self.p, self.q, self.off, self.r, self.past, self.begun = np.zeros(n), np.eye(n), spec.process, 0.0, spec.noise, [], False
+            self._x, self._p = [0.0, 0.0, 0.0], [1.0, 0.0, 0.0, float(self.n > 1), 0.0, float(self.n > 2)]
+            self.q, self.off, self.r, self.past, self.begun = spec.process, 0.0, spec.noise, [], False
         else:
-            self.x, self.p = np.array(state[:n]), np.array(state[n : n + n * n]).reshape(n, n)
-            self.q, self.off, self.r, begun = state[n + n * n : n + n * n + 4]
-            self.begun, self.past = bool(begun), list(state[n + n * n + 4 :])
+            self._x, self._p = list(state[:3]), list(state[3:9])
+            self.q, self.off, self.r, begun = state[9:13]
+            self.begun, self.past = bool(begun), list(state[13:])
+
+    @property
+    def x(self) -> np.ndarray:
+        return np.array(self._x[: self.n])
+
+    @property
+    def p(self) -> np.ndarray:
+        a, b, d, c, e, g = self._p
+        return np.array([[a, b, d], [b, c, e], [d, e, g]])[: self.n, : self.n]
 
     def state(self) -> list[float]:
-        return [*self.x, *self.p.ravel(), self.q, self.off, self.r, float(self.begun), *self.past]
+        return [*self._x, *self._p, self.q, self.off, self.r, float(self.begun), *self.past]
 
     def process(self) -> np.ndarray:
-        return np.full(self.p.shape, self.off) + (self.q - self.off) * np.eye(len(self.x))
+        return np.full((self.n, self.n), self.off) + (self.q - self.off) * np.eye(self.n)
 
     def step(self, z: float) -> tuple[float, float, bool] | None:
         """(innovation, its variance, outlier) of the next observation; None if there is nothing to say."""
-        blind = math.isnan(z)
+        blind = z != z
         if not self.begun:
             if blind:
                 return None
-            self.x[0], self.begun = z, True
+            self._x[0], self.begun = z, True
             return 0.0, self.r, False
-        self.x = self.f @ self.x
-        self.p = self.f @ self.p @ self.f.T + self.process()
-        y, s = (math.nan if blind else z - self.x[0]), max(self.p[0, 0] + self.r, 1e-12)
-        outlier = not blind and self.spec.gate > 0 and abs(y) > self.spec.gate * math.sqrt(s)
+        spec, n, q, off, r = self.spec, self.n, self.q, self.off, self.r
+        x0, x1, x2 = self._x
+        a, b, d, c, e, g = self._p
+        if n == 1:
+            a += q
+        elif n == 2:
+            x0 += x1
+            a, b, c = a + 2 * b + c + q, b + c + off, c + q
+        else:
+            x0, x1 = x0 + x1 + 0.5 * x2, x1 + x2
+            m0, m1, m2 = a + b + 0.5 * d, b + c + 0.5 * e, d + e + 0.5 * g  # the first row of F P
+            a, b, d, c, e, g = m0 + m1 + 0.5 * m2 + q, m1 + m2 + off, m2 + off, c + 2 * e + g + q, e + g + off, g + q
+        y, s = (math.nan if blind else z - x0), max(a + r, 1e-12)
+        outlier = not blind and spec.gate > 0 and abs(y) > spec.gate * math.sqrt(s)
         if not blind and not outlier:
-            gain = self.p[:, 0] / s
-            keep = np.eye(len(self.x))
-            keep[:, 0] -= gain
-            self.x = self.x + gain * y
-            self.p = keep @ self.p @ keep.T + self.r * np.outer(gain, gain)
-            self.past = [*self.past, float(y)][-self.spec.window :]
-        if self.spec.adapt and not blind and len(self.past) >= self.spec.warm:
+            g0, g1, g2 = a / s, b / s, d / s
+            k = 1 - g0
+            x0 += g0 * y
+            if n > 1:
+                x1 += g1 * y
+                c = c - 2 * g1 * b + g1 * g1 * a + r * g1 * g1
+            if n > 2:
+                x2 += g2 * y
+                e = e - g1 * d - g2 * b + g1 * g2 * a + r * g1 * g2
+                g = g - 2 * g2 * d + g2 * g2 * a + r * g2 * g2
+                d = k * (d - g2 * a) + r * g0 * g2
+            if n > 1:
+                b = k * (b - g1 * a) + r * g0 * g1
+            a = k * k * a + r * g0 * g0
+            self.past.append(y)
+            if len(self.past) > spec.window:
+                del self.past[0]
+            self.var = None
+        self._x, self._p = [x0, x1, x2], [a, b, d, c, e, g]
+        if spec.adapt and not blind and len(self.past) >= spec.warm:
             self._adapt()
-        return float(y), float(s), outlier
+        return y, s, outlier
+
+    def variance(self) -> float:
+        """Of the last innovations."""
+        if self.var is None:
+            mean = sum(self.past) / len(self.past)
+            apart = [y - mean for y in self.past]
+            self.var = math.sumprod(apart, apart) / len(apart)
+        return self.var
 
     def _adapt(self) -> None:
-        spec, var = self.spec, float(np.var(self.past))
+        spec, var = self.spec, self.variance()
         self.r = (1 - spec.rate) * self.r + spec.rate * max(var, spec.least_noise)
-        ratio = var / max(self.p[0, 0] + self.r, 1e-12)
+        ratio = var / max(self._p[0] + self.r, 1e-12)
         if not 0.5 <= ratio <= 1.5:
             by = 1 - spec.rate + spec.rate * min(max(ratio, 0.3), 3.0)
             self.q, self.off = self.q * by, self.off * by
@@ -100,7 +143,7 @@ class Filter:
         """The last accepted innovation is far out of the last ones."""
         if not self.past:
             return False
-        sd = float(np.std(self.past)) if len(self.past) > 5 else 1.0
+        sd = math.sqrt(self.variance()) if len(self.past) > 5 else 1.0
         return sd >= 1e-12 and abs(self.past[-1]) > self.spec.change * sd
 
 
@@ -110,25 +153,25 @@ FIELDS = "level double, velocity double, acceleration double, uncertainty double
 
 def _rows(spec: KalmanSpec, z: np.ndarray, state: list[float] | None) -> Iterator[tuple | None]:
     f = Filter(spec, state)
-    for v in z:
-        said = f.step(float(v))
+    for v in z.tolist():
+        said = f.step(v)
         if said is None:
             yield None
             continue
         y, s, outlier = said
-        level, velocity, acceleration = [*f.x, 0.0, 0.0][:3]
+        level, velocity, acceleration = f._x
         log = -0.5 * (math.log(2 * math.pi * s) + y * y / s)
-        yield level, velocity, acceleration, math.sqrt(f.p[0, 0]), y, s, log, outlier, f.q, f.r, f.changed()
+        yield level, velocity, acceleration, math.sqrt(f._p[0]), y, s, log, outlier, f.q, f.r, f.changed()
 
 
 def kalman(df: DataFrame, keys: list[str], order: list[str], bucket: Column, value: str, ids: list[str], spec: KalmanSpec, block: int = BLOCK, tolerance: float = 0.0) -> DataFrame:
     """(keys, ids, what the filter knows after each row)."""
-    blocks = written(pack(df, keys, order, bucket, {**{i: i for i in ids}, "_z": value}, block), "kalman-blocks")
+    blocks = lapped(pack(df, keys, order, bucket, {**{i: i for i in ids}, "_z": value}, block), "kalman-blocks", block)
 
     def leave(row: dict, entry: list[float] | None) -> list[float]:
         f = Filter(spec, entry)
-        for v in numbers(row["_z"]):
-            f.step(float(v))
+        for v in numbers(row["_z"]).tolist():
+            f.step(v)
         return f.state()
 
     def walk(row: dict) -> dict:
@@ -137,15 +180,15 @@ def kalman(df: DataFrame, keys: list[str], order: list[str], bucket: Column, val
         made = {n: [None if r is None or r[i] != r[i] else r[i] for r in out] for i, n in enumerate(names)}
         return {k: [row[k]] * len(out) for k in keys} | {i: row[i] for i in ids} | made
 
-    return each_block(with_entries(blocks, keys, leave, tolerance), walk, f"{kinds(blocks, keys)}, {kinds(blocks, ids, element)}, {FIELDS}")
+    return each_block(with_entries(blocks, keys, leave, tolerance, ["_z"], forgets=not spec.adapt), walk, f"{kinds(blocks, keys)}, {kinds(blocks, ids, element)}, {FIELDS}")
 
 
 def _affine(spec: KalmanSpec, z: np.ndarray, state: list[float] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By row: C and d of smoothed = C (smoothed one later) + d, and the filtered state; NaN before the first observation."""
     f, n = Filter(spec, state), spec.states
     cs, ds, xs = np.zeros((len(z), n, n)), np.zeros((len(z), n)), np.full((len(z), n), np.nan)
-    for t, v in enumerate(z):
-        if f.step(float(v)) is None:
+    for t, v in enumerate(z.tolist()):
+        if f.step(v) is None:
             continue
         ahead = f.f @ f.p @ f.f.T + f.process()
         if abs(np.linalg.det(ahead)) >= 1e-20:
@@ -158,12 +201,12 @@ def smoothed(df: DataFrame, keys: list[str], order: list[str], bucket: Column, v
     """(keys, ids, level, velocity, acceleration given all rows of the series); noises don't adapt."""
     spec = KalmanSpec(**{**spec.__dict__, "adapt": False})
     n = spec.states
-    blocks = written(pack(df, keys, order, bucket, {**{i: i for i in ids}, "_z": value}, block), "kalman-blocks")
+    blocks = lapped(pack(df, keys, order, bucket, {**{i: i for i in ids}, "_z": value}, block), "kalman-blocks", block)
 
     def leave(row: dict, entry: list[float] | None) -> list[float]:
         f = Filter(spec, entry)
-        for v in numbers(row["_z"]):
-            f.step(float(v))
+        for v in numbers(row["_z"]).tolist():
+            f.step(v)
         f.past = []
         return f.state()
 
@@ -180,7 +223,7 @@ def smoothed(df: DataFrame, keys: list[str], order: list[str], bucket: Column, v
             last = a @ last + b
         return {k: [row[k]] for k in [*keys, "_b"]} | {"c": c.reshape(1, -1), "d": d[None], "last": last[None]}
 
-    walked = written(with_entries(blocks, keys, leave), "kalman-entries")
+    walked = written(with_entries(blocks, keys, leave, needs=["_z"]), "kalman-entries")
     ends = each_block(walked, composed, f"{kinds(blocks, keys)}, _b long, c array<double>, d array<double>, last array<double>")
 
     def carry(pdf: pd.DataFrame) -> pd.DataFrame:

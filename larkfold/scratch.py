@@ -19,12 +19,16 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The table, written once and read back; it goes when the driver ends."""
-    spark = df.sparkSession
+def placed(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for a table; it goes when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """The table, written once and read back; with ``by``, in a folder for each value, so that who wants one reads no other."""
+    path, schema = placed(df.sparkSession, name), df.schema
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)

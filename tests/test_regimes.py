@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from larkfold.operators import hidden_markov as H
 from larkfold.operators import kalman as K
 from larkfold.operators import machines as M
+from larkfold.operators.blocks import numbers, pack, with_entries
 from larkfold.operators.prefix_quantiles import expanding_quantiles, kth
+from larkfold.scratch import written
 
 MODEL = H.HiddenMarkov(np.array([0.5, 0.3, 0.2]), np.array([[0.9, 0.05, 0.05], [0.1, 0.8, 0.1], [0.05, 0.15, 0.8]]), np.array([[0, 0], [3, 1], [-2, 4.0]]), np.array([np.eye(2) * s for s in (1, 0.5, 2)]))
 
@@ -282,3 +284,19 @@ def test_halftrend(spark):
         trend = "UP" if c[i] > up else "DOWN" if c[i] < low else "FLAT"
         want = 0 if trend == "FLAT" else min(3, abs(c[i] - (up if trend == "UP" else low)) / atr)
         assert r["trend"] == trend and r["strength"] == pytest.approx(want)
+
+
+@pytest.mark.parametrize("forgets", [True, False])
+def test_machines_that_never_forget_walk_blocks_a_few_times(spark, forgets):
+    """A sum never forgets: with a round a block, 20 blocks were walked 210 times."""
+    walks = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame([(k, t, float(t + (k == "b"))) for k, n in (("a", 60), ("b", 7)) for t in range(n)], "k string, t long, v double")
+    blocks = written(pack(df, ["k"], ["t"], F.floor(F.col("t") / 20), {"v": "v"}, 3), "blocks")
+
+    def leave(row, entry):
+        walks.add(1)
+        return [numbers(row["v"]).sum() + (entry[0] if entry else 0.0)]
+
+    got = {(r["k"], r["_b"]): r["entry"] for r in with_entries(blocks, ["k"], leave, forgets=forgets).collect()}
+    assert got == {(k, b): [float(sum(t + (k == "b") for t in range(3 * b)))] if b else None for k, n in (("a", 20), ("b", 3)) for b in range(n)}
+    assert walks.value <= 5 * 23
