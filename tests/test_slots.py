@@ -105,3 +105,19 @@ def test_restored_stream_goes_on(spark, made, tmp_path):
     after, _ = run(spark, f"{tmp_path}/second", spark.read.parquet(f"{tmp_path}/state"))
     newest = max((r[1] - START).total_seconds() / 60 for r in known)
     close(sorted(before + after), plain(known, newest))
+
+
+def test_rows_of_a_slot_are_kept_in_pieces(spark, made):
+    """A row of state for each row of input took most of the time: now a batch leaves one for each of its slots."""
+    _, directory = made
+    known = [event(i, i % 90, "a", float(i)) for i in range(600)]
+    spark.createDataFrame(known, SCHEMA).coalesce(1).write.parquet(f"{directory}/many")
+    path = stream_path(spark)
+    with S.state_on_disk(spark):
+        got = engine.run_available(S.slots(engine.read_events(spark, f"{directory}/many", 1, "*.parquet")), path, "append").collect()
+        pieces = spark.read.format("statestore").option("stateVarName", "pieces").load(f"{path}/checkpoint").count()
+        state = S.exported(spark, f"{path}/checkpoint")
+    waiting = {(r["time_msc"], r["event_id"], r["value"]) for r in state.where("kind = 'row'").collect()}
+    base = int((START - datetime.datetime(1970, 1, 1)).total_seconds() * 1000)
+    assert waiting == {(base + (i % 90) * 60_000, i, float(i)) for i in range(600) if i % 90 >= 60} and pieces == 1
+    close([tuple(r) for r in got], plain(known, 89))
