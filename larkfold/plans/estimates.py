@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkfold.operators import estimators as S
@@ -83,15 +83,55 @@ _EDGES = """e AS (SELECT DISTINCT 'line:' || l_orderkey || '.' || l_linenumber A
  UNION ALL SELECT 'order:' || o_orderkey, 'customer:' || o_custkey FROM orders UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey FROM customer UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey FROM nation)"""
 
 
+KINDS = ["line", "order", "part", "supplier", "customer", "nation", "region"]
+_LINE = ["l_orderkey", "l_linenumber"]
+#: (table, kind and key of the child, kind and key of the parent)
+EDGES = [
+    ("lineitem", "line", _LINE, "order", "l_orderkey"), ("lineitem", "line", _LINE, "part", "l_partkey"), ("lineitem", "line", _LINE, "supplier", "l_suppkey"),
+    ("supplier", "supplier", ["s_suppkey"], "nation", "s_nationkey"), ("orders", "order", ["o_orderkey"], "customer", "o_custkey"),
+    ("customer", "customer", ["c_custkey"], "nation", "c_nationkey"), ("nation", "nation", ["n_nationkey"], "region", "n_regionkey"),
+]
+
+
+def _numbering(spark: SparkSession, d: str) -> tuple[int, int]:
+    """(least line number, how many there may be) if (order key, line number, kind) and each other key with its kind fit a long; (0, 0) if not."""
+    ends, whole = None, True
+    for t in sorted({e[0] for e in EDGES}):
+        rows = table(spark, d, t)
+        keys = sorted({k for e in EDGES if e[0] == t for k in (*e[2], e[4])} - {"l_linenumber"})
+        whole = whole and all(dict(rows.dtypes)[k] in ("tinyint", "smallint", "int", "bigint") for k in (*keys, *(["l_linenumber"] if t == "lineitem" else [])))
+        line = F.col("l_linenumber") if t == "lineitem" else F.lit(None)
+        wide = lambda c: c.cast("decimal(20,0)")
+        known = rows.agg(wide(F.min(F.least(*keys, F.lit(0)))).alias("lo"), wide(F.max(F.greatest(*keys, F.lit(0)))).alias("hi"), wide(F.min(line)).alias("l0"), wide(F.max(line)).alias("l1"))
+        ends = known if ends is None else ends.unionByName(known)
+    if not whole:
+        return 0, 0
+    lo, hi, l0, l1 = ends.agg(F.min("lo"), F.max("hi"), F.min("l0"), F.max("l1")).first()
+    width = int((l1 or 0) - (l0 or 0)) + 1
+    return (int(l0 or 0), width) if (max(-int(lo or 0), int(hi or 0)) + 1) * width < 1 << 59 else (0, 0)
+
+
 @query("j17_lineage_closure", f"""WITH RECURSIVE {_EDGES}, r AS (SELECT child AS artifact, parent AS ancestor, 1 AS depth FROM e UNION SELECT artifact, e.parent, depth + 1 FROM r JOIN e ON r.ancestor = e.child),
  s AS (SELECT artifact, ancestor, min(depth) AS depth FROM r GROUP BY ALL)
  SELECT split_part(artifact, ':', 1) AS kind, split_part(ancestor, ':', 1) AS of_kind, depth::BIGINT AS depth, count(*) AS pairs, count(DISTINCT ancestor) AS ancestors, false AS cyclic FROM s GROUP BY ALL""")
 def j17_closure(spark: SparkSession, d: str) -> DataFrame:
-    """All ancestors of all artifacts by shortest path, whatever the depth."""
-    edge = lambda t, a, x, b, y: table(spark, d, t).select(F.concat_ws(":", F.lit(a), F.concat_ws(".", *x)).alias("child"), F.concat(F.lit(f"{b}:"), F.col(y)).alias("parent"))
-    line = ["l_orderkey", "l_linenumber"]
-    e = edge("lineitem", "line", line, "order", "l_orderkey")
-    for more in (("lineitem", "line", line, "part", "l_partkey"), ("lineitem", "line", line, "supplier", "l_suppkey"), ("supplier", "supplier", ["s_suppkey"], "nation", "s_nationkey"), ("orders", "order", ["o_orderkey"], "customer", "o_custkey"), ("customer", "customer", ["c_custkey"], "nation", "c_nationkey"), ("nation", "nation", ["n_nationkey"], "region", "n_regionkey")):
-        e = e.unionByName(edge(*more))
-    kind = lambda c: F.substring_index(c, ":", 1)
-    return lineage.ancestors(e).groupBy(kind("artifact").alias("kind"), kind("ancestor").alias("of_kind"), "depth").agg(F.count("*").alias("pairs"), F.count_distinct("ancestor").alias("ancestors"), F.max("cyclic").alias("cyclic"))
+    """All ancestors of all artifacts by shortest path, whatever the depth. Artifacts are numbers where keys allow it: those take half the room of names."""
+    least, width = _numbering(spark, d)
+    code = lambda kind: F.lit(KINDS.index(kind)).cast("long")
+
+    def node(kind: str, key: list[str]) -> Column:
+        if not width:
+            return F.concat(F.lit(f"{kind}:"), F.concat_ws(".", *key))
+        at = F.col(key[0]).cast("long")
+        return (at if len(key) == 1 else at * width + (F.col(key[1]) - least)) * 8 + code(kind)
+
+    e = None
+    for t, a, x, b, y in EDGES:
+        known = table(spark, d, t).select(node(a, x).alias("child"), F.when(F.col(y).isNotNull(), node(b, [y])).alias("parent"))
+        e = known if e is None else e.unionByName(known)
+    kind = lambda c: F.pmod(F.col(c), F.lit(8)).cast("int") if width else F.substring_index(c, ":", 1)
+    out = lineage.ancestors(e).groupBy(kind("artifact").alias("kind"), kind("ancestor").alias("of_kind"), "depth").agg(F.count("*").alias("pairs"), F.count_distinct("ancestor").alias("ancestors"), F.max("cyclic").alias("cyclic"))
+    if width:
+        names = F.array(*[F.lit(k) for k in KINDS])
+        out = out.withColumns({c: F.get(names, F.col(c)) for c in ("kind", "of_kind")})
+    return out

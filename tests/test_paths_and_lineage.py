@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from larkfold.operators import lineage
 from larkfold.operators import monte_carlo as C
+from larkfold.plans import estimates
 
 
 def made(spark, series, spec, value="v"):
@@ -113,3 +114,25 @@ def test_lineage_of_chains_joins_and_cycles(spark):
     got = lineage.ancestors(spark.createDataFrame(edges, "child string, parent string"))
     assert {tuple(r) for r in got.select("artifact", "ancestor", "depth", "cyclic").collect()} == want
     assert lineage.ancestors(spark.createDataFrame([], "child string, parent string")).count() == 0
+
+
+def test_leaves_take_no_part_in_rounds(spark, monkeypatch):
+    """Rounds doubled the pairs of all artifacts, though most of them are no one's ancestors."""
+    edges = [(f"leaf{i}", f"mid{i % 7}") for i in range(200)] + [(f"mid{i}", "top" if i else "loop") for i in range(7)] + [("loop", "loop"), ("leaf0", "loop"), ("leaf0", "mid3")]
+    doubled, seen = lineage._doubled, []
+    monkeypatch.setattr(lineage, "_doubled", lambda e: seen.append({tuple(r) for r in e.collect()}) or doubled(e))
+    got = {(r["artifact"], r["ancestor"]): (r["depth"], r["cyclic"]) for r in lineage.ancestors(spark.createDataFrame(edges, "child string, parent string")).collect()}
+    want = {(f"leaf{i}", f"mid{i % 7}"): 1 for i in range(200)} | {(f"leaf{i}", "top" if i % 7 else "loop"): 2 for i in range(200)} | {(f"mid{i}", "top" if i else "loop"): 1 for i in range(7)}
+    want |= {("leaf0", "mid3"): 1, ("leaf0", "loop"): 1, ("leaf0", "top"): 2, ("loop", "loop"): 1}
+    assert got == {k: (d, k[0] == "loop") for k, d in want.items()}
+    assert seen == [{("loop", "loop")}]
+
+
+def test_keys_too_large_to_number_go_by_names(spark, sf, tmp_path):
+    for t in ("lineitem", "orders", "customer", "supplier", "nation"):
+        df = spark.read.parquet(f"{sf}/{t}.parquet")
+        df = df.withColumn("o_orderkey", F.col("o_orderkey") + (1 << 60)) if t == "orders" else df.withColumn("l_orderkey", F.col("l_orderkey") + (1 << 60)) if t == "lineitem" else df
+        df.write.parquet(f"{tmp_path}/{t}.parquet")
+    assert estimates._numbering(spark, sf)[1] > 0 and estimates._numbering(spark, str(tmp_path)) == (0, 0)
+    rows = lambda d: sorted(tuple(r) for r in estimates.j17_closure(spark, d).select("kind", "of_kind", "depth", "pairs", "ancestors", "cyclic").collect())
+    assert rows(str(tmp_path)) == rows(sf)
