@@ -102,18 +102,45 @@ def link_buckets(
     links without making all pairs of a bucket (without it, a leader leaves its bucket when all have been compared with it). After the first leader, ``most(ids, details)``
     gives for (id, component) how much of an id other components can hold at all, (id, most), without the ids for which that is too little;
     ``possible(n, most_n, m, most_m)`` drops the pairs that it rules out. As components only grow, the bound stays true.
-
-    With a column ``probe`` in the members, only the pairs count in which the id of lesser (or equal) n has it set; the second leader
-    is then the least id that has.
     """
-    every = members(None)
-    probing = "probe" in every.columns
-    asks = lambda p, n, q, m: (F.col(p) & (F.col(n) <= F.col(m))) | (F.col(q) & (F.col(m) <= F.col(n))) if probing else F.lit(True)
-    sizes = every.groupBy("bucket").agg(F.count("*").alias("in_bucket"), *([F.max("probe").alias("any")] if probing else [])).where("in_bucket > 1")  # the leanest row to shuffle
-    sizes = cut(sizes.where("any").drop("any") if probing else sizes, f"{name}-sizes")
+    sizes = cut(members(None).groupBy("bucket").agg(F.count("*").alias("in_bucket")).where("in_bucket > 1"), f"{name}-sizes")  # the leanest row to shuffle
     members = cut(members(live_bits(sizes)).join(sizes, "bucket"), f"{name}-members")
     known = cut(details(members.select("id").distinct()), f"{name}-details")
+    return link_members(members, known, verify, compatible, most, possible, rest, rounds, name)
+
+
+def asks(p: str, n: str, q: str, m: str) -> Column:
+    """Whether the one of lesser (or equal) n of two members looks up."""
+    return (F.col(p) & (F.col(n) <= F.col(m))) | (F.col(q) & (F.col(m) <= F.col(n)))
+
+
+def pair(n: str, x: str, m: str, y: str) -> list[Column]:
+    """Two ids as a and b, the one of lesser n first."""
+    first = F.struct(F.col(n), F.col(x)) < F.struct(F.col(m), F.col(y))
+    return [F.when(first, F.col(x)).otherwise(F.col(y)).alias("a"), F.when(first, F.col(y)).otherwise(F.col(x)).alias("b")]
+
+
+def link_members(
+    members: DataFrame,
+    known: DataFrame,
+    verify: Callable[[DataFrame, DataFrame], DataFrame],
+    compatible: Callable[[str, str], Column] | None = None,
+    most: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+    possible: Callable[[str, str, str, str], Column] | None = None,
+    rest: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+    rounds: int = 3,
+    name: str = "links",
+    others: DataFrame | None = None,
+) -> DataFrame:
+    """``link_buckets`` from its members (bucket, id, n, in_bucket) on; ``others``: more pairs to verify in the first round, with flags for
+    ``verify`` that the pairs made here don't have.
+
+    With a column ``probe`` in the members, only the pairs count in which the id of lesser (or equal) n has it set; that id is then ``a``, and the second leader
+    is the least id that has it set.
+    """
+    probing = "probe" in members.columns
     fits = compatible or (lambda n, m: F.lit(True))
+    wanted = lambda p, n, q, m: asks(p, n, q, m) if probing else F.lit(True)
     labels = None
     left = members.join(members.groupBy("id").agg(F.sum("in_bucket").alias("crowd")), "id").withColumns({"component": F.col("id"), "most": F.col("n")})
     for step in range(rounds + 1):
@@ -123,17 +150,19 @@ def link_buckets(
             if probing and step == 1:
                 order = F.struct(~F.col("probe"), "n", "id")
             leaders = left.groupBy("bucket").agg(F.min_by(F.struct("id", "n", "most", "component", *(["probe"] if probing else [])), order).alias("l"), F.first("in_bucket").alias("in_bucket"))
-            apart = (F.col("component") != F.col("l.component")) & asks("probe", "n", "l.probe", "l.n")
+            apart = (F.col("component") != F.col("l.component")) & wanted("probe", "n", "l.probe", "l.n")
             met = meet(left, leaders)
             pairs = met.where(apart & fits("n", "l.n") & can("n", "most", "l.n", "l.most"))
-            pairs = pairs.select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b"))
+            pairs = pairs.select(*pair("n", "id", "l.n", "l.id")) if probing else pairs.select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b"))
+            if others is not None and not step:
+                pairs = pairs.withColumns({c: F.lit(False) for c in others.columns[2:]}).union(others)
         elif rest:
             pairs = rest(left, known)
         else:
             other = left.select("bucket", F.col("id").alias("d"), F.col("n").alias("m"), F.col("component").alias("c"), F.col("most").alias("most_m"))
             once = F.col("probe") & (F.col("n") <= F.col("m")) if probing else F.col("id") < F.col("d")
             pairs = (left.where("probe") if probing else left).join(other, "bucket").where(once & (F.col("component") != F.col("c")) & fits("n", "m") & can("n", "most", "m", "most_m"))
-            pairs = pairs.select(F.least("id", "d").alias("a"), F.greatest("id", "d").alias("b"))
+            pairs = pairs.select(*pair("n", "id", "m", "d")) if probing else pairs.select(F.least("id", "d").alias("a"), F.greatest("id", "d").alias("b"))
         found = cut(verify(pairs.distinct(), known), f"{name}-found")
         labels = more_links(labels, found, name)
         if step == rounds:

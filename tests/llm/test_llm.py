@@ -6,6 +6,7 @@ import string
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -206,6 +207,39 @@ def test_small_and_equal_images(spark):
     assert image_groups(spark, rows) == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6, 7: 1, 8: 1}
 
 
+def test_furniture_makes_no_pairs_outside_its_task(spark):
+    """Pages that share a part that makes them no copies: as a bucket they give no pair, and many pairs at once are judged as one by one."""
+    part = picture(50, 30, 60)
+    rows = []
+    for s in range(30):
+        whole = picture(900 + s, 90, 60)
+        whole[:30] = part
+        rows.append((s, whole))
+    rows += [(30 + s, rows[s][1][:, 5:]) for s in range(3)]
+    keys = image_copies.describe([a for _, a in rows])
+    pairs = [(i, j) if len(keys[i]) <= len(keys[j]) else (j, i) for i in range(33) for j in range(i)]
+    truth = [image_copies.is_copy(keys[i], keys[j]) for i, j in pairs]
+    assert 3 <= sum(truth) < 10
+    assert image_copies.are_copies([keys[i].tobytes() for i, _ in pairs], [keys[j].tobytes() for _, j in pairs]).tolist() == truth
+    likely = image_copies.may_be_copies([image_copies.brief(keys[i]) for i, _ in pairs], [image_copies.brief(keys[j]) for _, j in pairs])
+    assert all(likely[np.array(truth)]) and likely.sum() < 20
+    members = [{"id": i, "n": len(k), "probe": True, "brief": image_copies.brief(k)} for i, k in enumerate(keys)]
+    lists = pa.array([members], pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64()), ("probe", pa.bool_()), ("brief", pa.binary())])))
+    met = [(a, b) for batch in image_copies._met(iter([pa.RecordBatch.from_arrays([lists], names=["all"])])) for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True)]
+    assert {frozenset(p) for p in met} == {frozenset(p) for p, on in zip(pairs, likely.tolist(), strict=True) if on}
+    got = image_groups(spark, rows)
+    assert all(got[30 + s] == s for s in range(3))
+
+
+def test_a_bucket_with_many_images(spark, monkeypatch):
+    """Buckets of more than FEW images go by leaders, those of less are met whole: the groups are the same."""
+    r = np.random.default_rng(3)
+    rows = [(20 * s + k, np.clip(picture(40 + s, 60, 60) + r.normal(0, 2, (60, 60)), 0, 255)) for s in range(3) for k in range(12)]
+    whole = image_groups(spark, rows)
+    monkeypatch.setattr(image_copies, "FEW", 2)
+    assert image_groups(spark, rows) == whole and len(set(whole.values())) == 3
+
+
 def test_byteplot_holds_every_byte(spark):
     df = spark.createDataFrame([("é" * 50,), ("",), (None,)], "h string").select("h", image_copies.byteplot(F.col("h")).alias("i"))
     got = {r["h"]: image_copies.decode_pgm(bytes(r["i"]) if r["i"] is not None else None) for r in df.collect()}
